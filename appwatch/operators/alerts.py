@@ -83,21 +83,25 @@ def _offer(df: DataFrame, dims: list[str]) -> DataFrame:
     return df
 
 
-def _matching(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    return reduce(and_, [left[c].eqNullSafe(right[c]) for c in columns])
+def _meet(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner", also: Column | None = None) -> DataFrame:
+    """Join on equal (or both NULL) columns, keeping the left side's."""
+    other = right.select(*[F.col(c).alias(f"_{c}") for c in columns], *[c for c in right.columns if c not in columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+    return left.join(other, reduce(and_, same if also is None else [*same, also]), how).drop(*[f"_{c}" for c in columns])
 
 
-def _specs(keyed: DataFrame, metrics: tuple[str, ...], k: list[str]) -> DataFrame:
+def _specs(keyed: DataFrame, metrics: list[str], k: list[str]) -> DataFrame:
     """What has to be measured: rules that watch the same thing share one measurement."""
     return keyed.filter(F.col("metric_type").isin(*metrics)).select("metric_type", *k, "window_minutes").distinct()
 
 
-def _slots(errors: DataFrame, failed: DataFrame, dims: list[str]) -> DataFrame:
+def _slots(errors: DataFrame, failed: DataFrame, dims: list[str], metrics: list[str]) -> DataFrame:
     """Additive metrics per combination and slot (a minute number), offered under rule keys."""
-    both = errors.select(F.lit("error_rate").alias("metric_type"), *dims, "slot", F.col("error_count").alias("amount"))
-    both = both.unionByName(
-        failed.select(F.lit("failed_requests").alias("metric_type"), *dims, "slot", F.lit(1).cast("long").alias("amount"))
-    )
+    sources = {
+        "error_rate": errors.select(*dims, "slot", F.col("error_count").alias("amount")),
+        "failed_requests": failed.select(*dims, "slot", F.lit(1).cast("long").alias("amount")),
+    }
+    both = reduce(DataFrame.unionByName, [sources[m].withColumn("metric_type", F.lit(m)) for m in metrics])
     summed = both.groupBy("metric_type", *dims, "slot").agg(F.sum("amount").alias("amount"))
     k = [f"k_{d}" for d in dims]
     return _offer(summed, dims).groupBy("metric_type", *k, "slot").agg(F.sum("amount").alias("amount"))
@@ -129,50 +133,48 @@ def _rate(amount: Column) -> Column:
 
 def evaluate_rules(
     rules: DataFrame, error_rollup: DataFrame, calls: DataFrame, as_of: datetime,
-    exact: bool = False, apply_release: bool = False,
+    exact: bool = False, apply_release: bool = False, metrics: tuple[str, ...] = S.ALERT_METRICS,
 ) -> DataFrame:
     """Observed value of every enabled rule at ``as_of``.
 
     The window has a lower bound only, so telemetry dated later counts. Errors come from the
     per-minute rollup, by minute start. Silent rules stay: 0 for counts, NULL for a percentile,
     and NULL never breaches. A rule with an unknown metric gets ``error`` and harms no other.
+    ``metrics`` narrows the work to rules of these known metrics.
     """
     dims = _dims(apply_release)
     k = [f"k_{d}" for d in dims]
+    if set(metrics) != set(S.ALERT_METRICS):
+        rules = rules.filter(F.col("metric_type").isin(*metrics))
     keyed = _keyed(rules, dims)
     now = as_instant(as_of)
     widest = keyed.select(F.coalesce(F.max("window_minutes"), F.lit(0))).scalar()
     since = F.timestamp_add("MINUTE", -widest, now)
+    reaches = F.col("slot") <= F.col("window_minutes")
 
     recent = calls.filter(F.col("event_time") >= since).withColumn("slot", minutes_back(now, F.col("event_time")))
     errors = error_rollup.filter(F.col("minute") >= since).withColumn("slot", minutes_back(now, F.col("minute")))
 
-    amounts = _slots(errors, recent.filter("status_code >= 400"), dims)
-    spec = _specs(keyed, ("error_rate", "failed_requests"), k)
-    found = spec.join(
-        amounts, _matching(spec, amounts, ["metric_type", *k]) & (amounts["slot"] <= spec["window_minutes"])
-    ).select(spec["metric_type"], *[spec[c] for c in k], "window_minutes", "amount")
-    sums = found.groupBy("metric_type", *k, "window_minutes").agg(F.sum("amount").alias("amount"))
-    additive = sums.select("metric_type", *k, "window_minutes", _rate(F.col("amount")).alias("value"))
-
-    latency = _latency_slots(recent, dims, exact)
-    spec = _specs(keyed, ("p95_latency_ms",), k)
-    matched = spec.join(latency, _matching(spec, latency, k) & (latency["slot"] <= spec["window_minutes"]))
-    payload = ["duration_ms", "n"] if exact else ["sketch"]
-    matched = matched.select(*[spec[c] for c in k], "window_minutes", *payload)
-    p95 = _p95(matched, [*k, "window_minutes"], exact).withColumn("metric_type", F.lit("p95_latency_ms"))
-
-    values = additive.unionByName(p95)
-    joined = keyed.join(values, _matching(keyed, values, ["metric_type", *k, "window_minutes"]), "left")
-    metric = keyed["metric_type"]
+    values = []
+    counted = [m for m in metrics if m != "p95_latency_ms"]
+    if counted:
+        amounts = _slots(errors, recent.filter("status_code >= 400"), dims, counted)
+        found = _meet(_specs(keyed, counted, k), amounts, ["metric_type", *k], also=reaches)
+        sums = found.groupBy("metric_type", *k, "window_minutes").agg(F.sum("amount").alias("amount"))
+        values.append(sums.select("metric_type", *k, "window_minutes", _rate(F.col("amount")).alias("value")))
+    if "p95_latency_ms" in metrics:
+        latency = _meet(_specs(keyed, ["p95_latency_ms"], k), _latency_slots(recent, dims, exact), k, also=reaches)
+        values.append(_p95(latency, [*k, "window_minutes"], exact).withColumn("metric_type", F.lit("p95_latency_ms")))
+
+    joined = _meet(keyed, reduce(DataFrame.unionByName, values), ["metric_type", *k, "window_minutes"], "left")
+    metric = F.col("metric_type")
     value = (
         F.when(~metric.isin(*S.ALERT_METRICS), F.lit(None))
-        .when(metric == "p95_latency_ms", values["value"])
-        .otherwise(F.coalesce(values["value"], F.lit(0.0)))
+        .when(metric == "p95_latency_ms", F.col("value"))
+        .otherwise(F.coalesce("value", F.lit(0.0)))
     )
     return joined.select(
-        "rule_id", "app_id", "name", metric.alias("metric_type"), "threshold",
-        keyed["window_minutes"].alias("window_minutes"),
+        "rule_id", "app_id", "name", "metric_type", "threshold", "window_minutes",
         value.cast("double").alias("value"),
         F.when(~metric.isin(*S.ALERT_METRICS), F.concat(F.lit("Unknown metric type: "), metric)).alias("error"),
     ).withColumn("breached", F.coalesce(F.col("value") >= F.col("threshold"), F.lit(False)))
@@ -182,11 +184,10 @@ def new_firings(evaluated: DataFrame, firings: DataFrame, as_of: datetime) -> Da
     """Breaches without an active firing in the last two windows, as rows to append."""
     now = as_instant(as_of)
     last = firings.filter("status = 'firing'").groupBy("rule_id").agg(F.max("fired_at").alias("last_fired"))
-    b = evaluated.filter("breached")
-    suppressed = (b["rule_id"] == last["rule_id"]) & (
-        last["last_fired"] >= F.timestamp_add("MINUTE", -2 * b["window_minutes"], now)
-    )
-    return b.join(last, suppressed, "left_anti").select(
+    last = last.withColumnRenamed("rule_id", "_rule")
+    since = F.timestamp_add("MINUTE", -2 * F.col("window_minutes"), now)
+    suppressed = (F.col("rule_id") == F.col("_rule")) & (F.col("last_fired") >= since)
+    return evaluated.filter("breached").join(last, suppressed, "left_anti").select(
         "rule_id",
         "app_id",
         now.alias("fired_at"),
@@ -230,33 +231,25 @@ def backtest(
         return df.withColumn("tick", F.explode(ticks)).drop("slot")
 
     recent = slotted(calls, "event_time")
-    amounts = _slots(slotted(error_rollup, "minute"), recent.filter("status_code >= 400"), dims)
-    spec = _specs(keyed, ("error_rate", "failed_requests"), k)
-    found = spec.join(amounts, _matching(spec, amounts, ["metric_type", *k]))
-    found = at_ticks(found.select(spec["metric_type"], *[spec[c] for c in k], "window_minutes", "slot", "amount"))
+    counted = ["error_rate", "failed_requests"]
+    amounts = _slots(slotted(error_rollup, "minute"), recent.filter("status_code >= 400"), dims, counted)
+    found = at_ticks(_meet(_specs(keyed, counted, k), amounts, ["metric_type", *k]))
     sums = found.groupBy("metric_type", *k, "window_minutes", "tick").agg(F.sum("amount").alias("amount"))
     additive = sums.select("metric_type", *k, "window_minutes", "tick", _rate(F.col("amount")).alias("value"))
 
-    latency = _latency_slots(recent, dims, exact)
-    spec = _specs(keyed, ("p95_latency_ms",), k)
-    payload = ["duration_ms", "n"] if exact else ["sketch"]
-    matched = spec.join(latency, _matching(spec, latency, k))
-    matched = at_ticks(matched.select(*[spec[c] for c in k], "window_minutes", "slot", *payload))
-    p95 = _p95(matched, [*k, "window_minutes", "tick"], exact).withColumn("metric_type", F.lit("p95_latency_ms"))
+    latency = _meet(_specs(keyed, ["p95_latency_ms"], k), _latency_slots(recent, dims, exact), k)
+    p95 = _p95(at_ticks(latency), [*k, "window_minutes", "tick"], exact).withColumn("metric_type", F.lit("p95_latency_ms"))
     values = additive.unionByName(p95)
 
     # A count that may be 0 breaches at silent ticks too when the threshold is not above 0.
     always = (F.col("threshold") <= 0) & F.col("metric_type").isin("error_rate", "failed_requests")
     watched = keyed.withColumn("_always", always)
-    timed = watched.filter("not _always")
-    hits = timed.join(values, _matching(timed, values, ["metric_type", *k, "window_minutes"])).select(
-        "rule_id", "app_id", timed["window_minutes"].alias("window_minutes"), "threshold", "tick", "value"
-    )
-    steady = watched.filter("_always").withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(last_tick)).cast("array<long>")))
-    steady = steady.join(values, _matching(steady, values, ["metric_type", *k, "window_minutes", "tick"]), "left").select(
-        "rule_id", "app_id", steady["window_minutes"].alias("window_minutes"), "threshold", steady["tick"].alias("tick"),
-        F.coalesce(values["value"], F.lit(0.0)).alias("value"),
-    )
+    columns = ["rule_id", "app_id", "window_minutes", "threshold", "tick", "value"]
+    hits = _meet(watched.filter("not _always"), values, ["metric_type", *k, "window_minutes"]).select(*columns)
+    every_tick = F.explode(F.sequence(F.lit(0), F.lit(last_tick)).cast("array<long>"))
+    steady = watched.filter("_always").withColumn("tick", every_tick)
+    steady = _meet(steady, values, ["metric_type", *k, "window_minutes", "tick"], "left")
+    steady = steady.withColumn("value", F.coalesce("value", F.lit(0.0))).select(*columns)
     breaches = hits.unionByName(steady).filter(F.col("value") >= F.col("threshold"))
 
     per_rule = breaches.groupBy("rule_id", "app_id", "window_minutes").agg(

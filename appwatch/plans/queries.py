@@ -14,7 +14,7 @@ from appwatch import schema as S
 from appwatch.functions import scalars
 from appwatch.functions.filters import Filters
 from appwatch.operators import alerts, dashboard, ingest, metadata, sessions
-from appwatch.operators.dedup import deduplicate
+from appwatch.operators.dedup import deduplicate, narrow
 from appwatch.operators.mapping import skip_unknown, to_table
 from appwatch.operators.rollups import merge_rollup, roll_up
 from appwatch.plans.registry import query
@@ -52,6 +52,12 @@ def _r(*exprs: str) -> str:
     return ", ".join(f"round({e.split('=', 1)[1]}, 6) AS {e.split('=', 1)[0]}" for e in exprs)
 
 
+def _calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Deduplicated calls in the columns that rules and rollups look at."""
+    columns = ["app", "env", "release", "path", "method", "event_time", "event_id", "status_code", "duration_ms"]
+    return narrow(V.mobile_api_calls(spark, sf), S.MOBILE_API_CALLS, columns)
+
+
 # --- dashboard reads ---------------------------------------------------------------------------
 
 _OVERVIEW = """
@@ -320,7 +326,7 @@ def rollup_errors_raw(spark: SparkSession, sf: str) -> DataFrame:
 @query("rollup_merge", select(_LATENCY_1M.format("dc")))
 def rollup_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Partial rollups of eight slices, merged: the same as rolling up at once."""
-    rows = deduplicate(V.mobile_api_calls(spark, sf).select(*S.MOBILE_API_CALLS.sort_key, "release", "status_code", "duration_ms", "received_at"), S.MOBILE_API_CALLS)
+    rows = _calls(spark, sf)
     rows = rows.withColumn("slice", F.pmod(F.crc32("event_id"), F.lit(8)))
     partials = roll_up(rows, "api_latency_1m", dedup=False, by=["slice"], sketch=False)
     return _plain(merge_rollup(partials, "api_latency_1m"))
@@ -405,11 +411,13 @@ ev AS (SELECT r.id AS rule_id, app_id, name, metric_type, threshold, window_minu
   FROM er r LEFT JOIN (SELECT * FROM ev1 UNION ALL SELECT * FROM ev2 UNION ALL SELECT * FROM ev3) v ON v.id = r.id)"""
 
 
-def _evaluate(spark: SparkSession, sf: str, apply_release: bool = False) -> DataFrame:
+def _evaluate(
+    spark: SparkSession, sf: str, apply_release: bool = False, metrics: tuple[str, ...] = S.ALERT_METRICS
+) -> DataFrame:
     rules = alerts.enabled_rules(V.alert_rules(spark, sf), V.apps(spark, sf))
-    calls = deduplicate(V.mobile_api_calls(spark, sf).select(*S.MOBILE_API_CALLS.sort_key, "release", "status_code", "duration_ms", "received_at"), S.MOBILE_API_CALLS)
+    calls = _calls(spark, sf)
     errors = roll_up(V.mobile_errors(spark, sf), "error_rate_1m")
-    return alerts.evaluate_rules(rules, errors, calls, AS_OF, exact=True, apply_release=apply_release)
+    return alerts.evaluate_rules(rules, errors, calls, AS_OF, exact=True, apply_release=apply_release, metrics=metrics)
 
 
 _EV = "SELECT rule_id, app_id, name, metric_type, threshold, window_minutes, round(value, 6) AS value, error, breached FROM ev"
@@ -431,7 +439,7 @@ def _metric(name: str):
                  f"WHERE metric_type = '{name}'", _evaluated_sql())
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = _evaluate(spark, sf).filter(F.col("metric_type") == name)
+        rows = _evaluate(spark, sf, metrics=(name,))
         return _plain(rows.select("rule_id", "threshold", "window_minutes", "value", "breached"))
 
     return run, sql
@@ -467,18 +475,18 @@ spec AS (SELECT DISTINCT metric_type, app_name, coalesce(trim(env), '') AS env,
 st AS (SELECT *, tick - to_minutes(window_minutes) AS since FROM spec, ticks),
 bv AS (
   SELECT metric_type, app_name, st.env, window_minutes, i, tick, coalesce(sum(d.c), 0) / window_minutes AS value FROM st LEFT JOIN rollx d
-    ON d.minute >= since AND d.minute < tick AND d.app = app_name AND (st.env = '' OR d.env = st.env) WHERE metric_type = 'error_rate' GROUP BY ALL
+    ON d.minute >= since AND d.minute < tick AND d.app = app_name AND (st.env = '' OR d.env = st.env) WHERE metric_type = 'error_rate' GROUP BY metric_type, app_name, st.env, window_minutes, i, tick
   UNION ALL
   SELECT metric_type, app_name, st.env, window_minutes, i, tick, count(d.event_id) FROM st LEFT JOIN dc d ON d.status_code >= 400
-    AND d.event_time >= since AND d.event_time < tick AND d.app = app_name AND (st.env = '' OR d.env = st.env) WHERE metric_type = 'failed_requests' GROUP BY ALL
+    AND d.event_time >= since AND d.event_time < tick AND d.app = app_name AND (st.env = '' OR d.env = st.env) WHERE metric_type = 'failed_requests' GROUP BY metric_type, app_name, st.env, window_minutes, i, tick
   UNION ALL
   SELECT metric_type, app_name, st.env, window_minutes, i, tick, quantile_cont(d.duration_ms, 0.95) FROM st JOIN dc d
-    ON d.event_time >= since AND d.event_time < tick AND d.app = app_name AND (st.env = '' OR d.env = st.env) WHERE metric_type = 'p95_latency_ms' GROUP BY ALL),
+    ON d.event_time >= since AND d.event_time < tick AND d.app = app_name AND (st.env = '' OR d.env = st.env) WHERE metric_type = 'p95_latency_ms' GROUP BY metric_type, app_name, st.env, window_minutes, i, tick),
 br AS (
   SELECT r.id AS rule_id, r.app_id, r.window_minutes, tick, value FROM er r JOIN bv b ON b.metric_type = r.metric_type
     AND b.app_name = r.app_name AND b.env = coalesce(trim(r.env), '') AND b.window_minutes = r.window_minutes WHERE value >= threshold),
 fired AS (
-  SELECT rule_id, window_minutes, min(tick) AS fired_at FROM br GROUP BY ALL
+  SELECT rule_id, window_minutes, min(tick) AS fired_at FROM br GROUP BY rule_id, window_minutes
   UNION ALL
   SELECT f.rule_id, f.window_minutes, min(b.tick) FROM fired f JOIN br b ON b.rule_id = f.rule_id
     AND b.tick > f.fired_at + to_minutes(2 * f.window_minutes) GROUP BY f.rule_id, f.window_minutes, f.fired_at)"""
@@ -495,7 +503,7 @@ fired AS (
 def alerts_backtest(spark: SparkSession, sf: str) -> DataFrame:
     """All rules evaluated every 30 minutes over the whole time span."""
     rules = alerts.enabled_rules(V.alert_rules(spark, sf), V.apps(spark, sf))
-    calls = deduplicate(V.mobile_api_calls(spark, sf).select(*S.MOBILE_API_CALLS.sort_key, "status_code", "duration_ms", "received_at"), S.MOBILE_API_CALLS)
+    calls = _calls(spark, sf)
     errors = roll_up(V.mobile_errors(spark, sf), "error_rate_1m")
     return _plain(alerts.backtest(rules, errors, calls, START, AS_OF, 30, exact=True))
 
@@ -624,6 +632,7 @@ def _mapped(spark: SparkSession, sf: str, spec: S.TableSpec) -> DataFrame:
 
 def _mapped_sql(spec: S.TableSpec, kinds: str) -> str:
     body = _table_sql(spec, f"w WHERE event_type IN ({kinds})")
+    body = body.replace("coalesce(event_data, '{}')", "coalesce(replace(event_data, ' ', ''), '{}')")
     body = body.replace("received_at", "batch_received_at AS received_at").replace("source_ip", "batch_ip AS source_ip")
     if spec is S.MOBILE_API_CALLS:
         body = body.replace("error_message", "CASE WHEN status_code >= 400 THEN 'HTTP ' || CAST(status_code AS VARCHAR) END AS error_message")
@@ -655,7 +664,7 @@ def skipped_types(spark: SparkSession, sf: str) -> DataFrame:
     return skip_unknown(rows).groupBy(F.col("event.event_type").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("coerce_sdk", select("SELECT event_id, event_type, event_name, error_type, event_data FROM w"))
+@query("coerce_sdk", select("SELECT event_id, event_type, event_name, error_type, replace(event_data, ' ', '') AS event_data FROM w"))
 def coerce_sdk(spark: SparkSession, sf: str) -> DataFrame:
     """Events in the client library's field names, accepted after coercion."""
     accepted, _ = ingest.accept(V.documents(spark, sf, client_form=True), reject="batch", coerce=True)

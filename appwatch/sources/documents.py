@@ -14,8 +14,8 @@ KAFKA_FROM_START = {"startingOffsets": "earliest", "failOnDataLoss": "true"}
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """One JSON line per posted document."""
-    docs.select(F.to_json(F.struct(*DOCUMENT_SCHEMA.fieldNames())).alias("value")).write.mode("overwrite").text(path)
+    """Land documents, one JSON line each, next to those already there."""
+    docs.select(F.to_json(F.struct(*DOCUMENT_SCHEMA.fieldNames())).alias("value")).write.mode("append").text(path)
 
 
 def parse_landed(lines: DataFrame) -> DataFrame:
