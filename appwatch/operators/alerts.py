@@ -234,6 +234,10 @@ def backtest(
     counted = ["error_rate", "failed_requests"]
     amounts = _slots(slotted(error_rollup, "minute"), recent.filter("status_code >= 400"), dims, counted)
     found = at_ticks(_meet(_specs(keyed, counted, k), amounts, ["metric_type", *k]))
+    # A count may be 0, and 0 breaches a threshold that is not above it: such rules see every tick.
+    ticks = F.sequence(F.lit(0), F.lit(last_tick)).cast("array<long>")
+    silent = _specs(keyed.filter("threshold <= 0"), counted, k).withColumn("tick", F.explode(ticks))
+    found = found.unionByName(silent.withColumn("amount", F.lit(0).cast("long")))
     sums = found.groupBy("metric_type", *k, "window_minutes", "tick").agg(F.sum("amount").alias("amount"))
     additive = sums.select("metric_type", *k, "window_minutes", "tick", _rate(F.col("amount")).alias("value"))
 
@@ -241,17 +245,7 @@ def backtest(
     p95 = _p95(at_ticks(latency), [*k, "window_minutes", "tick"], exact).withColumn("metric_type", F.lit("p95_latency_ms"))
     values = additive.unionByName(p95)
 
-    # A count that may be 0 breaches at silent ticks too when the threshold is not above 0.
-    always = (F.col("threshold") <= 0) & F.col("metric_type").isin("error_rate", "failed_requests")
-    watched = keyed.withColumn("_always", always)
-    columns = ["rule_id", "app_id", "window_minutes", "threshold", "tick", "value"]
-    hits = _meet(watched.filter("not _always"), values, ["metric_type", *k, "window_minutes"]).select(*columns)
-    every_tick = F.explode(F.sequence(F.lit(0), F.lit(last_tick)).cast("array<long>"))
-    steady = watched.filter("_always").withColumn("tick", every_tick)
-    steady = _meet(steady, values, ["metric_type", *k, "window_minutes", "tick"], "left")
-    steady = steady.withColumn("value", F.coalesce("value", F.lit(0.0))).select(*columns)
-    breaches = hits.unionByName(steady).filter(F.col("value") >= F.col("threshold"))
-
+    breaches = _meet(keyed, values, ["metric_type", *k, "window_minutes"]).filter(F.col("value") >= F.col("threshold"))
     per_rule = breaches.groupBy("rule_id", "app_id", "window_minutes").agg(
         F.array_sort(F.collect_list(F.struct("tick", "value"))).alias("breaches")
     )

@@ -154,25 +154,36 @@ def classify_batches(docs: DataFrame, coerce: bool = False) -> DataFrame:
     return docs.withColumn("status", _status(unreadable)).drop("wire", "broken")
 
 
-def accept(docs: DataFrame, reject: str = "batch", coerce: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(accepted events, rejected rows)``.
+def judge(docs: DataFrame, reject: str = "batch", coerce: bool = False) -> DataFrame:
+    """Documents decoded and judged.
 
-    ``reject="batch"``: one bad event refuses its whole document, as at the HTTP endpoint; rejected
-    rows are documents. ``reject="event"``: for landed files; rejected rows are single events.
+    ``reject="batch"``: one bad event refuses its whole document, as at the HTTP endpoint; one row
+    per document. ``reject="event"``: for landed files; one row per event.
     """
-    if reject == "batch":
-        judged = classify_batches(docs, coerce)
-        keep = [c for c in docs.columns if c != "body"]
-        good = judged.filter("status = 'ok'").select(*keep, F.posexplode("events").alias("pos", "_e"))
-        good = good.select(*keep, "pos", F.col("_e.raw").alias("raw"), F.col("_e.event").alias("event"))
-        bad = judged.filter("status <> 'ok'").select(*docs.columns, "status", "errors")
-        return good, bad
-    if reject != "event":
+    if reject not in ("batch", "event"):
         raise ValueError("reject is 'batch' or 'event'")
-    judged = classify_events(docs, coerce)
-    keep = [c for c in docs.columns if c != "body"]
-    good = judged.filter("status = 'ok'").select(*keep, "pos", "raw", "event")
-    return good, judged.filter("status <> 'ok'").drop("event")
+    return classify_batches(docs, coerce) if reject == "batch" else classify_events(docs, coerce)
+
+
+def accepted_events(judged: DataFrame) -> DataFrame:
+    """The events that passed, one per row, from either form of ``judge``."""
+    good = judged.filter("status = 'ok'").drop("body", "status", "errors")
+    if "events" in judged.columns:
+        keep = [c for c in good.columns if c != "events"]
+        good = good.select(*keep, F.posexplode("events").alias("pos", "_e"))
+        good = good.select(*keep, "pos", F.col("_e.raw").alias("raw"), F.col("_e.event").alias("event"))
+    return good
+
+
+def rejected_rows(judged: DataFrame) -> DataFrame:
+    """The documents or events that did not pass, with ``status`` and ``errors``."""
+    return judged.filter("status <> 'ok'").drop("event", "events")
+
+
+def accept(docs: DataFrame, reject: str = "batch", coerce: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(accepted events, rejected rows)``; see ``judge`` for the two ways to reject."""
+    judged = judge(docs, reject, coerce)
+    return accepted_events(judged), rejected_rows(judged)
 
 
 def dead_letters(rejected: DataFrame) -> DataFrame:

@@ -151,19 +151,17 @@ def _event_json(defects: bool, client_form: bool) -> str:
         "error_class": c["error_class"],
         "error_message": f"case when src = 'api_timing' and {_STATUS} >= 400 then concat('HTTP ', {_STATUS}) else {c['error_message']} end",
     }
-    data = "event_data"
+    # The payload of a custom event is an object inside the event, not text.
+    data = "case when src = 'custom_event' then from_json(props, 'map<string,int>') end"
     if client_form:
         fields["fatal"] = "case when src = 'error' then k % 3 = 0 end"
         fields["name"] = c["event_name"]
-        data = "properties"
+        fields["properties"] = data
     else:
         fields["error_type"] = unless("no_variant", c["error_type"])
         fields["event_name"] = unless("no_variant", c["event_name"])
-    text = "to_json(struct(" + ", ".join(f"{e} as {f}" for f, e in fields.items()) + "))"
-    return (
-        f"case when src = 'custom_event' then concat(substring({text}, 1, length({text}) - 1), ',\"{data}\":', props, '}}') "
-        f"else {text} end"
-    )
+        fields["event_data"] = data
+    return "to_json(struct(" + ", ".join(f"{e} as {f}" for f, e in fields.items()) + "))"
 
 
 def documents(spark: SparkSession, sf_dir: str, defects: bool = False, client_form: bool = False) -> DataFrame:

@@ -49,13 +49,12 @@ def ingest_documents(
     """Documents to tables. What fails to decode or validate goes to dead letters, payload and reason kept."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        judged = ingest.judge(batch, reject, coerce).persist()  # decoded once for all the writes
         try:
-            accepted, rejected = ingest.accept(batch, reject, coerce)
-            append_tables(ingest.envelope(accepted), root, f"{label}-{number}")
-            tables.append_dead_letters(ingest.dead_letters(rejected), root, f"{label}-{number}")
+            append_tables(ingest.envelope(ingest.accepted_events(judged)), root, f"{label}-{number}")
+            tables.append_dead_letters(ingest.dead_letters(ingest.rejected_rows(judged)), root, f"{label}-{number}")
         finally:
-            batch.unpersist()
+            judged.unpersist()
 
     return _start(docs, write, checkpoint, once)
 
