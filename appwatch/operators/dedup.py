@@ -17,6 +17,8 @@ def deduplicate(df: DataFrame, spec: TableSpec) -> DataFrame:
     row per key before the shuffle, so a key with very many copies does not pile up anywhere.
     """
     key = [c for c in reversed(spec.sort_key)]  # event_id first: the sort compares it cheaply
+    if "event_month" in df.columns:
+        key.append("event_month")  # follows from event_time; lets month filters pass to the scan
     rest = [c for c in df.columns if c not in key]
     if not [c for c in rest if c != spec.version]:
         return df.select(*key).distinct() if not rest else df.groupBy(*key).agg(F.max(spec.version).alias(spec.version))
@@ -30,7 +32,8 @@ def narrow(df: DataFrame, spec: TableSpec, columns: tuple[str, ...] | list[str],
     wanted = list(dict.fromkeys(columns))
     if not dedup:
         return df.select(*wanted)
-    needed = list(dict.fromkeys([*spec.sort_key, *wanted]))
-    if [c for c in needed if c not in spec.sort_key] and spec.version not in needed:
+    key = [*spec.sort_key, *[c for c in df.columns if c == "event_month"]]
+    needed = list(dict.fromkeys([*key, *wanted]))
+    if [c for c in needed if c not in key] and spec.version not in needed:
         needed.append(spec.version)
     return deduplicate(df.select(*needed), spec).select(*wanted)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from appwatch import schema as S
 from appwatch.functions.scalars import as_instant, event_month
-from appwatch.operators.dedup import deduplicate
+from appwatch.operators.dedup import deduplicate, narrow
 from appwatch.operators.rollups import rollup_names, rollup_spec
 
 COMPACTED = "compact-"
@@ -94,15 +94,23 @@ def append_dead_letters(letters: DataFrame, root: str, batch: str) -> None:
 # --- reading ---------------------------------------------------------------------------------
 
 
-def read_stored(spark: SparkSession, root: str, spec: S.TableSpec, dedup: bool = True) -> DataFrame:
-    """A stored table in its own columns plus ``event_month``; compacted months skip deduplication."""
+def read_stored(
+    spark: SparkSession, root: str, spec: S.TableSpec, columns: list[str] | None = None, dedup: bool = True
+) -> DataFrame:
+    """A stored table, whole or in the named columns, plus ``event_month``.
+
+    With ``dedup`` the latest row per key is read and compacted months skip the work; name the
+    columns then, since all that are read take part in it. Filters on key columns and on
+    ``event_month`` still reach the scan. The dashboard operators deduplicate by themselves unless
+    told otherwise, and do so after filtering.
+    """
     rows = spark.read.schema(_partitioned(spec.schema)).parquet(f"{root}/{spec.name}")
-    columns = [*spec.columns, "event_month"]
+    wanted = [*(columns or spec.columns), "event_month"]
     if not dedup:
-        return rows.select(*columns)
+        return rows.select(*wanted)
     clean = [m for m in months(spark, root, spec.name) if _is_clean(spark, root, spec.name, m)]
-    rest = deduplicate(rows.filter(~F.col("event_month").isin(clean)).select(*columns), spec)
-    return rest.unionByName(rows.filter(F.col("event_month").isin(clean)).select(*columns)) if clean else rest
+    rest = narrow(rows.filter(~F.col("event_month").isin(clean)), spec, wanted)
+    return rest.unionByName(rows.filter(F.col("event_month").isin(clean)).select(*wanted)) if clean else rest
 
 
 def _is_clean(spark: SparkSession, root: str, name: str, month: int) -> bool:
