@@ -32,7 +32,7 @@ def group_percentiles(
     weight: str | None = None,
     exact: bool = False,
 ) -> DataFrame:
-    """Per group: the percentiles in ``levels`` (name to fraction) and the sums in ``counts``.
+    """Per group: the percentiles in ``levels`` (name to fraction) and sums of the numbers in ``counts``.
 
     NULL and NaN values do not enter a percentile but their rows do enter ``counts``; a group
     without values gets NULL. ``weight`` is a repeat count per row and needs ``exact``.
@@ -44,7 +44,7 @@ def group_percentiles(
         *keys,
         F.when(~F.isnan(v), v).alias("_v"),
         (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("_w"),
-        *[c.cast("long").alias(n) for n, c in counts.items()],
+        *[c.alias(n) for n, c in counts.items()],
     )
     if exact:
         return _exact(rows, keys, levels, list(counts))

@@ -13,6 +13,7 @@ from appwatch import schema as S
 from appwatch.functions.percentiles import group_percentiles
 from appwatch.functions.scalars import as_instant, blank_to_null, minutes_back
 from appwatch.operators.dashboard import clamp_rows
+from appwatch.operators.metadata import assign_ids
 
 P95 = 0.95
 
@@ -187,7 +188,8 @@ def new_firings(evaluated: DataFrame, firings: DataFrame, as_of: datetime) -> Da
     last = last.withColumnRenamed("rule_id", "_rule")
     since = F.timestamp_add("MINUTE", -2 * F.col("window_minutes"), now)
     suppressed = (F.col("rule_id") == F.col("_rule")) & (F.col("last_fired") >= since)
-    return evaluated.filter("breached").join(last, suppressed, "left_anti").select(
+    fresh = evaluated.filter("breached").join(last, suppressed, "left_anti").select(
+        F.col("rule_id").cast("string").alias("_key"),
         "rule_id",
         "app_id",
         now.alias("fired_at"),
@@ -195,6 +197,7 @@ def new_firings(evaluated: DataFrame, firings: DataFrame, as_of: datetime) -> Da
         F.col("value").cast("decimal(14,4)").alias("value_observed"),
         F.lit("firing").alias("status"),
     )
+    return assign_ids(fresh, "_key", firings).drop("_key")
 
 
 # --- replay --------------------------------------------------------------------------------

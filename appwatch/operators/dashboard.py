@@ -221,11 +221,19 @@ def compare_releases(
     c = narrow(calls, S.MOBILE_API_CALLS, ["release", "status_code", "duration_ms"], dedup).filter(both)
     e = narrow(events, S.MOBILE_EVENTS, ["release", "event_type", "duration_ms"], dedup).filter(both)
     start = e.filter("event_type = 'app_start'").groupBy("release").agg(F.avg("duration_ms").alias("start_ms"))
-    mean = c.groupBy("release").agg(
-        F.avg("duration_ms").alias("mean_ms"), F.avg((F.col("status_code") >= 400).cast("double")).alias("error_share")
+    sums = {
+        "calls": F.lit(1),
+        "timed": F.when(F.col("duration_ms").isNotNull(), 1).otherwise(0),
+        "total_ms": F.col("duration_ms"),
+        "failed": F.when(F.col("status_code") >= 400, 1).otherwise(0),
+    }
+    latency = group_percentiles(c, ["release"], "duration_ms", {"p95_ms": 0.95}, sums, exact=exact).select(
+        "release",
+        "p95_ms",
+        F.try_divide("total_ms", "timed").alias("mean_ms"),
+        (F.col("failed") / F.col("calls")).alias("error_share"),
     )
-    p95 = group_percentiles(c, ["release"], "duration_ms", {"p95_ms": 0.95}, exact=exact)
-    per = mean.unionByName(p95, allowMissingColumns=True).unionByName(start, allowMissingColumns=True)
+    per = latency.unionByName(start, allowMissingColumns=True)
     picks = []
     for label, release in (("base", base), ("candidate", candidate)):
         for m in ("mean_ms", "p95_ms", "error_share", "start_ms"):

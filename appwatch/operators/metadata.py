@@ -11,7 +11,7 @@ ID_BUCKETS = 4096
 
 
 def assign_ids(rows: DataFrame, key: str, existing: DataFrame) -> DataFrame:
-    """Number new rows upwards from the largest existing id.
+    """Number new rows, unique by the text column ``key``, upwards from the largest existing id.
 
     Rows are numbered inside 4096 hash buckets of ``key``, shifted by the sizes of the buckets
     before: only bucket sizes meet in one place. The order is by bucket, then key, so a re-run
@@ -45,7 +45,7 @@ def app_ids(names: DataFrame, apps: DataFrame) -> DataFrame:
 
 def default_rules(apps: DataFrame, rules: DataFrame) -> DataFrame:
     """The three default rules for each app that has no rule at all."""
-    bare = apps.select(F.col("id").alias("app_id")).join(rules.select("app_id"), "app_id", "left_anti")
+    bare = apps.select(F.col("id").alias("app_id")).join(rules.select("app_id").distinct(), "app_id", "left_anti")
     defaults = F.array(
         *[
             F.struct(

@@ -107,7 +107,15 @@ def distinct_events(accepted: DataFrame, lateness: str) -> DataFrame:
     return rows.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def keep_state_on_disk(rows: DataFrame) -> None:
+    """Hold stream state in RocksDB, off the heap, and checkpoint only its changes."""
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def write_distinct(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    keep_state_on_disk(rows)
     writer = rows.writeStream.format("parquet").outputMode("append")
     return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -13,7 +13,7 @@ NOW = datetime(2024, 1, 3)
 RULE = "id long, app_id long, app_name string, name string, metric_type string, threshold double, window_minutes int, env string, release string"
 CALL = "app string, env string, release string, event_time timestamp, status_code int, duration_ms double"
 ROLL = "app string, env string, release string, minute timestamp, error_count long"
-FIRING = "rule_id long, fired_at timestamp, status string"
+FIRING = "id long, rule_id long, fired_at timestamp, status string"
 
 
 def rule(i, metric, threshold, window=5, app="demo-app", env=None, release=None):
@@ -95,11 +95,15 @@ def test_suppression_looks_back_two_windows_inclusive(spark):
         spark.createDataFrame([call(1, 500)], CALL), NOW,
     )
     firings = spark.createDataFrame(
-        [(1, NOW - timedelta(minutes=10), "firing"), (2, NOW - timedelta(minutes=10, seconds=1), "firing"), (3, NOW - timedelta(minutes=1), "resolved")],
+        [
+            (1, 1, NOW - timedelta(minutes=10), "firing"),
+            (2, 2, NOW - timedelta(minutes=10, seconds=1), "firing"),
+            (9, 3, NOW - timedelta(minutes=1), "resolved"),
+        ],
         FIRING,
     )
     rows = alerts.new_firings(evaluated, firings, NOW).collect()
-    assert sorted(r.rule_id for r in rows) == [2, 3, 4]
+    assert sorted(r.rule_id for r in rows) == [2, 3, 4] and sorted(r.id for r in rows) == [10, 11, 12]
     assert {(r.status, str(r.value_observed)) for r in rows} == {("firing", "1.0000")}
 
 

@@ -110,9 +110,8 @@ def test_time_filters_prune_partitions_and_reach_the_scan(spark, root):
     shown = ["event_id", "error_class", "error_message", "release", "platform", "screen_name", "event_time"]
     latest = tables.read_stored(spark, root, S.MOBILE_ERRORS, ["app", "env", *shown])
     for df in (dashboard.error_feed(raw, filters), dashboard.error_feed(latest, filters, dedup=False)):
-        plan = df._jdf.queryExecution().executedPlan()
-        leaves, text = plan.collectLeaves(), plan.toString()
-        scan = leaves.apply(0)
+        plan = df._jdf.queryExecution()
+        scan, text = plan.sparkPlan().collectLeaves().apply(0), plan.executedPlan().toString()
         assert "event_month" in scan.partitionFilters().toString()
         assert "event_time" in scan.dataFilters().toString() and "app" in scan.dataFilters().toString()
         assert "TakeOrderedAndProject" in text
