@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,41 +46,55 @@ def coerce_client_fields(e: Column) -> Column:
     )
 
 
-def typed_event(e: Column) -> Column:
-    """Wire text fields to a typed struct; ``readable`` is false where the server would refuse to parse it.
+def _typed_fields(e: Column) -> dict[str, Column]:
+    """The fields that are not text. Values arrive as text, so numbers may be quoted."""
 
-    Values arrive as text and are cast, so numbers may be quoted; a value that does not fit its
-    type, an unknown event type, or data that is no object makes the event unreadable.
-    """
-    double = e["duration_ms"].try_cast("double")
-    numbers = {
-        "duration_ms": double,
-        "status_code": e["status_code"].try_cast("double").cast("int"),
-        "request_size": F.coalesce(e["request_size"].try_cast("long"), e["request_size"].try_cast("double").cast("long")),
-        "response_size": F.coalesce(e["response_size"].try_cast("long"), e["response_size"].try_cast("double").cast("long")),
-        "cold_start": e["cold_start"].try_cast("boolean"),
+    def whole(name: str) -> Column:
+        return F.coalesce(e[name].try_cast("long"), e[name].try_cast("double").cast("long"))
+
+    return {
         "timestamp": utc_millis(e["timestamp"]),
+        "cold_start": e["cold_start"].try_cast("boolean"),
+        "duration_ms": e["duration_ms"].try_cast("double"),
+        "status_code": e["status_code"].try_cast("double").cast("int"),
+        "request_size": whole("request_size"),
+        "response_size": whole("response_size"),
     }
-    readable = F.coalesce(e["event_type"].isin(*S.EVENT_TYPES), F.lit(False))
-    for name, typed in numbers.items():
-        readable = readable & (e[name].isNull() | typed.isNotNull())
-    readable = readable & (e["event_data"].isNull() | F.ltrim(e["event_data"]).startswith("{"))
-    fields = [numbers.get(f, e[f]).alias(f) for f in S.WIRE_FIELDS]
-    return F.struct(*fields, readable.alias("readable"))
 
 
-def violations(event: Column, pos: Column) -> Column:
-    """Failed constraints of a readable event as ``events[i].field: message``, in declaration order."""
+def typed_event(e: Column) -> Column:
+    """Text fields of a readable event to a typed struct."""
+    typed = _typed_fields(e)
+    return F.when(e.isNotNull(), F.struct(*[typed.get(f, e[f]).alias(f) for f in S.WIRE_FIELDS]))
+
+
+def is_readable(e: Column) -> Column:
+    """False where the server would refuse to parse the event: an unknown type, a value that does
+    not fit its field, or event data that is no object."""
+    fits = [F.coalesce(e["event_type"].isin(*S.EVENT_TYPES), F.lit(False))]
+    fits += [e[name].isNull() | typed.isNotNull() for name, typed in _typed_fields(e).items()]
+    fits.append(e["event_data"].isNull() | F.ltrim(e["event_data"]).startswith("{"))
+    return reduce(and_, fits)
 
-    def failed(bad: Column, name: str, message: str) -> Column:
-        return F.when(bad, F.concat(F.lit("events["), pos.cast("string"), F.lit(f"].{name}: {message}")))
 
-    checks = [failed(is_blank(event[f]), name, "must not be blank") for f, name in S.REQUIRED_COMMON]
-    checks.append(failed(event["timestamp"].isNull(), "timestamp", "must not be null"))
+def _constraints(e: Column) -> list[tuple[Column, str, str]]:
+    """(violated, field, message) of every constraint, in declaration order."""
+    checks = [(is_blank(e[f]), name, "must not be blank") for f, name in S.REQUIRED_COMMON]
+    checks.append((e["timestamp"].isNull(), "timestamp", "must not be null"))
     for kind, required in S.REQUIRED_BY_TYPE.items():
-        of_kind = event["event_type"] == kind
-        checks += [failed(of_kind & is_blank(event[f]), name, "must not be blank") for f, name in required]
-    return F.array_compact(F.array(*checks))
+        checks += [((e["event_type"] == kind) & is_blank(e[f]), name, "must not be blank") for f, name in required]
+    return checks
+
+
+def is_valid(e: Column) -> Column:
+    return ~reduce(or_, [violated for violated, _, _ in _constraints(e)])
+
+
+def violations(e: Column, pos: Column) -> Column:
+    """Failed constraints of a readable event as ``events[i].field: message``."""
+    start = F.concat(F.lit("events["), pos.cast("string"))
+    found = [F.when(bad, F.concat(start, F.lit(f"].{name}: {message}"))) for bad, name, message in _constraints(e)]
+    return F.array_compact(F.array(*found))
 
 
 def route_topic(event_type: Column) -> Column:
@@ -111,26 +127,34 @@ def _wire_events(docs: DataFrame, coerce: bool) -> DataFrame:
     return _once(docs, "wire", F.when(~F.col("broken"), wire)).drop("_doc")
 
 
-def _verdict(unreadable: Column, empty: Column, found: Column) -> Column:
-    return F.when(unreadable, F.array(F.lit(UNREADABLE))).when(empty, F.array(F.lit(EMPTY_BATCH))).otherwise(found)
-
-
-def _status(unreadable: Column) -> Column:
-    return F.when(unreadable, "unreadable").when(F.size("errors") > 0, "invalid").otherwise("ok")
+def _judged(docs: DataFrame, unreadable: Column, empty: Column, valid: Column, found: Column) -> DataFrame:
+    """Add ``status`` and, for what did not pass, ``errors``; passing rows build no error list."""
+    status = F.when(unreadable, "unreadable").when(empty | ~valid, "invalid").otherwise("ok")
+    errors = (
+        F.when(unreadable, F.array(F.lit(UNREADABLE)))
+        .when(empty, F.array(F.lit(EMPTY_BATCH)))
+        .when(valid, F.array().cast("array<string>"))
+        .otherwise(found)
+    )
+    return docs.select("*", status.alias("status"), errors.alias("errors"))
 
 
 def classify_events(docs: DataFrame, coerce: bool = False) -> DataFrame:
-    """One row per posted event, judged on its own: ``pos``, ``raw`` text, ``event``, ``status``
+    """One row per posted event, judged on its own: ``pos``, ``raw`` text, ``wire`` fields, ``status``
     (ok, invalid, unreadable) and ``errors``.
 
-    Broken and empty documents give one row with a NULL ``pos``, so nothing posted is lost.
+    Broken and empty documents give one row with a NULL ``pos`` and their ``body``, so nothing
+    posted is lost; other rows do not repeat the body.
     """
-    keep = [*docs.columns, "broken"]
-    rows = _wire_events(docs, coerce).select(*keep, F.posexplode_outer("wire").alias("pos", "_e"))
-    rows = rows.select(*keep, "pos", F.col("_e.raw").alias("raw"), typed_event(F.col("_e.wire")).alias("event"))
-    unreadable = F.col("broken") | (F.col("pos").isNotNull() & ~F.col("event.readable"))
-    errors = _verdict(unreadable, F.col("pos").isNull(), violations(F.col("event"), F.col("pos")))
-    return rows.withColumn("errors", errors).withColumn("status", _status(unreadable)).drop("broken")
+    keep = [c for c in docs.columns if c != "body"]
+    rows = _wire_events(docs, coerce).select(*keep, "body", "broken", F.posexplode_outer("wire").alias("pos", "_e"))
+    whole = F.col("pos").isNull()
+    rows = rows.select(
+        *keep, F.when(whole, F.col("body")).alias("body"), "broken", "pos", F.col("_e.raw").alias("raw"), F.col("_e.wire").alias("wire")
+    )
+    wire = F.col("wire")
+    unreadable = F.col("broken") | (~whole & ~is_readable(wire))
+    return _judged(rows, unreadable, whole, is_valid(wire), violations(wire, F.col("pos"))).drop("broken")
 
 
 def explode_documents(docs: DataFrame) -> DataFrame:
@@ -141,17 +165,18 @@ def explode_documents(docs: DataFrame) -> DataFrame:
 
 
 def classify_batches(docs: DataFrame, coerce: bool = False) -> DataFrame:
-    """Documents with decoded ``events`` and the verdict on the whole document.
+    """Documents with their ``wire`` events and the verdict on the whole document.
 
     The decision is taken on the array inside the row, before any explode, so it needs no shuffle.
     ``errors`` lists every violation of every event.
     """
-    decoded = F.transform("wire", lambda x: F.struct(x["raw"].alias("raw"), typed_event(x["wire"]).alias("event")))
-    docs = _once(_wire_events(docs, coerce), "events", decoded)
-    unreadable = F.col("broken") | F.coalesce(F.exists("events", lambda x: ~x["event"]["readable"]), F.lit(False))
-    found = F.flatten(F.transform("events", lambda x, i: violations(x["event"], i)))
-    docs = _once(docs, "errors", _verdict(unreadable, F.coalesce(F.size("events"), F.lit(0)) <= 0, found))
-    return docs.withColumn("status", _status(unreadable)).drop("wire", "broken")
+    docs = _wire_events(docs, coerce)
+    bad = F.exists("wire", lambda x: ~is_readable(x["wire"]))
+    docs = _once(docs, "_unreadable", F.col("broken") | F.coalesce(bad, F.lit(False)))
+    docs = _once(docs, "_valid", F.coalesce(F.forall("wire", lambda x: is_valid(x["wire"])), F.lit(True)))
+    found = F.flatten(F.transform("wire", lambda x, i: violations(x["wire"], i)))
+    empty = F.coalesce(F.size("wire"), F.lit(0)) <= 0
+    return _judged(docs, F.col("_unreadable"), empty, F.col("_valid"), found).drop("broken", "_unreadable", "_valid")
 
 
 def judge(docs: DataFrame, reject: str = "batch", coerce: bool = False) -> DataFrame:
@@ -166,18 +191,18 @@ def judge(docs: DataFrame, reject: str = "batch", coerce: bool = False) -> DataF
 
 
 def accepted_events(judged: DataFrame) -> DataFrame:
-    """The events that passed, one per row, from either form of ``judge``."""
+    """The events that passed, one typed ``event`` per row, from either form of ``judge``."""
     good = judged.filter("status = 'ok'").drop("body", "status", "errors")
-    if "events" in judged.columns:
-        keep = [c for c in good.columns if c != "events"]
-        good = good.select(*keep, F.posexplode("events").alias("pos", "_e"))
-        good = good.select(*keep, "pos", F.col("_e.raw").alias("raw"), F.col("_e.event").alias("event"))
-    return good
+    keep = [c for c in good.columns if c not in ("pos", "raw", "wire")]
+    if "pos" not in judged.columns:
+        good = good.select(*keep, F.posexplode("wire").alias("pos", "_e"))
+        good = good.select(*keep, "pos", F.col("_e.raw").alias("raw"), F.col("_e.wire").alias("wire"))
+    return good.select(*keep, "pos", "raw", typed_event(F.col("wire")).alias("event"))
 
 
 def rejected_rows(judged: DataFrame) -> DataFrame:
     """The documents or events that did not pass, with ``status`` and ``errors``."""
-    return judged.filter("status <> 'ok'").drop("event", "events")
+    return judged.filter("status <> 'ok'").drop("wire")
 
 
 def accept(docs: DataFrame, reject: str = "batch", coerce: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +244,7 @@ def envelope(accepted: DataFrame, received_at: datetime | str | Column | None =
         F.date_trunc("millisecond", when).alias("received_at"),
         "source_ip",
         app_id.alias("app_id"),
-        F.col("event").dropFields("readable").alias("event"),
+        "event",
     )
 
 
@@ -245,7 +270,7 @@ def decode_records(records: DataFrame) -> DataFrame:
         F.col("_v.source_ip").alias("source_ip"),
         F.col("_v.app_id").alias("app_id"),
         "event",
-        F.coalesce(F.col("event.readable"), F.lit(False)).alias("readable"),
+        F.coalesce(is_readable(F.col("_e")), F.lit(False)).alias("readable"),
     )
 
 

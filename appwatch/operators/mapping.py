@@ -58,10 +58,9 @@ def to_table(envelopes: DataFrame, spec: S.TableSpec) -> DataFrame:
     return rows.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in spec.schema])
 
 
-def skip_unknown(envelopes: DataFrame, observation: Observation | None = None) -> DataFrame:
+def skip_unknown(envelopes: DataFrame, observation: Observation | None = None, column: str = "event.event_type") -> DataFrame:
     """Known event types only; the number skipped is observed while the rows pass by."""
-    known = F.col("event.event_type").isin(*S.EVENT_TYPES)
-    known = F.coalesce(known, F.lit(False))
+    known = F.coalesce(F.col(column).isin(*S.EVENT_TYPES), F.lit(False))
     if observation is not None:
         envelopes = envelopes.observe(observation, F.count_if(~known).alias("skipped"))
     return envelopes.filter(known)

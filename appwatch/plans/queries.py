@@ -662,7 +662,7 @@ def map_errors(spark: SparkSession, sf: str) -> DataFrame:
 def skipped_types(spark: SparkSession, sf: str) -> DataFrame:
     """What is left per type once unknown event types are skipped."""
     rows = ingest.classify_events(V.documents(spark, sf, defects=True)).filter("pos is not null")
-    return skip_unknown(rows).groupBy(F.col("event.event_type").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
+    return skip_unknown(rows, column="wire.event_type").groupBy(F.col("wire.event_type").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("coerce_sdk", select("SELECT event_id, event_type, event_name, error_type, replace(event_data, ' ', '') AS event_data FROM w"))

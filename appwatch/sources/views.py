@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from appwatch.schema import MOBILE_API_CALLS, MOBILE_ERRORS, MOBILE_EVENTS, TableSpec
-from appwatch.session import use_utc
+from appwatch.session import prepare
 
 # How the generic event types are read as telemetry.
 SOURCE_TYPES = {
@@ -58,7 +58,7 @@ _COLUMNS = {
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _deliveries(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None) -> DataFrame:

@@ -147,7 +147,7 @@ def test_unknown_types_are_skipped_and_observed(spark):
 
     seen = Observation("skipped")
     rows = ingest.classify_events(docs(spark, {"events": [VIEW, {**VIEW, "event_type": "zoom"}]}))
-    assert skip_unknown(rows, seen).count() == 1
+    assert skip_unknown(rows, seen, "wire.event_type").count() == 1
     assert seen.get["skipped"] == 1
 
 
