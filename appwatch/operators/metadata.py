@@ -11,23 +11,17 @@ ID_BUCKETS = 4096
 
 
 def assign_ids(rows: DataFrame, key: str, existing: DataFrame) -> DataFrame:
-    """Number new rows, unique by the text column ``key``, upwards from the largest existing id.
+    """Give new rows, unique by the text column ``key``, ids above the largest existing one.
 
-    Rows are numbered inside 4096 hash buckets of ``key``, shifted by the sizes of the buckets
-    before: only bucket sizes meet in one place. The order is by bucket, then key, so a re-run
-    gives the same ids.
+    Rows are numbered inside 4096 hash buckets of ``key`` and the buckets interleave, so no task
+    sees all rows. Ids are unique and the same when run again, but not without gaps.
     """
-    bucketed = rows.withColumn("_bucket", F.substring(F.md5(F.col(key)), 1, 3))
-    sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    bucket = F.conv(F.substring(F.md5(F.col(key)), 1, 3), 16, 10).cast("long")
     base = existing.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    return (
-        bucketed.join(offsets, "_bucket")
-        .withColumn("id", base + F.col("_offset") + within)
-        .select("id", *rows.columns)
-    )
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)).cast("long")
+    numbered = rows.withColumn("_bucket", bucket).withColumn("_within", within)
+    new_id = base + (F.col("_within") - 1) * ID_BUCKETS + F.col("_bucket") + 1
+    return numbered.select(new_id.alias("id"), *rows.columns)
 
 
 def register_apps(names: DataFrame, apps: DataFrame) -> DataFrame:

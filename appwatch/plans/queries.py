@@ -458,7 +458,8 @@ def alerts_bad_rule(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "alerts_fire",
     select(
-        "SELECT (SELECT max(id) FROM firings) + row_number() OVER (ORDER BY substr(md5(CAST(rule_id AS VARCHAR)), 1, 3), CAST(rule_id AS VARCHAR)) AS id, "
+        "SELECT (SELECT max(id) FROM firings) + (row_number() OVER (PARTITION BY substr(md5(CAST(rule_id AS VARCHAR)), 1, 3) "
+        "ORDER BY CAST(rule_id AS VARCHAR)) - 1) * 4096 + CAST('0x' || substr(md5(CAST(rule_id AS VARCHAR)), 1, 3) AS BIGINT) + 1 AS id, "
         "rule_id, app_id, TIMESTAMP '2024-01-03' AS fired_at, CAST(NULL AS TIMESTAMP) AS resolved_at, "
         "round(value, 4) AS value_observed, 'firing' AS status FROM ev WHERE breached AND NOT EXISTS (SELECT 1 FROM firings f "
         "WHERE f.rule_id = ev.rule_id AND f.status = 'firing' AND f.fired_at >= TIMESTAMP '2024-01-03' - to_minutes(2 * window_minutes))",
@@ -515,8 +516,8 @@ def alerts_backtest(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "register_apps",
     select(
-        "SELECT (SELECT max(id) FROM apps) + row_number() OVER (ORDER BY substr(md5(name), 1, 3), name) AS id, name "
-        "FROM (SELECT DISTINCT 'app-' || CAST(user_id AS VARCHAR) AS name FROM events) WHERE name NOT IN (SELECT name FROM apps)"
+        "SELECT (SELECT max(id) FROM apps) + (row_number() OVER (PARTITION BY substr(md5(name), 1, 3) ORDER BY name) - 1) * 4096 "
+        "+ CAST('0x' || substr(md5(name), 1, 3) AS BIGINT) + 1 AS id, name FROM (SELECT DISTINCT 'app-' || CAST(user_id AS VARCHAR) AS name FROM events) WHERE name NOT IN (SELECT name FROM apps)"
     ),
 )
 def register_apps(spark: SparkSession, sf: str) -> DataFrame:

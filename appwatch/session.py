@@ -9,8 +9,13 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(name: str = "appwatch", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with the settings this package relies on; cluster sizing stays with spark-submit."""
+def build_session(
+    name: str = "appwatch", master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None
+) -> SparkSession:
+    """A session with the settings this package relies on; cluster sizing stays with spark-submit.
+
+    ``driver_memory`` matters in local mode, where the driver does all the work.
+    """
     builder = (
         SparkSession.builder.appName(name)
         .config("spark.sql.adaptive.enabled", "true")
@@ -18,6 +23,8 @@ def build_session(name: str = "appwatch", master: str | None = None, shuffle_par
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return prepare(builder.getOrCreate())

@@ -15,7 +15,7 @@ SMALL = os.environ.get("APPWATCH_TEST_DATA", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("appwatch-tests", "local[8]", 8)
+    session = build_session("appwatch-tests", "local[8]", 8, "8g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

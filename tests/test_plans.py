@@ -9,8 +9,6 @@ import pytest
 import __spark_entry__ as entry
 
 QUERIES = entry.queries()
-# Numbering new ids adds up the sizes of 4096 buckets in one place: that window is bounded.
-ONE_PLACE_WINDOW = {"register_apps", "alerts_fire"}
 
 
 def physical(df):
@@ -23,7 +21,7 @@ def test_plan_shape(name, spark, small):
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
     assert not re.search(r"EvalPython|MapInPandas|FlatMapGroups|ArrowEval", plan)
     for line in plan.splitlines():
-        if re.search(r"Window \[", line) and name not in ONE_PLACE_WINDOW:
+        if re.search(r"Window \[", line):
             spec = re.search(r"windowspecdefinition\((.*?)(ASC|DESC|specifiedwindowframe)", line)
             assert spec and "#" in spec.group(1), line
 
