@@ -50,13 +50,13 @@ def _typed_fields(e: Column) -> dict[str, Column]:
     """The fields that are not text. Values arrive as text, so numbers may be quoted."""
 
     def whole(name: str) -> Column:
-        return F.coalesce(e[name].try_cast("long"), e[name].try_cast("double").cast("long"))
+        return F.coalesce(e[name].try_cast("long"), e[name].try_cast("double").try_cast("long"))
 
     return {
         "timestamp": utc_millis(e["timestamp"]),
         "cold_start": e["cold_start"].try_cast("boolean"),
         "duration_ms": e["duration_ms"].try_cast("double"),
-        "status_code": e["status_code"].try_cast("double").cast("int"),
+        "status_code": e["status_code"].try_cast("double").try_cast("int"),
         "request_size": whole("request_size"),
         "response_size": whole("response_size"),
     }

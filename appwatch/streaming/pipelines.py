@@ -98,13 +98,18 @@ def consume_topic(records: DataFrame, spec: S.TableSpec, root: str, checkpoint:
     return _start(records, write, checkpoint, once)
 
 
-def distinct_events(accepted: DataFrame, lateness: str) -> DataFrame:
-    """Each event id once among events no later than ``lateness``; state is dropped past it."""
+def distinct_events(accepted: DataFrame, lateness: str, salts: int = 16) -> DataFrame:
+    """Each event id once among events no later than ``lateness``; state is dropped past it.
+
+    Copies of one id are first thinned out in ``salts`` groups by where they were posted, so that an
+    id with very many copies does not go through a single task.
+    """
     rows = accepted.select(
         F.col("event.event_id").alias("event_id"), F.col("event.event_type").alias("event_type"),
         F.col("event.session_id").alias("session_id"), F.col("event.timestamp").alias("event_time"),
-    )
-    return rows.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["event_id"])
+        F.pmod(F.xxhash64("batch_id", "pos", "received_at", "source_ip"), F.lit(salts)).alias("_salt"),
+    ).withWatermark("event_time", lateness)
+    return rows.dropDuplicatesWithinWatermark(["event_id", "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(["event_id"])
 
 
 def keep_state_on_disk(rows: DataFrame) -> None:

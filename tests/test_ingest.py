@@ -114,6 +114,17 @@ def test_numbers_may_be_quoted_and_bad_ones_are_unreadable(spark):
     assert [r.status for r in bad.collect()] == ["unreadable"]
 
 
+def test_poison_values_do_not_stop_the_job(spark):
+    call = {**COMMON, "event_type": "api_timing", "method": "GET", "path": "/x", "status_code": 200, "duration_ms": 1}
+    bad = [
+        {**call, "status_code": 1e300}, {**call, "status_code": "NaN"}, {**call, "request_size": "1e300"}, {**call, "duration_ms": {}},
+        {**call, "timestamp": "2025-02-30T00:00:00Z"}, {**call, "timestamp": 5}, {**VIEW, "event_data": [1]}, {**call, "event_type": ["x"]}, 7, "text", [], None,
+    ]
+    good, rejected = ingest.accept(docs(spark, {"events": [*bad, call]}), reject="event")
+    assert [r.status for r in rejected.collect()] == ["unreadable"] * len(bad)
+    assert to_table(ingest.envelope(good), S.MOBILE_API_CALLS).count() == 1
+
+
 def test_client_form_needs_coercion(spark):
     error = {**COMMON, "event_type": "error", "error_class": "TypeError", "error_message": "x", "fatal": True}
     custom = {**COMMON, "event_type": "custom_event", "name": "buy", "properties": {"n": 1}}
