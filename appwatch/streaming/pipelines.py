@@ -112,17 +112,26 @@ def distinct_events(accepted: DataFrame, lateness: str, salts: int = 16) -> Data
     return rows.dropDuplicatesWithinWatermark(["event_id", "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(["event_id"])
 
 
-def keep_state_on_disk(rows: DataFrame) -> None:
-    """Hold stream state in RocksDB, off the heap, and checkpoint only its changes."""
-    conf = rows.sparkSession.conf
-    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+# Stream state in RocksDB, off the heap, checkpointing only its changes; expired state goes with the
+# next batch of data instead of in a batch of its own.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def write_distinct(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    keep_state_on_disk(rows)
-    writer = rows.writeStream.format("parquet").outputMode("append")
-    return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf = rows.sparkSession.conf
+    before = {name: conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        conf.set(name, value)
+    try:
+        writer = rows.writeStream.format("parquet").outputMode("append")
+        return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:  # a stream keeps the settings it was started with; others in the session keep theirs
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def minute_windows(rows: DataFrame, name: str, lateness: str) -> DataFrame:
