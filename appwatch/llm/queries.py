@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from appwatch.llm import common, mixing, quality_rules, sentencepiece
+from appwatch.llm import common, mixing, quality_rules, sentencepiece, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,6 +59,22 @@ FROM curved
 """
 
 
+WARC_SQL = """
+WITH pages_ AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+grouped AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS largest FROM pages_)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN largest IS NOT NULL AND (page_id IS NULL OR page_id < largest) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN largest IS NOT NULL AND (page_id IS NULL OR page_id < largest) THEN largest END AS refers_to
+FROM grouped
+"""
+
+
+@query("op1_warc", WARC_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(common.table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op5_mix_sources", MIX_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
