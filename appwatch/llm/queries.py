@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from appwatch.llm import common, minhash, mixing, quality_rules, sentencepiece, warc
+from appwatch.llm import common, minhash, mixing, quality_rules, sentencepiece, token_counts, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +87,31 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", *mixing.NEW)
 
 
+TOPK_SQL = """
+WITH vectors AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.vec, v.vec)::BIGINT AS score
+  FROM vectors q JOIN vectors v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(q.vec) = len(v.vec))
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+WHERE rank <= 10
+"""
+
+
+@query("op6_topk", TOPK_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return token_counts.limits(token_counts.histogram(token_counts.encoded_lengths(docs, piece_model())))
+
+
 @query("op8_sentencepiece")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
