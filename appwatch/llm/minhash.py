@@ -5,7 +5,10 @@ take part in what follows, once each. A set has ``bands`` x ``rows`` MinHash val
 hash to a bucket key; classes that share a key are candidates. All values together toggle the bits of
 an odd sketch: the population count of the XOR of two sketches tells how many values differ, which
 estimates high similarities well. Candidates far below the threshold are dropped by it with a margin
-of over five standard deviations; the rest is checked on the whole sets.
+of over five standard deviations. A finer odd sketch holds the hash sample of a set at two sampling
+rates (the whole set, if it is small): its XOR count never exceeds the number of differing members, so
+for small sets it drops no link at all, and for large ones allows five standard deviations. What is
+left is checked on the whole sets.
 
 Pairs are never all written. In rounds, every class offers the partners of nearest sketch that are not
 yet in its component; they are checked, links join components, and offers widen until no candidate of
@@ -49,6 +52,8 @@ class Params:
     bands: int = 32
     rows: int = 4
     sketch_bits: int = 512
+    fine_bits: int = 2048
+    fine_members: int = 512
     margin: float = 0.2
     block: int = 4096
 
@@ -152,40 +157,62 @@ class Signer:
         return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-SIGNATURES = "doc_id long, n_shingles long, class binary, bands array<long>, sketch binary"
+    def fine(self, hashes: np.ndarray) -> bytes:
+        """Parities of the members sampled at this set's rate, and of those sampled at half of it."""
+        spread = mix(hashes ^ np.uint64(_BASE))
+        level, out = fine_level(len(hashes), self.params.fine_members), b""
+        for at in (level, level + 1):
+            sample = spread[(spread & np.uint64((1 << at) - 1)) == 0]
+            bits = ((sample >> np.uint64(40)) % np.uint64(self.params.fine_bits)).astype(np.int64)
+            out += np.packbits((np.bincount(bits, minlength=self.params.fine_bits) & 1).astype(np.uint8)).tobytes()
+        return out
+
+
+def fine_level(size: int, members: int) -> int:
+    """How often the sampling rate is halved for a set of this size."""
+    return max(0, (max(size, 1) - 1) // members).bit_length()
+
+
+SIGNATURES = "doc_id long, n_shingles long, class binary, bands array<long>, sketch binary, fine binary"
 
 
 def signatures(docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         signer = Signer(params)
         for batch in common.slices(batches):
-            out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_shingles": [], "class": [], "bands": [], "sketch": []}
+            out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_shingles": []}
+            out |= {n: [] for n in ("class", "bands", "sketch", "fine")}
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes((text or "").encode("utf-8", "surrogatepass"), params.shingle)
                 out["n_shingles"].append(len(hashes))
                 if not len(hashes):
-                    for n in ("class", "bands", "sketch"):
+                    for n in ("class", "bands", "sketch", "fine"):
                         out[n].append(None)
                     continue
                 minima = signer.minima(hashes)
                 out["class"].append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 out["bands"].append(signer.bands(minima))
                 out["sketch"].append(signer.sketch(minima))
+                out["fine"].append(signer.fine(hashes))
             yield common.to_batch(out, SIGNATURES)
 
     chosen = docs.select(common.field(docs, id_col, "long").alias("doc_id"), common.field(docs, text_col, "string").alias("text"))
     return common.map_arrow(chosen, run, SIGNATURES)
 
 
-def offers(rows: list[tuple], most_bits: int, percent: int, top: int) -> tuple[list[tuple[int, int, int]], bool]:
-    """Pairs (smaller, larger, differing bits) that the members of a bucket offer, and if any had more to offer.
+def offers(rows: list[tuple], params: Params, top: int) -> tuple[list[tuple[int, int, int]], bool]:
+    """Pairs (smaller, larger, rank) that the members of a bucket offer, and if any had more to offer.
 
-    A member is (rep, component, size, sketch). Work is a block of rows at a time.
+    A member is (rep, component, size, sketch, fine sketch). Work is a block of rows at a time. The rank
+    is the differing share of the fine sketches, in thousandths.
     """
     reps = np.array([r[0] for r in rows])
     labels = np.array([r[1] for r in rows])
     sizes = np.array([r[2] for r in rows])
     words = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+    fine = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), 2, -1)
+    levels = np.array([fine_level(int(n), params.fine_members) for n in sizes])
+    apart = (100 - params.percent) / (100 + params.percent)
     found: set[tuple[int, int, int]] = set()
     more = False
     for i in range(0, len(rows), 64):
@@ -193,21 +220,31 @@ def offers(rows: list[tuple], most_bits: int, percent: int, top: int) -> tuple[l
         bits = np.zeros((len(reps[part]), len(rows)), np.int32)
         for k in range(words.shape[1]):
             bits += np.bitwise_count(words[part, k][:, None] ^ words[None, :, k])
-        fits = (bits <= most_bits) & (labels[part][:, None] != labels[None, :])
+        fits = (bits <= params.most_differing_bits) & (labels[part][:, None] != labels[None, :])
         low, high = np.minimum(sizes[part][:, None], sizes[None, :]), np.maximum(sizes[part][:, None], sizes[None, :])
-        fits &= 100 * low >= percent * high
-        for j in np.flatnonzero(fits.any(axis=1)):
-            at = np.flatnonzero(fits[j])
-            if len(at) > top:
-                more = True
-                at = at[np.lexsort((reps[at], bits[j, at]))[:top]]
-            for x in at:
-                a, b = int(reps[i + j]), int(reps[x])
-                found.add((min(a, b), max(a, b), int(bits[j, x])))
+        fits &= 100 * low >= params.percent * high
+        left, right = np.nonzero(fits)
+        if not len(left):
+            continue
+        level = np.maximum(levels[i + left], levels[right])
+        differ = np.zeros(len(left), np.int64)
+        for j in range(0, len(left), 50_000):
+            a, b = i + left[j : j + 50_000], right[j : j + 50_000]
+            at = level[j : j + 50_000]
+            differ[j : j + 50_000] = np.bitwise_count(fine[a, at - levels[a]] ^ fine[b, at - levels[b]]).sum(axis=1)
+        expected = (sizes[i + left] + sizes[right]) * apart / (1 << level)
+        keep = differ <= np.where(level > 0, expected + 5 * np.sqrt(expected) + 3, expected)
+        left, right, rank = left[keep], right[keep], (1000 * differ[keep] / np.maximum(expected[keep], 1e-9)).astype(np.int64)
+        order = np.lexsort((reps[right], rank, left))
+        left, right, rank = left[order], right[order], rank[order]
+        place = np.arange(len(left)) - np.searchsorted(left, left)
+        more |= bool((place >= top).any())
+        for a, b, r in zip(reps[i + left[place < top]].tolist(), reps[right[place < top]].tolist(), rank[place < top].tolist()):
+            found.add((min(a, b), max(a, b), r))
     return sorted(found), more
 
 
-OFFERS = "a long, b long, bits int, more boolean"
+OFFERS = "a long, b long, rank long, more boolean"
 
 
 def _offer_pairs(members: DataFrame, params: Params, top: int) -> DataFrame:
@@ -216,10 +253,10 @@ def _offer_pairs(members: DataFrame, params: Params, top: int) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
-                pairs, more = offers(rows, params.most_differing_bits, params.percent, top)
+                pairs, more = offers(rows, params, top)
                 if pairs:
-                    a, b, bits = map(list, zip(*pairs))
-                    yield common.to_batch({"a": a, "b": b, "bits": bits, "more": [more] * len(a)}, OFFERS)
+                    a, b, rank = map(list, zip(*pairs))
+                    yield common.to_batch({"a": a, "b": b, "rank": rank, "more": [more] * len(a)}, OFFERS)
 
         at, rows = None, []
         for batch in common.slices(batches, 4096):
@@ -231,7 +268,7 @@ def _offer_pairs(members: DataFrame, params: Params, top: int) -> DataFrame:
         yield from close(rows)
 
     ordered = members.repartition("key", "part").sortWithinPartitions("key", "part", "rep")
-    return common.map_arrow(ordered.select("key", "part", "rep", "component", "n_shingles", "sketch"), run, OFFERS)
+    return common.map_arrow(ordered.select("key", "part", "rep", "component", "n_shingles", "sketch", "fine"), run, OFFERS)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
@@ -264,7 +301,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     # One row per distinct set, named by its smallest id; copies combine before the shuffle.
     classes = stored(
         real.groupBy("class")
-        .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("of"))
+        .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sketch", "fine"), "doc_id").alias("of"))
         .select("class", "rep", "of.*"),
         "classes",
     )
@@ -272,7 +309,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("center")).where("n > 1")
     meet = stored(keys.join(buckets, "key"), "buckets")
     near = meet.select("rep").distinct()
-    marked = stored(classes.join(near, "rep", "left_semi").select("rep", "n_shingles", "sketch"), "members")
+    marked = stored(classes.join(near, "rep", "left_semi").select("rep", "n_shingles", "sketch", "fine"), "members")
     texts = docs.select(common.field(docs, id_col, "long").alias("rep"), common.field(docs, text_col, "string").alias("text"))
     texts = stored(texts.join(near, "rep", "left_semi"), "texts")
 
@@ -281,11 +318,11 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     while True:
         members = _members(meet, marked, labels, params.block, first)
         offered = stored(_offer_pairs(members, params, top), "offers")
-        pairs = offered.groupBy("a", "b").agg(F.min("bits").alias("bits"))
+        pairs = offered.groupBy("a", "b").agg(F.min("rank").alias("rank"))
         if first:
             # At first one partner each will do: that of the nearest sketch over all bands.
-            sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
-            best = sides.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select("a", "best.b")
+            sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "rank"))
+            best = sides.groupBy("a").agg(F.min(F.struct("rank", "b")).alias("best")).select("a", "best.b")
             pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.select("a", "b")
         if tested is not None:
@@ -328,7 +365,7 @@ def _members(meet: DataFrame, marked: DataFrame, labels: DataFrame, block: int,
         everywhere = F.col("component") != F.col("center_component")
     parts = F.when(everywhere & (blocks > 1), F.sequence(F.lit(0), blocks - 1)).otherwise(own)
     placed = labelled.select("key", "rep", "component", F.explode(parts).alias("part"))
-    return placed.join(marked, "rep").select("key", "part", "rep", "component", "n_shingles", "sketch")
+    return placed.join(marked, "rep").select("key", "part", "rep", "component", "n_shingles", "sketch", "fine")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
