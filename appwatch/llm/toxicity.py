@@ -3,7 +3,7 @@
 The kernel of two words counts the subsequences of three signs they share, each weighted by
 ``decay`` to the power of its span, so letters that are left out, put in or separated cost a little
 but do not hide a word. Spans reach ``span`` signs at most. Words are first brought to a small
-alphabet: lower case, without accents, with marks for their start and end.
+alphabet of lower-case letters, with marks for their start and end.
 
 Training takes a bounded sample of labelled sentences. Words that sentences of toxic documents have
 far more often than clean ones are the first witnesses; landmarks are spread over witnesses and common clean words;
@@ -12,9 +12,12 @@ multiple-instance learning, it then finds further witnesses, and the clean words
 
 The machine's value of a word is a weighted sum over landmarks, each a sum over subsequences. Summed
 over the landmarks once, it is one weight per subsequence, so scoring a word costs about ten table
-look-ups per sign, whatever the number of landmarks. A document scores as its worst word.
+look-ups per sign, whatever the number of landmarks. Values are calibrated on sentences that the
+machine was not fitted to: each range of values has a log ratio of its rates in toxic and clean
+sentences. A document's log odds are the sum over its distinct words, so one plain insult is enough,
+while a word that is only like one needs company.
 
-Cases: a null or empty text scores as a harmless word. Rows without label, and labels other than 0 and
+Cases: a null or empty text has the prior score. Rows without label, and labels other than 0 and
 1, do not train. Without both classes to learn from, all scores are the share of toxic labels, or 0
 without labels. Ids may be null (such rows are scored, and never train) or repeated. Texts are scored
 whole. Other columns, and all columns but the text, are never part of a score.
@@ -36,9 +39,11 @@ from pyspark.sql import functions as F
 
 from appwatch.llm import common
 
-BITS = 5
+BITS = 6
+ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß"  # fixed value: letters told apart from their plain forms
 BIAS = -1.0
-START, END, DIGIT, SIGN, OTHER = 26, 27, 28, 29, 30
+EDGES = np.array([-0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 0.9])  # borders of the calibrated ranges
+START, END, DIGIT, SIGN, OTHER = 59, 60, 61, 62, 63
 
 
 @dataclass(frozen=True)
@@ -54,16 +59,17 @@ class Params:
     negatives: int = 8000
     ridge: float = 1e-5
     rounds: int = 3
-    steepness: float = 8.0
+    prior: float = -2.0
     cache: int = 400_000
 
 
 def _letter(code: int) -> int:
-    c = unicodedata.normalize("NFKD", chr(code).lower())[:1]
+    c = chr(code).lower()[:1]
+    if c in ACCENTED:
+        return 26 + ACCENTED.index(c)
+    c = unicodedata.normalize("NFKD", c)[:1]
     if "a" <= c <= "z":
         return ord(c) - 97
-    if c == "ß":
-        return 18
     return DIGIT if c.isdigit() else OTHER if c.isalpha() else SIGN
 
 
@@ -125,12 +131,15 @@ def features(words: list[str], params: Params) -> tuple[np.ndarray, np.ndarray,
 def kernel(words: list[str], landmarks: list[str], params: Params) -> np.ndarray:
     """Normalised kernel of words (rows) and landmarks (columns)."""
     owner, number, weight = features(landmarks, params)
-    table = np.zeros((1 << 3 * BITS, len(landmarks)), np.float32)
-    table[number, owner] = weight
+    used, place = np.unique(number, return_inverse=True)
+    table = np.zeros((len(used) + 1, len(landmarks)), np.float32)  # the last row stands for all others
+    table[place, owner] = weight
     out = np.zeros((len(words), len(landmarks)))
     for i in range(0, len(words), 200):
         part = words[i : i + 200]
         owner, number, weight = features(part, params)
+        at = np.searchsorted(used, number)
+        number = np.where(used[np.minimum(at, len(used) - 1)] == number, at, len(used))
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
         out[i + owner[starts]] = np.add.reduceat(table[number] * weight[:, None].astype(np.float32), starts)
     return out
@@ -144,7 +153,7 @@ class Machine:
     bias: float
     params: Params
     constant: float | None = None
-    border: float = 0.0
+    ratios: np.ndarray | None = None
 
     def values(self, words: list[str]) -> np.ndarray:
         """Machine values, some thousand words at a time. Sums below zero are not scaled: none is a worst word."""
@@ -164,8 +173,14 @@ class Machine:
             values[positive] = self.bias + sums[positive] / norm
         return values
 
-    def score(self, value: float) -> float:
-        return float(1 / (1 + np.exp(-self.params.steepness * (value - self.border))))
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Log ratio of toxic to clean for each word."""
+        return self.ratios[np.searchsorted(EDGES, self.values(words))]
+
+    def score(self, evidence: float) -> float:
+        if self.constant is not None:
+            return self.constant
+        return float(1 / (1 + np.exp(-min(max(self.params.prior + evidence, -500.0), 500.0))))
 
 
 def _spread(words: list[str], n: int, params: Params) -> list[str]:
@@ -213,7 +228,8 @@ def train(sentences: list[tuple[int, str]], params: Params = Params()) -> Machin
     A word counts once for each word it follows. Copies of a document, exact or near, repeat its words
     in the same places, so they do not make a word stand out, while insults turn up anywhere.
     """
-    sentences = sorted(set(sentences))
+    everything = sorted(set(sentences))
+    sentences = [s for s in everything if hash_of(s[1]) % 3]
     sets = [(label, words_of(text)) for label, text in sentences]
     toxic, clean = (Counter(w for _, w in {p for label, text in sentences if label == of for p in _pairs(text)}) for of in (1, 0))
     n_toxic = sum(1 for label, _ in sets if label)
@@ -267,17 +283,23 @@ def train(sentences: list[tuple[int, str]], params: Params = Params()) -> Machin
         negatives += hard
         if hard:
             far = np.vstack([far, kernel(hard, landmarks, params) @ root])
-    # The border lies between nearly all clean sentences and the sentences that hold a first witness,
-    # nearer to the latter: a document is judged by the worst of many words.
-    known = sorted({w for _, ws in sets for w in ws})
-    value = dict(zip(known, machine.values(known).tolist()))
-    calm = [max((value[w] for w in ws), default=machine.bias) for label, ws in sets if not label]
-    early = set(first)
-    hit = [max(value[w] for w in ws) for label, ws in sets if label and not early.isdisjoint(ws)]
-    machine.border = max(0.0, float(0.25 * np.quantile(calm, 0.9995) + 0.75 * np.quantile(hit, 0.005)))
+    machine.ratios = _calibrate(machine, [s for s in everything if not hash_of(s[1]) % 3])
     return machine
 
 
+def _calibrate(machine: Machine, sentences: list[tuple[int, str]]) -> np.ndarray:
+    """Log ratios of the value ranges, made to rise with the value."""
+    counts = np.full((2, len(EDGES) + 1), 0.5)
+    for of in (0, 1):
+        words = Counter(w for _, w in {p for label, text in sentences if label == of for p in _pairs(text)})
+        if words:
+            names = sorted(words)
+            places = np.searchsorted(EDGES, machine.values(names))
+            counts[of] += np.bincount(places, [words[w] for w in names], len(EDGES) + 1)
+    rates = counts / counts.sum(axis=1)[:, None]
+    return np.maximum.accumulate(np.log(rates[1] / rates[0]))
+
+
 def hash_of(word: str) -> int:
     import zlib
 
@@ -331,9 +353,9 @@ def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
                 if len(known) > machine.params.cache:
                     known.clear()
                 new = sorted(set().union(*sets).difference(known))
-                known.update(zip(new, machine.values(new).tolist()))
+                known.update(zip(new, machine.evidence(new).tolist()))
                 for ws in sets:
-                    scores.append(machine.score(max([known[w] for w in ws], default=machine.bias)))
+                    scores.append(machine.score(sum([known[w] for w in ws])))
             yield common.to_batch({"doc_id": batch.column(0).to_pylist(), "score": scores}, SCORES)
 
     chosen = docs.select(common.field(docs, id_col, "long").alias("doc_id"), common.field(docs, text_col, "string").alias("text"))
