@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from appwatch.llm import common, minhash, mixing, quality_classifier, quality_rules, sentencepiece, token_counts, topk, toxicity, warc
+from appwatch.llm import common, minhash, mixing, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_counts, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,6 +128,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_documents(docs, piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return suffix_dedup.remove_repeats(docs, outputs=("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
