@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from appwatch.llm import common, sentencepiece
+from appwatch.llm.common import stored
 
 SPAN = 1024
 
@@ -43,8 +44,9 @@ def encoded_lengths(docs: DataFrame, model_path: str, text_col: str = "text", id
 
 
 def histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
-    """``n_tokens`` and ``n_docs`` for each length that occurs."""
-    return lengths.groupBy(F.col(length_col).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    """``n_tokens`` and ``n_docs`` for each length that occurs; written once, as all answers come from it."""
+    counted = lengths.groupBy(F.col(length_col).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    return stored(counted, "lengths")
 
 
 def limits(hist: DataFrame) -> DataFrame:
