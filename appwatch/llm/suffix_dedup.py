@@ -38,6 +38,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from appwatch.llm import common
 from appwatch.llm.common import stored
@@ -97,51 +98,64 @@ def anchors(data: bytes, ends: np.ndarray, params: Params) -> tuple[np.ndarray,
     return hashes, at[first], at[last], np.searchsorted(ends, at[first], side="right")
 
 
-GROUPED = "part long, doc_id long, raw binary"
+GROUPED = T.StructType([T.StructField("part", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("raw", T.BinaryType())])
 
 
-def grouped(docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
-    """A stored copy of ids and bytes, with the number of the group each row is in."""
+def grouped(docs: DataFrame, params: Params, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """A stored copy of ids and bytes, with the number of the group each row is in.
+
+    With ``carry`` the whole row but its text goes along, as a struct ``rest``.
+    """
+    chosen = docs.select(common.field(docs, id_col, "long").alias("doc_id"), common.field(docs, text_col, "string").alias("text"))
+    schema = GROUPED
+    if carry:
+        rest = [F.when(F.lit(c != text_col), F.col(f"`{c}`")).alias(c) for c in docs.columns]
+        rest = F.struct(*rest, F.col(f"`{text_col}`").isNull().alias("text_is_null"))
+        chosen = docs.select(
+            common.field(docs, id_col, "long").alias("doc_id"), common.field(docs, text_col, "string").alias("text"), rest.alias("rest")
+        )
+        schema = T.StructType([*GROUPED.fields, chosen.schema["rest"]])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         part, size = TaskContext.get().partitionId() << 24, 0
         for batch in common.slices(batches):
             raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            yield common.to_batch({"part": [part] * len(raws), "doc_id": batch.column(0).to_pylist(), "raw": raws}, GROUPED)
+            columns = {"part": [part] * len(raws), "doc_id": batch.column(0).to_pylist(), "raw": raws}
+            if carry:
+                columns["rest"] = batch.column(2).to_pylist()
+            yield common.to_batch(columns, schema)
             size += sum(map(len, raws))
             if size >= params.group_bytes:
                 part, size = part + 1, 0
 
-    chosen = docs.select(common.field(docs, id_col, "long").alias("doc_id"), common.field(docs, text_col, "string").alias("text"))
-    return stored(common.map_arrow(chosen, run, GROUPED), "grouped")
+    return stored(common.map_arrow(chosen, run, schema), "grouped")
 
 
-def _slices(batches) -> Iterator[tuple[int, list, list[bytes]]]:
-    """Group number, ids and bytes of rows that follow each other in one group, some hundred kB at a time."""
-    at, ids, raws, size = None, [], [], 0
+def _slices(batches) -> Iterator[tuple[int, list[list]]]:
+    """Group number and columns of rows that follow each other in one group, some hundred kB at a time."""
+    at, rows, size = None, [], 0
     for batch in common.slices(batches):
-        for part, doc_id, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            if ids and (part != at or size >= 1 << 19):
-                yield at, ids, raws
-                ids, raws, size = [], [], 0
+        for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and (part != at or size >= 1 << 19):
+                yield at, [list(c) for c in zip(*rows)]
+                rows, size = [], 0
             at = part
-            ids.append(doc_id)
-            raws.append(raw)
-            size += len(raw)
-    if ids:
-        yield at, ids, raws
+            rows.append(row)
+            size += len(row[1])
+    if rows:
+        yield at, [list(c) for c in zip(*rows)]
 
 
-def _by_group(slices) -> Iterator[tuple[int, list[tuple[list, list[bytes]]]]]:
+def _by_group(slices) -> Iterator[tuple[int, Iterator[list[list]]]]:
     """The slices of each group in turn, without keeping them."""
     held = next(slices, None)
     while held is not None:
         part = held[0]
 
-        def rest() -> Iterator[tuple[list, list[bytes]]]:
+        def rest() -> Iterator[list[list]]:
             nonlocal held
             while held is not None and held[0] == part:
-                yield held[1], held[2]
+                yield held[1]
                 held = next(slices, None)
 
         yield part, rest()
@@ -191,7 +205,7 @@ def _send_hashes(copy: DataFrame, bits: int, params: Params) -> DataFrame:
                         {"bucket": [bucket], "part": [part], "hashes": [packed], "twice": [np.packbits(times[a:b] > 1).tobytes()]}, SENT
                     )
 
-    return common.map_arrow(copy, run, SENT)
+    return common.map_arrow(copy.select("part", "doc_id", "raw"), run, SENT)
 
 
 SHARED = "part long, hashes binary"
@@ -263,7 +277,7 @@ def _stretches(copy: DataFrame, shared_path: str, params: Params) -> DataFrame:
                 out |= {"low": [found[k][0] for k in own], "high": [found[k][1] for k in own]}
                 yield common.to_batch(out, STRETCHES)
 
-    return common.map_arrow(copy, run, STRETCHES)
+    return common.map_arrow(copy.select("part", "doc_id", "raw"), run, STRETCHES)
 
 
 FOUND = "part long, hash long, code long, first int, windows int, low long"
@@ -354,13 +368,22 @@ def _resolve_hot(stretches: DataFrame, params: Params) -> DataFrame:
     return common.map_arrow(met.select("part", "hash", "stretch", "first", "least"), run, FOUND)
 
 
-REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>, kept binary"
+KINDS = {
+    "doc_id": T.LongType(),
+    "n_bytes": T.LongType(),
+    "n_removed": T.LongType(),
+    "n_spans": T.LongType(),
+    "kept_sha256": T.StringType(),
+    "starts": T.ArrayType(T.IntegerType()),
+    "ends": T.ArrayType(T.IntegerType()),
+    "kept": T.StringType(),
+}
 
 
 def _remove(copy: DataFrame, found_path: str, params: Params, outputs: list[str]) -> DataFrame:
     """The result row of each document: which runs of bytes go, and what is left."""
-    kinds = dict(f.strip().rsplit(" ", 1) for f in REMOVED.split(","))
-    schema = ", ".join(f"{o} {kinds[o]}" for o in outputs)
+    fields = [T.StructField(o, KINDS[o]) for o in outputs if o != "rest"]
+    schema = T.StructType([*fields, *(copy.schema[o] for o in outputs if o == "rest")])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for part, slices in _by_group(_slices(batches)):
@@ -371,7 +394,7 @@ def _remove(copy: DataFrame, found_path: str, params: Params, outputs: list[str]
                 for h, code, first, n, low in zip(*columns):
                     runs.setdefault((h, code), []).append((first, n, low))
             hashes_hit = np.unique(np.array([h for h, _ in runs], np.int64))
-            for ids, raws in slices:
+            for ids, raws, *rest in slices:
                 known, data, ends = _known(ids, raws)
                 gone = np.zeros(len(data) + 1, np.int32)
                 if len(hashes_hit):
@@ -384,7 +407,10 @@ def _remove(copy: DataFrame, found_path: str, params: Params, outputs: list[str]
                                 gone[a + off] += 1
                                 gone[a + off + n - 1 + params.length] -= 1
                 covered = np.cumsum(gone)[:-1] > 0
-                yield common.to_batch(_rows(ids, raws, covered, outputs), schema)
+                columns = _rows(ids, raws, covered, [f.name for f in fields])
+                if rest:
+                    columns["rest"] = rest[0]
+                yield common.to_batch(columns, schema)
 
     return common.map_arrow(copy, run, schema)
 
@@ -401,22 +427,16 @@ def _rows(ids: list, raws: list[bytes], covered: np.ndarray, outputs: list[str])
         kept = raw if not len(edges) else np.frombuffer(raw, np.uint8)[~mask].tobytes()
         row = {
             "doc_id": doc_id, "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": len(edges) // 2,
-            "kept_sha256": hashlib.sha256(kept).hexdigest(), "starts": edges[::2].tolist(), "ends": edges[1::2].tolist(), "kept": kept,
+            "kept_sha256": hashlib.sha256(kept).hexdigest(), "starts": edges[::2].tolist(), "ends": edges[1::2].tolist(),
+            "kept": kept.decode("utf-8", "ignore"),
         }
         for o in outputs:
             out[o].append(row[o])
     return out
 
 
-def remove_repeats(
-    docs: DataFrame,
-    params: Params = Params(),
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    outputs=("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"),
-) -> DataFrame:
-    """One row per document with the chosen columns of ``REMOVED``; ``starts`` and ``ends`` are byte spans."""
-    copy = grouped(docs, params, id_col, text_col)
+def _found(copy: DataFrame, params: Params) -> str:
+    """Where the runs of repeated windows are written, by group."""
     total = copy.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     per_range = params.range_anchors * (params.length - params.gram + 2) / 2
     bits = min(24, max(0, int(np.ceil(np.log2(max(total / per_range, 1))))))
@@ -424,10 +444,34 @@ def remove_repeats(
     stretches = stored(_stretches(copy, shared, params), "stretches")
     # Anchors with very many different stretches; what is counted is combined before the shuffle.
     hot = stretches.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > params.most).select("hash")
+    hot = stored(hot, "hot")
     if hot.isEmpty():
         found = _resolve(stretches, params)
     else:
-        hot = stored(hot, "hot")
         found = _resolve(stretches.join(hot, "hash", "left_anti"), params)
         found = found.unionByName(_resolve_hot(stretches.join(hot, "hash", "left_semi"), params))
-    return _remove(copy, _store_by_group(found, "found"), params, list(outputs))
+    return _store_by_group(found, "found")
+
+
+def remove_repeats(
+    docs: DataFrame,
+    params: Params = Params(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    outputs=("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"),
+) -> DataFrame:
+    """One row per document with the chosen columns of ``KINDS``; ``starts`` and ``ends`` are byte spans."""
+    copy = grouped(docs, params, id_col, text_col)
+    return _remove(copy, _found(copy, params), params, list(outputs))
+
+
+def cut_repeats(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the texts; texts that lose all their bytes go.
+
+    Where a cut splits a character, its other bytes go too. Null and empty texts stay as they are.
+    """
+    copy = grouped(docs, params, id_col, text_col, carry=True)
+    cut = _remove(copy, _found(copy, params), params, ["n_removed", "kept", "rest"])
+    cut = cut.where((F.col("n_removed") == 0) | (F.col("kept") != ""))
+    text = F.when(~F.col("rest.text_is_null"), F.col("kept"))
+    return cut.select(*[(text.alias(c) if c == text_col else F.col("rest").getField(c).alias(c)) for c in docs.columns])
