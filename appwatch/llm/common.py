@@ -28,7 +28,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

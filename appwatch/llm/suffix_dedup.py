@@ -4,15 +4,15 @@ A byte goes if it lies in a string of ``length`` bytes that also starts in a doc
 Documents are whole UTF-8 texts, matches stay within documents, and all is judged on the input.
 
 The windows of ``length`` bytes of a document are told apart by their anchors: the place in the window
-of the smallest hash of ``gram`` bytes. Equal windows have equal anchors, so what repeats can be found
+of the smallest hash of ``gram`` bytes (long enough to be rare by chance). Equal windows have equal anchors, so what repeats can be found
 among the stretches around equal anchors alone:
 
 1. Documents are copied to the shared folder in groups of bounded size. Per group and range of hashes,
    the anchors' hashes are sent on in packed form; hashes that occur in two documents come back to the
    groups that have them, as files that the group's reader opens.
 2. Each group sends the distinct stretches around such anchors, with its smallest and largest id.
-3. Stretches of one anchor hash meet. Where they differ, a suffix array (Lyndon grouping) of them brings
-   equal windows together; each window learns the smallest id that has it. That goes back by group.
+3. Stretches of one anchor hash meet, trimmed to what may be equal. Where they still differ, a suffix
+   array (Lyndon grouping) of them brings equal windows together; each window learns the smallest id that has it. That goes back by group.
 4. Each document marks the windows whose smallest id is below its own, and drops what they cover.
 
 No text is shuffled whole, copies within a group meet as one, and a common stretch is one row per
@@ -53,27 +53,40 @@ PLACE_BITS = 30  # a slice of documents has fewer bytes than that
 @dataclass(frozen=True)
 class Params:
     length: int = 50
-    gram: int = 16
-    group_bytes: int = 1 << 24
+    gram: int = 24
+    group_bytes: int = 1 << 25
     range_anchors: int = 1_500_000
     array_bytes: int = 1 << 18
     most: int = 20_000
 
 
-def anchors(data: bytes, ends: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last window start, and document number of each anchor of joined documents.
+def _joined(left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of strings of ``width`` bytes, each with the string behind it."""
+    n = min(len(left), len(right) - width)
+    return mix(left[:n] * np.uint64(0x9E3779B97F4A7C15) + (right[width : width + n] ^ np.uint64(width)))
+
+
+def anchors(data: bytes, ends: np.ndarray, params: Params) -> tuple[np.ndarray, ...]:
+    """Hash, first and last window start, document number and place of each anchor of joined documents.
 
     ``ends`` are the documents' ends in ``data``. Of equal hashes in a window the leftmost counts.
     """
     empty = np.zeros(0, np.int64)
     n = len(data) - params.length + 1
     if n <= 0:
-        return empty, empty, empty, empty
+        return (empty,) * 5
     x = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-    width, grams = 1, x
-    while width < params.gram:  # hashes of 2, 4, 8, 16 bytes
-        grams = mix(grams[:-width] * np.uint64(0x9E3779B97F4A7C15) + (grams[width:] ^ np.uint64(width)))
+    # Hashes of 1, 2, 4, ... bytes, and of the sum of those widths that make up the gram.
+    width, powers, grams, covered = 1, x, None, 0
+    while True:
+        if params.gram & width:
+            grams = powers if grams is None else _joined(grams, powers, covered)
+            covered += width
+        if covered == params.gram:
+            break
+        powers = _joined(powers, powers, width)
         width *= 2
+    grams = grams[: len(data) - params.gram + 1]
     key = (grams >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
     span, low, covered = params.length - params.gram + 1, key, 1
     while covered * 2 <= span:
@@ -90,12 +103,18 @@ def anchors(data: bytes, ends: np.ndarray, params: Params) -> tuple[np.ndarray,
     fits = np.cumsum(edge)[:n] > 0
     at = np.flatnonzero(fits)
     if not len(at):
-        return empty, empty, empty, empty
+        return (empty,) * 5
     own = place[at]
     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
     last = np.concatenate([first[1:] - 1, [len(at) - 1]])
     hashes = (grams[own[first]] & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
-    return hashes, at[first], at[last], np.searchsorted(ends, at[first], side="right")
+    return hashes, at[first], at[last], np.searchsorted(ends, at[first], side="right"), own[first]
+
+
+def _places(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where ``hashes`` holds one of the ascending ``wanted``, which are not empty."""
+    at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+    return np.flatnonzero(wanted[at] == hashes)
 
 
 GROUPED = T.StructType([T.StructField("part", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("raw", T.BinaryType())])
@@ -192,7 +211,7 @@ def _send_hashes(copy: DataFrame, bits: int, params: Params) -> DataFrame:
             found = []
             for ids, raws in slices:
                 _, data, ends = _known(ids, raws)
-                hashes, _, _, docs = anchors(data, ends, params)
+                hashes, _, _, docs, _ = anchors(data, ends, params)
                 pairs = np.unique(hashes << 20 | np.minimum(docs, (1 << 20) - 1))  # once per document
                 found.append(pairs >> 20)
             every, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
@@ -241,7 +260,7 @@ def _shared_hashes(sent: DataFrame, bits: int) -> DataFrame:
     return common.map_arrow(ordered.select("bucket", "part", "hashes", "twice"), run, SHARED)
 
 
-STRETCHES = "hash long, stretch binary, part long, low long, high long"
+STRETCHES = "hash long, place int, stretch binary, part long, low long, high long"
 
 
 def _stretches(copy: DataFrame, shared_path: str, params: Params) -> DataFrame:
@@ -255,14 +274,14 @@ def _stretches(copy: DataFrame, shared_path: str, params: Params) -> DataFrame:
                     pass
                 continue
             shared = np.sort(np.concatenate([np.frombuffer(h, np.int64) for h in table.column("hashes").to_pylist()]))
-            found: dict[tuple[int, bytes], list[int]] = {}
+            found: dict[tuple[int, int, bytes], list[int]] = {}
             for ids, raws in slices:
                 ids, data, ends = _known(ids, raws)
-                hashes, first, last, docs = anchors(data, ends, params)
-                hit = np.flatnonzero(np.isin(hashes, shared))
-                rows = zip(hashes[hit].tolist(), first[hit].tolist(), (last[hit] + params.length).tolist(), docs[hit].tolist())
-                for h, a, b, d in rows:
-                    doc_id, key = ids[d], (h, data[a:b])
+                hashes, first, last, docs, place = anchors(data, ends, params)
+                hit = _places(hashes, shared)
+                columns = hashes[hit], first[hit], last[hit] + params.length, docs[hit], place[hit] - first[hit]
+                for h, a, b, d, at in zip(*(c.tolist() for c in columns)):
+                    doc_id, key = ids[d], (h, at, data[a:b])
                     own = found.get(key)
                     if own is None:
                         found[key] = [doc_id, doc_id]
@@ -273,7 +292,7 @@ def _stretches(copy: DataFrame, shared_path: str, params: Params) -> DataFrame:
             keys = list(found)
             for i in range(0, len(keys), 20_000):
                 own = keys[i : i + 20_000]
-                out = {"hash": [k[0] for k in own], "stretch": [k[1] for k in own], "part": [part] * len(own)}
+                out = {"hash": [k[0] for k in own], "place": [k[1] for k in own], "stretch": [k[2] for k in own], "part": [part] * len(own)}
                 out |= {"low": [found[k][0] for k in own], "high": [found[k][1] for k in own]}
                 yield common.to_batch(out, STRETCHES)
 
@@ -305,49 +324,120 @@ def least_ids(stretches: list[bytes], lows: list[int], length: int) -> list[np.n
     return [by_place[s : s + n - length + 1] for s, n in zip(starts.tolist(), sizes.tolist())]
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def trimmed(stretches: list[tuple[int, bytes]], length: int) -> list[tuple[int, int]]:
+    """Where each of several (place of the anchor, stretch) may repeat in another one: start and end.
+
+    Equal windows have their anchor at the same place, so what is equal grows from the anchor to both
+    sides: no farther to a side than the nearest neighbour in the order of that side. Start is end if
+    too little is left for a window.
+    """
+    left = [s[:at][::-1] for at, s in stretches]
+    right = [s[at:] for at, s in stretches]
+    reach = []
+    for side in (left, right):
+        order = sorted(range(len(side)), key=side.__getitem__)
+        best = [0] * len(side)
+        for x, y in zip(order, order[1:]):
+            n = _common(side[x], side[y])
+            best[x] = max(best[x], n)
+            best[y] = n
+        reach.append(best)
+    spans = [(at - x, at + y) for (at, _), x, y in zip(stretches, *reach)]
+    return [(a, b) if b - a >= length else (a, a) for a, b in spans]
+
+
 def _resolve(stretches: DataFrame, params: Params) -> DataFrame:
-    """Runs of windows with the smallest id that has them, for each group that has a larger id with them."""
+    """Runs of windows with the smallest id that has them, for each group that has a larger id with them.
 
-    def settle(held: list[tuple[int, dict]]) -> Iterator[pa.RecordBatch]:
-        """``held``: per anchor hash, stretch -> [smallest id, [(group, largest id)]]."""
-        differ = [(s, v[0]) for _, own in held if len(own) > 1 for s, v in own.items()]
-        least = iter(least_ids([s for s, _ in differ], [v for _, v in differ], params.length)) if differ else iter(())
+    Stretches of one anchor hash are trimmed to what may repeat, which makes most of them equal. Those
+    that still differ go into a suffix array together with those of other anchors.
+    """
+
+    def settle(held: list[dict], texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        """``held``: per anchor hash, (place, stretch) -> [smallest id, [(group, largest id)], start, end]."""
+        differ: dict[tuple[int, bytes], int] = {}
+        for i, own in enumerate(held):
+            if len(texts[i]) > 1:
+                for (_, stretch), (low, _, a, b) in own.items():
+                    if a < b:
+                        key = (i, stretch[a:b])
+                        differ[key] = min(differ.get(key, low), low)
+        keys = list(differ)
+        found = dict(zip(keys, least_ids([k[1] for k in keys], [differ[k] for k in keys], params.length))) if keys else {}
         rows: list[tuple] = []
-        for h, own in held:
-            for stretch, (low, parts) in own.items():
+        for i, own in enumerate(held):
+            shared = min((v[0] for v in own.values() if v[2] < v[3]), default=0)
+            for (_, stretch), (low, parts, a, b) in own.items():
                 n = len(stretch) - params.length + 1
                 runs = [(0, n, low)]
-                if len(own) > 1:
-                    values = next(least)
-                    cuts = np.flatnonzero(np.diff(values)) + 1
-                    at = [0, *cuts.tolist()]
-                    runs = list(zip(at, np.diff([*at, n]).tolist(), values[at].tolist()))
+                if a < b:
+                    m = b - a - params.length + 1
+                    if len(texts[i]) > 1:
+                        values = found[(i, stretch[a:b])]
+                        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), m]
+                        inner = [(x, y - x, int(values[x])) for x, y in zip(cuts, cuts[1:])]
+                    else:
+                        inner = [(0, m, shared)]
+                    runs = [(0, a, low), *((a + x, size, v) for x, size, v in inner), (a + m, n - a - m, low)]
                 code = code_of(stretch)
-                rows += [(part, h, code, a, size, v) for part, high in parts for a, size, v in runs if v < high]
-        if rows:
-            names = [f.split()[0] for f in FOUND.split(",")]
-            yield common.to_batch(dict(zip(names, map(list, zip(*rows)))), FOUND)
+                for part, high, h in parts:
+                    rows += [(part, h, code, x, size, v) for x, size, v in runs if size and v < high]
+        names = [f.split()[0] for f in FOUND.split(",")]
+        for i in range(0, len(rows), 50_000):
+            yield common.to_batch(dict(zip(names, map(list, zip(*rows[i : i + 50_000])))), FOUND)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, dict]] = []
-        size = 0
+        held: list[dict] = []
+        texts: list[list[bytes]] = []
+        at, size, count = None, 0, 0
+
+        def close() -> None:
+            """Trim the stretches of the hash that is complete."""
+            nonlocal size, count
+            own = held[-1]
+            keys = list(own)
+            spans = trimmed(keys, params.length) if len(keys) > 1 else [(0, 0)]
+            for key, span in zip(keys, spans):
+                own[key] += span
+            texts.append(list({k[1][a:b] for k, (a, b) in zip(keys, spans) if a < b}))
+            if len(texts[-1]) > 1:
+                size += sum(map(len, texts[-1]))
+            count += len(keys)
+
         for batch in common.slices(batches, 4096):
-            for h, stretch, part, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-                if not held or held[-1][0] != h:
-                    if size >= params.array_bytes:
-                        yield from settle(held)
-                        held, size = [], 0
-                    held.append((h, {}))
-                own = held[-1][1]
-                if stretch not in own:
-                    own[stretch] = [low, []]
-                    size += len(stretch)
-                own[stretch][0] = min(own[stretch][0], low)
-                own[stretch][1].append((part, high))
-        yield from settle(held)
+            for h, place, stretch, part, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                if h != at:
+                    if held:
+                        close()
+                        if size >= params.array_bytes or count >= 20_000:
+                            yield from settle(held, texts)
+                            held, texts, size, count = [], [], 0, 0
+                    held.append({})
+                    at = h
+                entry = held[-1].get((place, stretch))
+                if entry is None:
+                    held[-1][(place, stretch)] = [low, [(part, high, h)]]
+                else:
+                    entry[0] = min(entry[0], low)
+                    entry[1].append((part, high, h))
+        if held:
+            close()
+            yield from settle(held, texts)
 
     ordered = stretches.repartition("hash").sortWithinPartitions("hash")
-    return common.map_arrow(ordered.select("hash", "stretch", "part", "low", "high"), run, FOUND)
+    return common.map_arrow(ordered.select("hash", "place", "stretch", "part", "low", "high"), run, FOUND)
 
 
 def _resolve_hot(stretches: DataFrame, params: Params) -> DataFrame:
@@ -398,8 +488,8 @@ def _remove(copy: DataFrame, found_path: str, params: Params, outputs: list[str]
                 known, data, ends = _known(ids, raws)
                 gone = np.zeros(len(data) + 1, np.int32)
                 if len(hashes_hit):
-                    hashes, first, last, docs = anchors(data, ends, params)
-                    hit = np.flatnonzero(np.isin(hashes, hashes_hit))
+                    hashes, first, last, docs, _ = anchors(data, ends, params)
+                    hit = _places(hashes, hashes_hit)
                     rows = zip(hashes[hit].tolist(), first[hit].tolist(), (last[hit] + params.length).tolist(), docs[hit].tolist())
                     for h, a, b, d in rows:
                         for off, n, low in runs.get((h, code_of(data[a:b])), ()):
