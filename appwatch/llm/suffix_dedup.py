@@ -200,6 +200,23 @@ def _store_by_group(df: DataFrame, label: str) -> str:
     return path
 
 
+def pack(ascending: np.ndarray) -> bytes:
+    """Whole numbers as steps: 24 bits for most, the few large ones apart with their places."""
+    steps = np.diff(ascending, prepend=0)
+    large = np.flatnonzero(steps >= 1 << 24)
+    low = (steps & 0xFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return len(large).to_bytes(4, "little") + large.astype("<u4").tobytes() + (steps[large] >> 24).astype("<u4").tobytes() + low.tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    large, high = np.frombuffer(packed[4 : 4 + 8 * n], "<u4").reshape(2, n)
+    low = np.frombuffer(packed[4 + 8 * n :], np.uint8).reshape(-1, 3).astype(np.int64)
+    steps = low[:, 0] | low[:, 1] << 8 | low[:, 2] << 16
+    steps[large] |= high.astype(np.int64) << 24
+    return np.cumsum(steps)
+
+
 SENT = "bucket int, part long, hashes binary, twice binary"
 
 
@@ -219,7 +236,7 @@ def _send_hashes(copy: DataFrame, bits: int, params: Params) -> DataFrame:
             for bucket, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(every)])):
                 if b > a:
                     rest = every[a:b] - (bucket << (HASH_BITS - bits))
-                    packed = np.diff(rest, prepend=0).astype(np.uint64).tobytes()
+                    packed = pack(rest)
                     yield common.to_batch(
                         {"bucket": [bucket], "part": [part], "hashes": [packed], "twice": [np.packbits(times[a:b] > 1).tobytes()]}, SENT
                     )
@@ -234,7 +251,7 @@ def _shared_hashes(sent: DataFrame, bits: int) -> DataFrame:
     """Per group: the hashes it has that occur in two documents anywhere."""
 
     def close(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        arrays = [np.cumsum(np.frombuffer(h, np.uint64)).astype(np.int64) for _, h, _ in rows]
+        arrays = [unpack(h) for _, h, _ in rows]
         marked = [a[np.unpackbits(np.frombuffer(t, np.uint8), count=len(a)).astype(bool)] for a, (_, _, t) in zip(arrays, rows)]
         every, times = np.unique(np.concatenate([*arrays, *marked]), return_counts=True)
         shared = every[times > 1]
