@@ -1,7 +1,7 @@
 """Ingest as a stream: documents to topics, documents or topics to tables, rollups and dead letters.
 
-Each micro-batch is written under its own number, so a micro-batch that is run again after a
-failure replaces what it wrote; the checkpoint moves on only once all its writes are done. Rollups
+Each micro-batch is written under its checkpoint's id and its own number, so a micro-batch that is
+run again after a failure replaces what it wrote, and nothing else; the checkpoint moves on only once all its writes are done. Rollups
 and session rows are partial results per micro-batch that merge when read: they accept events of
 any lateness and hold no state.
 """
@@ -23,8 +23,20 @@ from appwatch.sources import tables
 from appwatch.sources.documents import write_topics
 
 
-def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
-    writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def _start(df: DataFrame, write: Callable[[DataFrame, str], None], checkpoint: str, once: bool) -> StreamingQuery:
+    """Start a stream; ``write`` gets each micro-batch with a name that no other checkpoint gives.
+
+    The name holds the id that Spark keeps in the checkpoint, so it is the same when a micro-batch is
+    run again, and another one for another stream or a checkpoint that was lost and begun anew.
+    """
+    known: list[str] = []
+
+    def named(batch: DataFrame, number: int) -> None:
+        if not known:
+            known.append(batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"])
+        write(batch, f"{known[0]}-{number}")
+
+    writer = df.writeStream.foreachBatch(named).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
@@ -48,7 +60,7 @@ def ingest_documents(
 ) -> StreamingQuery:
     """Documents to tables. What fails to decode or validate goes to dead letters, payload and reason kept."""
 
-    def write(batch: DataFrame, number: int) -> None:
+    def write(batch: DataFrame, number: str) -> None:
         judged = ingest.judge(batch, reject, coerce).persist()  # decoded once for all the writes
         try:
             append_tables(ingest.envelope(ingest.accepted_events(judged)), root, f"{label}-{number}")
@@ -64,7 +76,7 @@ def publish_documents(
 ) -> StreamingQuery:
     """Documents to keyed topic records."""
 
-    def write(batch: DataFrame, number: int) -> None:
+    def write(batch: DataFrame, number: str) -> None:
         accepted, _ = ingest.accept(batch, reject, coerce)
         write_topics(ingest.topic_records(ingest.envelope(accepted)), path, f"{label}-{number}")
 
@@ -72,17 +84,16 @@ def publish_documents(
 
 
 def consume_topic(records: DataFrame, spec: S.TableSpec, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """One topic to its table and rollup; unreadable values go to the topic's dead letters."""
+    """One topic to tables and rollups; unreadable values go to the topic's dead letters.
+
+    Events go to the table of their own type, whatever the topic they came by.
+    """
     label = spec.topic.replace(".", "-")
 
-    def write(batch: DataFrame, number: int) -> None:
+    def write(batch: DataFrame, number: str) -> None:
         batch = batch.persist()
         try:
-            rows = to_table(batch.filter("readable"), spec)
-            tables.append(rows, root, spec.name, f"{label}-{number}")
-            for name in rollup_names():
-                if rollup_spec(name).source is spec:
-                    tables.append(roll_up(rows, name, dedup=False), root, name, f"{label}-{number}", "minute")
+            append_tables(batch.filter("readable"), root, f"{label}-{number}")
             letters = batch.filter("not readable").select(
                 F.lit(None).cast("long").alias("batch_id"),
                 F.lit(None).cast("int").alias("pos"),
@@ -99,7 +110,10 @@ def consume_topic(records: DataFrame, spec: S.TableSpec, root: str, checkpoint:
 
 
 def distinct_events(accepted: DataFrame, lateness: str, salts: int = 16) -> DataFrame:
-    """Each event id once among events no later than ``lateness``; state is dropped past it.
+    """Each event id once among events posted no later than ``lateness``; state is dropped past it.
+
+    Time is when the server received an event: clients' clocks may be far ahead, and one of them would
+    make all that follows look late.
 
     Copies of one id are first thinned out in ``salts`` groups by where they were posted, so that an
     id with very many copies does not go through a single task.
@@ -107,9 +121,11 @@ def distinct_events(accepted: DataFrame, lateness: str, salts: int = 16) -> Data
     rows = accepted.select(
         F.col("event.event_id").alias("event_id"), F.col("event.event_type").alias("event_type"),
         F.col("event.session_id").alias("session_id"), F.col("event.timestamp").alias("event_time"),
+        "received_at",
         F.pmod(F.xxhash64("batch_id", "pos", "received_at", "source_ip"), F.lit(salts)).alias("_salt"),
-    ).withWatermark("event_time", lateness)
-    return rows.dropDuplicatesWithinWatermark(["event_id", "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(["event_id"])
+    ).withWatermark("received_at", lateness)
+    once = rows.dropDuplicatesWithinWatermark(["event_id", "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(["event_id"])
+    return once.drop("received_at")
 
 
 # Stream state in RocksDB, off the heap, checkpointing only its changes; expired state goes with the

@@ -93,12 +93,40 @@ def test_broken_lines_become_dead_letters(spark, streamed):
     assert [r.payload for r in letters if r.document_id is None] == ["not a document"]
 
 
-def test_a_repeated_micro_batch_replaces_itself(spark, landed, streamed, tmp_path):
-    """The same inputs through a fresh checkpoint write the same batches again: nothing doubles."""
-    before = tables.read_stored(spark, streamed, S.MOBILE_ERRORS, dedup=False).count()
-    query = pipelines.ingest_documents(stream_documents(spark, landed, max_files=3), streamed, str(tmp_path / "other"))
-    query.awaitTermination()
-    assert tables.read_stored(spark, streamed, S.MOBILE_ERRORS, dedup=False).count() == before
+def test_a_repeated_micro_batch_replaces_itself(spark, landed, tmp_path):
+    """A micro-batch whose commit is missing runs again from the same checkpoint: nothing doubles."""
+    lake, checkpoint = str(tmp_path / "lake"), tmp_path / "checkpoint"
+    start = lambda: pipelines.ingest_documents(stream_documents(spark, landed, max_files=3), lake, str(checkpoint)).awaitTermination()
+    start()
+    before = sorted(tables.read_stored(spark, lake, S.MOBILE_ERRORS, dedup=False).select("event_id").collect())
+    batches = tables.batches(spark, lake, "mobile_errors", 202401)
+    last = max((p for p in (checkpoint / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+    start()
+    assert tables.batches(spark, lake, "mobile_errors", 202401) == batches
+    assert sorted(tables.read_stored(spark, lake, S.MOBILE_ERRORS, dedup=False).select("event_id").collect()) == before
+
+
+def test_two_streams_share_a_lake(spark, landed, tmp_path):
+    """Streams with checkpoints of their own do not overwrite each other."""
+    lake = str(tmp_path / "lake")
+    for name in ("one", "two"):
+        pipelines.ingest_documents(stream_documents(spark, landed), lake, str(tmp_path / name)).awaitTermination()
+    want, _ = batch_tables(spark, landed)
+    assert tables.read_stored(spark, lake, S.MOBILE_ERRORS, dedup=False).count() == 2 * want["mobile_errors"].count()
+
+
+def test_events_on_the_wrong_topic_reach_their_table(spark, landed, tmp_path):
+    root, topics = str(tmp_path / "t"), str(tmp_path / "topics")
+    pipelines.publish_documents(stream_documents(spark, landed), topics, f"{root}/c0").awaitTermination()
+    want, _ = batch_tables(spark, landed)
+    moved = spark.read.parquet(f"{topics}/topic={S.TOPIC_ERRORS}").select("key", "value")
+    moved.selectExpr("*", f"'{S.TOPIC_API}' as topic", "'moved' as batch_id").write.partitionBy("topic", "batch_id").mode("append").parquet(topics)
+    spec = S.MOBILE_API_CALLS
+    pipelines.consume_topic(stream_topic(spark, topics, spec.topic), spec, root, f"{root}/c1").awaitTermination()
+    same(tables.read_stored(spark, root, spec, dedup=False).drop("event_month"), want["mobile_api_calls"])
+    same(tables.read_stored(spark, root, S.MOBILE_ERRORS, dedup=False).drop("event_month"), want["mobile_errors"])
 
 
 def test_nothing_new_means_nothing_written(spark, landed, streamed):
