@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed pattern: ISO-8601 date and time with an explicit offset.
 ISO_WITH_OFFSET = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2})?)$"
 
 
+# Fixed pattern: a sign that is no white space of any kind, controls and wide spaces included.
+NOT_BLANK = r"[^\s\x1C-\x1F\u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000]"
+
+
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
+    return c.isNull() | ~c.rlike(NOT_BLANK)
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
+    return F.when(c.rlike(NOT_BLANK), c)
 
 
 def as_instant(value: datetime | str | Column) -> Column:
@@ -38,6 +42,14 @@ def event_month(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMM").cast("int")
 
 
+def since_month(df: DataFrame, since: Column, to: Column | None = None) -> DataFrame:
+    """``df`` without months before ``since`` or after ``to``; stored tables then skip their partitions."""
+    if "event_month" not in df.columns:
+        return df
+    df = df.filter(F.col("event_month") >= event_month(since))
+    return df if to is None else df.filter(F.col("event_month") <= event_month(to))
+
+
 def plain(ts: Column) -> Column:
     """A TIMESTAMP as the zone-less UTC value shown in results."""
     return ts.cast("timestamp_ntz")

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from appwatch import schema as S
 from appwatch.functions.percentiles import group_percentiles
-from appwatch.functions.scalars import as_instant, blank_to_null, minutes_back
-from appwatch.operators.dashboard import clamp_rows
+from appwatch.functions.scalars import as_instant, blank_to_null, minutes_back, since_month
 from appwatch.operators.metadata import assign_ids
 
 P95 = 0.95
@@ -42,7 +41,7 @@ def firings_feed(
     firings: DataFrame, rules: DataFrame, apps: DataFrame, start: datetime, to: datetime,
     app: str | None = None, limit: int = S.FEED_DEFAULT_ROWS,
 ) -> DataFrame:
-    """Firings in a closed time range with their rule, newest first; at most 500 rows."""
+    """Firings in a closed time range with their rule, newest first, as many as asked for."""
     f = firings.filter(F.col("fired_at").between(as_instant(start), as_instant(to)))
     r = rules.select(F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "metric_type", "threshold")
     a = apps.select(F.col("id").alias("app_id"), F.col("name").alias("_app"))
@@ -56,7 +55,7 @@ def firings_feed(
             F.col("value_observed").cast("double").alias("value_observed"), "status", "fired_at", "resolved_at",
         )
         .orderBy(F.col("fired_at").desc(), F.col("id").desc())
-        .limit(clamp_rows(limit))
+        .limit(max(0, limit))
     )
 
 
@@ -153,8 +152,10 @@ def evaluate_rules(
     since = F.timestamp_add("MINUTE", -widest, now)
     reaches = F.col("slot") <= F.col("window_minutes")
 
-    recent = calls.filter(F.col("event_time") >= since).withColumn("slot", minutes_back(now, F.col("event_time")))
-    errors = error_rollup.filter(F.col("minute") >= since).withColumn("slot", minutes_back(now, F.col("minute")))
+    recent = since_month(calls, since).filter(F.col("event_time") >= since)
+    recent = recent.withColumn("slot", minutes_back(now, F.col("event_time")))
+    errors = since_month(error_rollup, since).filter(F.col("minute") >= since)
+    errors = errors.withColumn("slot", minutes_back(now, F.col("minute")))
 
     values = []
     counted = [m for m in metrics if m != "p95_latency_ms"]
@@ -225,7 +226,7 @@ def backtest(
     def slotted(df: DataFrame, column: str) -> DataFrame:
         inside = (F.col(column) >= since) & (F.col(column) < t1)
         minute = F.floor((F.unix_micros(F.col(column)) - F.unix_micros(t0)) / F.lit(60_000_000.0)).cast("long")
-        return df.filter(inside).withColumn("slot", minute)
+        return since_month(df, since, t1).filter(inside).withColumn("slot", minute)
 
     def at_ticks(df: DataFrame) -> DataFrame:
         first = F.greatest(F.floor(F.col("slot") / step_minutes) + 1, F.lit(0))

@@ -114,15 +114,16 @@ def overview_cards(row: DataFrame) -> DataFrame:
 # --- errors --------------------------------------------------------------------------------
 
 
-def clamp_rows(limit: int) -> int:
+def api_limit(limit: int) -> int:
+    """The number of rows that the web API grants; callers that serve it apply this themselves."""
     return max(0, min(limit, S.FEED_MAX_ROWS))
 
 
 def error_feed(errors: DataFrame, filters: Filters, limit: int = S.FEED_DEFAULT_ROWS, dedup: bool = True) -> DataFrame:
-    """Newest errors first; at most 500 rows."""
+    """Newest errors first, as many as asked for."""
     columns = ("event_id", "error_class", "error_message", "release", "platform", "screen_name", "event_time")
     rows = select_range(errors, S.MOBILE_ERRORS, filters, columns, dedup)
-    return rows.orderBy(F.col("event_time").desc(), F.col("event_id").desc()).limit(clamp_rows(limit))
+    return rows.orderBy(F.col("event_time").desc(), F.col("event_id").desc()).limit(max(0, limit))
 
 
 # --- latency -------------------------------------------------------------------------------

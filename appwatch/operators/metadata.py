@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from appwatch.functions.scalars import as_instant
 from appwatch.schema import DEFAULT_RULES
 
 ID_BUCKETS = 4096
@@ -37,8 +40,8 @@ def app_ids(names: DataFrame, apps: DataFrame) -> DataFrame:
     return known.unionByName(fresh)
 
 
-def default_rules(apps: DataFrame, rules: DataFrame) -> DataFrame:
-    """The three default rules for each app that has no rule at all."""
+def default_rules(apps: DataFrame, rules: DataFrame, created_at: datetime | None = None) -> DataFrame:
+    """The three default rules for each app that has no rule at all, as whole rows with ids of their own."""
     bare = apps.select(F.col("id").alias("app_id")).join(rules.select("app_id").distinct(), "app_id", "left_anti")
     defaults = F.array(
         *[
@@ -48,8 +51,11 @@ def default_rules(apps: DataFrame, rules: DataFrame) -> DataFrame:
                 F.lit(threshold).cast("decimal(14,4)").alias("threshold"),
                 F.lit(window).alias("window_minutes"),
                 F.lit(env).cast("string").alias("env"),
+                F.lit(None).cast("string").alias("release"),
             )
             for name, metric, threshold, window, env in DEFAULT_RULES
         ]
     )
-    return bare.select("app_id", F.inline(defaults)).withColumn("enabled", F.lit(True))
+    fresh = bare.select("app_id", F.inline(defaults)).withColumn("enabled", F.lit(True))
+    fresh = fresh.withColumn("created_at", as_instant(created_at or datetime.now(timezone.utc).replace(tzinfo=None)))
+    return assign_ids(fresh.withColumn("_key", F.concat_ws("|", "app_id", "name")), "_key", rules).drop("_key")

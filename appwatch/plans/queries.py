@@ -137,15 +137,21 @@ def overview_cards(spark: SparkSession, sf: str) -> DataFrame:
     return dashboard.overview_cards(_overview(spark, sf, EVERYTHING))
 
 
-@query(
-    "error_feed",
-    select(
-        "SELECT event_id, error_class, error_message, release, platform, screen_name, event_time FROM dx WHERE "
-        + _RANGE + " ORDER BY event_time DESC, event_id DESC LIMIT 500"
-    ),
+_ERROR_FEED = (
+    "SELECT event_id, error_class, error_message, release, platform, screen_name, event_time FROM dx WHERE "
+    + _RANGE + " ORDER BY event_time DESC, event_id DESC LIMIT "
 )
+
+
+@query("error_feed", select(_ERROR_FEED + "500"))
 def error_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return _plain(dashboard.error_feed(V.mobile_errors(spark, sf), EVERYTHING, limit=9999))
+    return _plain(dashboard.error_feed(V.mobile_errors(spark, sf), EVERYTHING, limit=500))
+
+
+@query("error_feed_long", select(_ERROR_FEED + "3000"))
+def error_feed_long(spark: SparkSession, sf: str) -> DataFrame:
+    """More rows than the web API grants: the operator returns what is asked for."""
+    return _plain(dashboard.error_feed(V.mobile_errors(spark, sf), EVERYTHING, limit=3000))
 
 
 def _latency_sql(where: str = "", source: str = "dc", q: str = "quantile_cont") -> str:
@@ -390,7 +396,7 @@ def rules_for_app(spark: SparkSession, sf: str) -> DataFrame:
 )
 def alerts_feed(spark: SparkSession, sf: str) -> DataFrame:
     rules, apps = V.alert_rules(spark, sf), V.apps(spark, sf)
-    return _plain(alerts.firings_feed(V.alert_firings(spark, sf), rules, apps, START, AS_OF, limit=9999))
+    return _plain(alerts.firings_feed(V.alert_firings(spark, sf), rules, apps, START, AS_OF, limit=500))
 
 
 def _evaluated_sql(release: bool = False) -> str:
@@ -528,15 +534,18 @@ def register_apps(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "default_rules",
     select(
-        "SELECT a.id AS app_id, d.name, metric_type, threshold, window_minutes, env, TRUE AS enabled FROM apps a, "
+        "SELECT (SELECT max(id) FROM rules) + (row_number() OVER (PARTITION BY substr(md5(a.id || '|' || d.name), 1, 3) ORDER BY a.id || '|' || d.name) - 1) * 4096 "
+        "+ CAST('0x' || substr(md5(a.id || '|' || d.name), 1, 3) AS BIGINT) + 1 AS id, "
+        "a.id AS app_id, d.name, metric_type, threshold, window_minutes, env, CAST(NULL AS VARCHAR) AS release, TRUE AS enabled, "
+        "TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM apps a, "
         "(VALUES ('High Error Rate', 'error_rate', 10.0::DOUBLE, 5, 'prod'), ('Slow p95 API Latency', 'p95_latency_ms', 2000.0::DOUBLE, 5, NULL), "
         "('High Failed Requests', 'failed_requests', 50.0::DOUBLE, 5, NULL)) d(name, metric_type, threshold, window_minutes, env) "
         "WHERE a.id NOT IN (SELECT app_id FROM rules)"
     ),
 )
 def default_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rules = metadata.default_rules(V.apps(spark, sf), V.alert_rules(spark, sf))
-    return rules.withColumn("threshold", F.col("threshold").cast("double"))
+    rules = metadata.default_rules(V.apps(spark, sf), V.alert_rules(spark, sf), datetime(2024, 1, 1))
+    return _plain(rules.withColumn("threshold", F.col("threshold").cast("double")))
 
 
 @query(

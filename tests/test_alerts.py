@@ -161,10 +161,10 @@ def test_backtest_replays_the_loop(spark):
     assert sorted(got[4]) == brute_backtest(p95, 5, 1)
 
 
-def test_feed_is_capped(spark, small):
+def test_feed_has_as_many_rows_as_asked_for(spark, small):
     rules, apps, firings = V.alert_rules(spark, small), V.apps(spark, small), V.alert_firings(spark, small)
-    feed = alerts.firings_feed(firings, rules, apps, datetime(2024, 1, 1), NOW, limit=9999).collect()
-    assert len(feed) == 500 and feed == sorted(feed, key=lambda r: (r.fired_at, r.id), reverse=True)
+    feed = alerts.firings_feed(firings, rules, apps, datetime(2024, 1, 1), NOW, limit=700).collect()
+    assert len(feed) == 700 and feed == sorted(feed, key=lambda r: (r.fired_at, r.id), reverse=True)
     assert len(alerts.firings_feed(firings, rules, apps, datetime(2024, 1, 1), NOW, app="demo-app").collect()) == 50
     assert alerts.firings_feed(firings, rules, apps, datetime(2024, 1, 1), NOW, app="nobody").count() == 0
 
@@ -181,8 +181,9 @@ def test_ids_are_unique_new_and_repeatable(spark):
 
 def test_default_rules_only_for_apps_without_any(spark):
     apps = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
-    rules = spark.createDataFrame([(1,)], "app_id long")
+    rules = spark.createDataFrame([(9, 1)], "id long, app_id long")
     rows = metadata.default_rules(apps, rules).collect()
+    assert len({r.id for r in rows}) == 3 and min(r.id for r in rows) > 9 and all(r.created_at for r in rows)
     assert sorted((r.app_id, r.metric_type, float(r.threshold), r.window_minutes, r.env) for r in rows) == [
         (2, "error_rate", 10.0, 5, "prod"), (2, "failed_requests", 50.0, 5, None), (2, "p95_latency_ms", 2000.0, 5, None),
     ]

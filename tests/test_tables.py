@@ -201,7 +201,8 @@ def test_empty_inputs(spark, small):
 def test_feed_limits(spark, small):
     errors = V.mobile_errors(spark, small)
     assert dashboard.error_feed(errors, ALL).count() == 50
-    assert dashboard.clamp_rows(9999) == 500 and dashboard.clamp_rows(7) == 7
+    assert dashboard.error_feed(errors, ALL, limit=60).count() == min(60, dashboard.error_feed(errors, ALL, limit=10**6).count())
+    assert dashboard.api_limit(9999) == 500 and dashboard.api_limit(7) == 7 and dashboard.api_limit(-1) == 0
 
 
 def test_approximate_reads_are_close(spark, small):
