@@ -54,7 +54,7 @@ def _typed_fields(e: Column) -> dict[str, Column]:
 
     return {
         "timestamp": utc_millis(e["timestamp"]),
-        "cold_start": e["cold_start"].try_cast("boolean"),
+        "cold_start": F.when(e["cold_start"] == "true", True).when(e["cold_start"] == "false", False),
         "duration_ms": e["duration_ms"].try_cast("double"),
         "status_code": e["status_code"].try_cast("double").try_cast("int"),
         "request_size": whole("request_size"),
@@ -280,10 +280,16 @@ def decode_records(records: DataFrame) -> DataFrame:
 def attribute_app(docs: DataFrame, api_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with the ``app_id`` of their key, and those without one.
 
-    A key counts by its first eight characters; only active keys do. The secret part is not
-    checked here, so a prefix shared by several apps attributes to none of them.
+    Only active keys count. With a column ``key_sha256`` (hex digest of the whole key) in ``api_keys``
+    the whole key must be right, and apps may share a prefix. Without it a key counts by its first
+    eight characters, the secret part is not checked, and a shared prefix attributes to no app.
     """
     prefix = F.when(F.length("api_key") >= 8, F.substring("api_key", 1, 8))
+    if "key_sha256" in api_keys.columns:
+        owners = api_keys.filter("active").groupBy("key_prefix", "key_sha256").agg(F.min("app_id").alias("app_id"))
+        keyed = docs.withColumn("key_prefix", prefix).withColumn("key_sha256", F.sha2(F.col("api_key").cast("binary"), 256))
+        both = ["key_prefix", "key_sha256"]
+        return keyed.join(owners, both).drop(*both), keyed.join(owners, both, "left_anti").drop(*both)
     owners = (
         api_keys.filter("active")
         .groupBy("key_prefix")

@@ -27,13 +27,15 @@ def build_session(
         builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return prepare(builder.getOrCreate())
+    spark = prepare(builder.getOrCreate())
+    # The virtual machine does not compile methods above 8000 bytes of code, so wider projections, such
+    # as event decoding, run several times faster as separate expressions than fused into one method.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
 
 
-# Fixed settings. Minutes, hours and months must mean the same everywhere. The virtual machine does
-# not compile methods above 8000 bytes of code, so wider projections, such as event decoding, run
-# several times faster as separate expressions than fused into one method.
-SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+# Fixed setting: minutes, hours and months must mean the same everywhere.
+SETTINGS = {"spark.sql.session.timeZone": "UTC"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -206,6 +207,27 @@ def test_keys_attribute_documents(spark):
     assert sorted(r.batch_id for r in refused.collect()) == [2, 3, 4, 5]
 
 
+def test_whole_keys_attribute_documents(spark):
+    """With digests a wrong secret is refused, and apps may share a prefix."""
+    sha = lambda key: hashlib.sha256(key.encode()).hexdigest()
+    keys = spark.createDataFrame(
+        [(1, 7, "cccccccc", sha("cccccccc-one"), True), (2, 8, "cccccccc", sha("cccccccc-two"), True), (3, 9, "dddddddd", sha("dddddddd"), False)],
+        "id long, app_id long, key_prefix string, key_sha256 string, active boolean",
+    )
+    d = spark.createDataFrame([(1, "cccccccc-one"), (2, "cccccccc-two"), (3, "cccccccc"), (4, "dddddddd"), (5, None)], "batch_id long, api_key string")
+    known, refused = ingest.attribute_app(d, keys)
+    assert sorted((r.batch_id, r.app_id) for r in known.collect()) == [(1, 7), (2, 8)]
+    assert sorted(r.batch_id for r in refused.collect()) == [3, 4, 5]
+    assert known.columns == refused.columns[: len(d.columns)] + ["app_id"]
+
+
+def test_blank_is_any_white_space(spark):
+    texts = ["", " ", "\t\n", "\u3000\u2028", "\x1f", "\u00a0", " x ", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(scalars.is_blank(F.col("t"))).collect()] == [True, True, True, True, True, False, False, True]
+    assert [r[0] for r in df.select(scalars.blank_to_null(F.col("t"))).collect()] == [None] * 5 + ["\u00a0", " x ", None]
+
+
 def test_compact_numbers(spark):
     row = spark.range(1).select(*[scalars.compact_number(F.lit(n)) for n in (12345, 1_200_000, 999, 840.5)]).first()
     assert tuple(row) == ("12.3K", "1.2M", "999", "841")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import glob
 import math
 import os
+import shutil
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -12,8 +15,8 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+from appwatch.plans.registry import ORACLES, QUERIES
+
 TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
@@ -32,7 +35,21 @@ def _value(v):
 
 
 def test_every_query_has_a_counterpart():
+    """The training-data queries, where they are present, have tests of their own."""
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+def test_entry_without_the_training_data_parts(tmp_path):
+    """The entry still imports, and has all other queries, where these folders and the pipeline are gone."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(os.path.join(root, "appwatch"), tmp_path / "appwatch", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    check = "import __spark_entry__ as e, appwatch; print(appwatch.__file__, *sorted(e.queries()), sep='\\n')"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", check], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
+    where, *names = done.stdout.split()
+    assert where.startswith(str(tmp_path)) and set(names) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
