@@ -5,8 +5,10 @@ Every source has a weight schedule over training time, a straight line from ``st
 of its words ``max_repeat`` times at most, and what it cannot give is shared again by weight among
 the others. Within a source, documents are taken in a fixed pseudo-random order, pass after pass,
 until the target is met to the word. The integral of the schedule up to time t is the source's demand
-by then; solving it for the middle of a document's words gives the document's training position, by
-which the result is range-sorted.
+by then. :func:`deal` solves it for the middle of the words of each copy, counted over all passes and
+as a part of the target: that is the copy's training position, by which the copies are range-sorted.
+:func:`mix` has one row per document; its ``position`` is the document's place in one pass over its
+source put through the same curve, which is no training position where target and size differ.
 
 Running sums over a source are taken over spans of its order, one digest prefix each, and then over
 the spans' totals, so a source with a third of all rows is spread over many tasks.
@@ -78,16 +80,9 @@ def targets(sizes: DataFrame, schedule: Schedule = Schedule(), max_repeat: int =
     return leveled.select("source", "source_size", share.alias("target"), "w0", "w1")
 
 
-def mix(
-    docs: DataFrame,
-    schedule: Schedule = Schedule(),
-    max_repeat: int = 3,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``taken`` and ``position``, in order of position."""
-    docs = common.without(docs, NEW)
+def _taken(docs: DataFrame, schedule: Schedule, max_repeat: int, id_col: str, text_col: str, source_col: str, at: str) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target`` and ``taken``, and in ``at`` the words of its source before it,
+    ``first``, and the line ``w0``, ``w1``."""
     key, span, tie, running = (common.free_name(docs, n) for n in ("order_key", "order_span", "order_tie", "running"))
     source = common.field(docs, source_col, "string")
     # The number of spans follows the cluster; the order itself does not depend on it.
@@ -122,31 +117,74 @@ def mix(
     passes = F.when(whole > 0, F.floor(demand / whole)).otherwise(0)
     rest = F.greatest(F.lit(0), F.least(F.col("size"), demand - passes * whole - first))
     taken = F.when(F.col("size") > 0, F.least(passes * F.col("size") + rest, F.lit(max_repeat) * F.col("size"))).otherwise(0)
-    # The demand curve solved for the middle of the document: (w1 - w0)/2 t^2 + w0 t = share of the integral.
-    share = F.when(whole > 0, (first.cast("double") + F.col("size") / F.lit(2.0)) / whole).otherwise(F.lit(0.0))
-    w0, w1 = F.col("mix_plan.w0"), F.col("mix_plan.w1")
-    area = share * (w0 + w1) / F.lit(2.0)
-    position = F.when(area > 0, F.lit(2.0) * area / (w0 + F.sqrt(w0 * w0 + F.lit(2.0) * (w1 - w0) * area))).otherwise(F.lit(0.0))
-    return (
-        joined.withColumns(
-            {
-                "source_size": whole,
-                "target": F.col("mix_plan.target"),
-                "taken": taken.cast("long"),
-                "position": position,
-            }
-        )
-        .select(*[F.col(f"`{c}`") for c in docs.columns], *NEW)
-        .orderBy("position", F.col(f"`{id_col}`"))
+    return joined.withColumns({"source_size": whole, "target": F.col("mix_plan.target"), "taken": taken.cast("long")}).select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        *NEW[:-1],
+        F.struct(first.alias("first"), F.col("mix_plan.w0"), F.col("mix_plan.w1")).alias(at),
     )
 
 
-def repeat(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row for each time a document is taken; a part taken last keeps its first words only."""
+def _solved(share: Column, at: str) -> Column:
+    """The time at which the demand curve has ``share`` of its integral: (w1 - w0)/2 t^2 + w0 t = area."""
+    w0, w1 = F.col(f"{at}.w0"), F.col(f"{at}.w1")
+    area = share * (w0 + w1) / F.lit(2.0)
+    return F.when(area > 0, F.lit(2.0) * area / (w0 + F.sqrt(w0 * w0 + F.lit(2.0) * (w1 - w0) * area))).otherwise(F.lit(0.0))
+
+
+def mix(
+    docs: DataFrame,
+    schedule: Schedule = Schedule(),
+    max_repeat: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target``, ``taken`` and ``position``, in order of position."""
+    docs = common.without(docs, NEW)
+    at = common.free_name(docs, "mix_at")
+    out = _taken(docs, schedule, max_repeat, id_col, text_col, source_col, at)
+    whole = F.col("source_size")
+    share = F.when(whole > 0, (F.col(f"{at}.first").cast("double") + F.col("size") / F.lit(2.0)) / whole).otherwise(F.lit(0.0))
+    return out.withColumn("position", _solved(share, at)).drop(at).orderBy("position", F.col(f"`{id_col}`"))
+
+
+def deal(
+    docs: DataFrame,
+    schedule: Schedule = Schedule(),
+    max_repeat: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """One row for each time a document is taken, with the columns of :func:`mix`, in training order.
+
+    ``position`` is that of the copy: the middle of its words among all that are taken of the source,
+    as a part of the target, put through the demand curve. Texts are those of :func:`repeat`.
+    """
+    docs = common.without(docs, NEW)
+    at = common.free_name(docs, "mix_at")
+    turn = common.free_name(docs, "turn")
+    copies = _copies(_taken(docs, schedule, max_repeat, id_col, text_col, source_col, at), text_col, turn)
+    middle = F.col(f"{at}.first") + (F.col(turn) - 1) * F.col("source_size") + _words(turn) / F.lit(2.0)
+    # The last word taken may lie half a word beyond the target, which is rounded to whole words.
+    share = F.least(F.lit(1.0), middle.cast("double") / F.col("target"))
+    return copies.withColumn("position", _solved(share, at)).orderBy("position", F.col(f"`{id_col}`"), turn).drop(at, turn)
+
+
+def _words(turn: str) -> Column:
+    """Words of the copy: all, or those that are left for the last one."""
+    return F.least(F.col("size"), F.col("taken") - (F.col(turn) - 1) * F.col("size"))
+
+
+def _copies(mixed: DataFrame, text_col: str, turn: str) -> DataFrame:
     times = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    turn = common.free_name(mixed, "turn")
     copies = mixed.where(F.col("taken") > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), times)))
-    words = F.least(F.col("size"), F.col("taken") - (F.col(turn) - 1) * F.col("size"))
-    text = F.col(f"`{text_col}`")
+    words, text = _words(turn), F.col(f"`{text_col}`")
     short = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"({common.WORD_PATTERN})")), F.lit(1), words.cast("int")), " ")
-    return copies.withColumn(text_col, F.when(words < F.col("size"), short).otherwise(text)).drop(turn)
+    return copies.withColumn(text_col, F.when(words < F.col("size"), short).otherwise(text))
+
+
+def repeat(mixed: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row for each time a document is taken; a part taken last keeps its first words only."""
+    turn = common.free_name(mixed, "turn")
+    return _copies(mixed, text_col, turn).drop(turn)

@@ -46,7 +46,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture in training order, once for each time they are taken."""
-    mixed = mixing.repeat(mixing.mix(docs))
+    mixed = mixing.deal(docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -48,6 +48,27 @@ def test_positions_follow_the_schedule(spark):
     assert early.count("s1") / 2000 == pytest.approx(0.25, abs=0.02)
 
 
+def test_dealt_copies_follow_the_schedule(spark):
+    """Targets of half a source, of one and a half, and at the limit of three: all of each source's line is dealt."""
+    rows = [(f"{s}{i}", "w " * 10, s) for s, n in (("a", 3000), ("b", 1000), ("c", 100)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    lines = ((1.5, 0.5), (0.5, 1.5), (0.5, 1.5))
+    out = mixing.deal(docs, mixing.Schedule(lines=lines)).collect()
+    assert [r.position for r in out] == sorted(r.position for r in out)
+    plan = {r.doc_id: r for r in mixing.mix(docs, mixing.Schedule(lines=lines)).collect()}
+    assert {r.source: round(r.target / r.source_size, 2) for r in plan.values()} == {"a": 0.63, "b": 1.9, "c": 3.0}
+    copies: dict = {}
+    for r in out:
+        copies.setdefault(r.doc_id, []).append((r.position, len(r.text.split())))
+    assert {i: sum(n for _, n in c) for i, c in copies.items()} == {i: r.taken for i, r in plan.items() if r.taken}
+    assert all(len({p for p, _ in c}) == len(c) for c in copies.values())
+    for source, (w0, w1) in zip("abc", lines):
+        mine = [(p, n) for i, c in copies.items() for p, n in c if i[0] == source]
+        for t in (0.1, 0.25, 0.5, 0.75, 0.9):
+            want = ((w1 - w0) * t * t / 2 + w0 * t) / ((w0 + w1) / 2)
+            assert sum(n for p, n in mine if p <= t) / sum(n for _, n in mine) == pytest.approx(want, abs=0.01)
+
+
 def test_repeat_cuts_the_last_part(spark):
     rows = [(1, "a b  c\nd", 4, 7), (2, "x y", 2, 0), (3, "p q", 2, 2), (4, None, 0, 0)]
     mixed = spark.createDataFrame(rows, "doc_id long, text string, size long, taken long")
@@ -59,6 +80,7 @@ def test_no_words_and_no_rows(spark, empty):
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(r.size, r.taken, r.target) for r in mixing.mix(blank).collect()] == [(0, 0, 0.0)] * 2
     assert mixing.mix(empty).count() == 0
+    assert mixing.deal(blank).count() == 0 and mixing.deal(empty).count() == 0
 
 
 def test_no_python_in_the_plan(odd):
