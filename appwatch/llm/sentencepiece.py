@@ -20,6 +20,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -128,8 +129,18 @@ class Model:
             alone = "".join(c for c in "\n\t\r" if not any(c in p for p in merged))
             lone = f"[{re.escape(alone)}]|" if alone else ""
             self.split = re.compile(f"{lone}{SPACE}+[^{SPACE}{re.escape(alone)}]*|[^{SPACE}{re.escape(alone)}]+")
+        self.surfaces = [self._surface(p, kind) for p, _, kind in self.pieces]
         self.chunks = _Chunks(self)
 
+    @staticmethod
+    def _surface(piece: str, kind: int) -> bytes:
+        """What a piece decodes to; control pieces part the bytes around them, so inside a text they are no valid UTF-8."""
+        if kind == BYTE:
+            return bytes((int(piece[3:5], 16),))
+        if kind == CONTROL:
+            return b"\xff"
+        return (UNKNOWN_SURFACE if kind == UNKNOWN else piece.replace(SPACE, " ")).encode()
+
     def _training(self, data: bytes) -> None:
         for n, v in _fields(data):
             if n == 3 and v != 2:
@@ -197,20 +208,16 @@ class Model:
         return size, source[at : at + size]
 
     def align(self, text: str, normal: str, origin: list[int] | None) -> list[int]:
+        """The source byte of each normalised byte and of the end."""
+        return self._origin(text, origin).tolist()
+
+    def _origin(self, text: str, origin: list[int] | None) -> np.ndarray:
         if origin is not None:
-            return origin
-        origin, at = [], 0
-        extra = len(normal) - len(text)
-        for i, c in enumerate(normal):
-            width = len(c.encode())
-            if i < extra:
-                origin += [0] * width
-                continue
-            original = text[i - extra]
-            size = len(original.encode())
-            origin += [at + min(k, size - 1) if width == size else at for k in range(width)]
-            at += size
-        return [*origin, at]
+            return np.array(origin, dtype=np.int64)
+        source = np.frombuffer(text.encode(), dtype=np.uint8)
+        space = len(SPACE.encode()) if self.escape else 1
+        plain = np.repeat(np.arange(len(source)), np.where(source == 32, space, 1))
+        return np.concatenate([np.zeros(space * self.dummy_prefix, dtype=np.int64), plain, [len(source)]])
 
     def cut(self, normal: str) -> list[str]:
         """Chunks that no piece crosses."""
@@ -288,25 +295,41 @@ class Model:
 
         Begin and end have empty spans. The space put before a text has an empty span at its start.
         """
+        ids, starts, ends = self.arrays(text)
+        return ids.tolist(), starts.tolist(), ends.tolist()
+
+    def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What :meth:`encode` gives, as arrays."""
         text = text or ""
         normal, origin = self.normalise(text)
-        origin = self.align(text, normal, origin)
-        ids, starts, ends = [self.begin], [0], [0]
-        at = 0
-        for chunk in self.cut(normal):
-            for known, size in self.pieces_of(chunk):
-                if known == self.unknown and ids[-1] == self.unknown:
-                    ends[-1] = origin[at + size]
-                else:
-                    ids.append(known)
-                    starts.append(origin[at])
-                    ends.append(origin[at + size])
-                at += size
-        last = origin[-1]
-        return [*ids, self.end], [*starts, last], [*ends, last]
+        origin = self._origin(text, origin)
+        parts = [self.chunks[c] for c in self.cut(normal)]
+        ids = np.frombuffer(b"".join([p[0] for p in parts]), dtype=np.uint32)
+        edges = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.cumsum(np.frombuffer(b"".join([p[1] for p in parts]), dtype=np.uint32), out=edges[1:])
+        bounds = origin[edges]
+        starts, ends = bounds[:-1], bounds[1:]
+        if not self.fallback:  # unknown ids join over chunks
+            apart = (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)
+            first = np.concatenate([[True] * bool(len(ids)), apart]).astype(bool)
+            last = np.concatenate([apart, [True] * bool(len(ids))]).astype(bool)
+            ids, starts, ends = ids[first], starts[first], ends[last]
+        end = origin[-1]
+        return np.concatenate([[self.begin], ids, [self.end]]), np.concatenate([[0], starts, [end]]), np.concatenate([[0], ends, [end]])
 
     def surface(self, ids) -> bytes:
         """Pieces joined; bytes that are no valid UTF-8 become replacement characters one by one."""
+        low, high = 0, len(ids)
+        while low < high and self.pieces[ids[low]][2] == CONTROL:
+            low += 1
+        while low < high and self.pieces[ids[high - 1]][2] == CONTROL:
+            high -= 1
+        raw = b"".join([*map(self.surfaces.__getitem__, ids[low:high])])
+        try:
+            raw.decode()
+            return raw  # whole, so each run of byte pieces between other pieces is valid too
+        except UnicodeDecodeError:
+            pass
         out, pending = bytearray(), bytearray()
         for i in ids:
             piece, _, kind = self.pieces[i]
@@ -331,18 +354,6 @@ class Model:
         first = next((self.pieces[i] for i in ids if self.pieces[i][2] != CONTROL), ("", 0.0, CONTROL))
         return (self.trim(surface) if first[0].startswith(SPACE) else surface).decode()
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, and SHA-256 of the ids (32 bits each, little-endian) and of the decoded text."""
-        parts = [self.chunks[c] for c in self.cut(self.normalise(text or "")[0])]
-        ids = struct.pack("<I", self.begin) + b"".join([p[0] for p in parts]) + struct.pack("<I", self.end)
-        if not self.fallback:  # unknown ids join over chunks
-            numbers = self.encode(text)[0]
-            ids = struct.pack(f"<{len(numbers)}I", *numbers)
-            decoded = self.decode(numbers).encode()
-        else:
-            decoded = self.trim(b"".join([p[1] for p in parts]))
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
-
     def count(self, text: str | None) -> int:
         """Number of ids without begin and end."""
         if not self.fallback:
@@ -351,26 +362,20 @@ class Model:
 
 
 class _Chunks(dict):
-    """Packed ids and decoded bytes by chunk. When full, what was not asked for since the last time goes."""
+    """Packed ids, and the normalised bytes that each covers, by chunk. When full, what was not asked for since the last time goes."""
 
     LONG = 200
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.known = model.ids
         self.old: dict[str, tuple[bytes, bytes]] = {}
 
     def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
         found = self.old.get(chunk)
         if found is None:
-            try:
-                ids = [self.known[s] for s in self.model.merge(chunk)]
-                decoded = chunk.replace(SPACE, " ").encode()  # what pieces that are all known join to
-            except KeyError:
-                ids = [p[0] for p in self.model.pieces_of(chunk)]
-                decoded = self.model.surface(ids)
-            found = array("I", ids).tobytes(), decoded
+            pieces = self.model.pieces_of(chunk)
+            found = array("I", [p[0] for p in pieces]).tobytes(), array("I", [p[1] for p in pieces]).tobytes()
         if len(chunk) <= self.LONG:
             if len(self) >= self.model.cache_limit:
                 self.old = dict(self)
@@ -424,6 +429,20 @@ FIELDS = {
 }
 
 
+def encoded(model: Model, text: str | None, outputs) -> dict:
+    """The chosen ``outputs`` of a text. All come from its ids and spans; the decoded text comes from the ids."""
+    ids, starts, ends = model.arrays(text)
+    made = {
+        "ids": ids.tolist,
+        "starts": starts.tolist,
+        "ends": ends.tolist,
+        "n_tokens": lambda: len(ids),
+        "ids_sha256": lambda: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
+        "decoded_sha256": lambda: hashlib.sha256(model.decode(ids.tolist()).encode()).hexdigest(),
+    }
+    return {o: made[o]() for o in outputs}
+
+
 def encode_documents(
     docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", outputs=("ids", "starts", "ends", "n_tokens")
 ) -> DataFrame:
@@ -431,28 +450,19 @@ def encode_documents(
 
     ``ids`` come with begin and end ids; ``starts`` and ``ends`` are byte spans in the original text;
     ``ids_sha256`` and ``decoded_sha256`` are digests of the ids and of the text decoded from them.
+    Ids and spans are made for every text, whichever outputs are chosen.
     One pass, no shuffle; each process keeps the encodings of recent chunks, up to a fixed number.
     """
     name = send(docs.sparkSession, model_path)
     schema = ", ".join(["doc_id long", *(f"{o} {FIELDS[o]}" for o in outputs)])
-    spans = {"ids", "starts", "ends"} & set(outputs)
-    digests = {"ids_sha256", "decoded_sha256"} & set(outputs)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         model = load(name)
         for batch in common.slices(batches):
             out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), **{o: [] for o in outputs}}
             for text in batch.column(1).to_pylist():
-                row: dict = {}
-                if spans:
-                    row["ids"], row["starts"], row["ends"] = model.encode(text)
-                    row["n_tokens"] = len(row["ids"])
-                if digests:
-                    row["n_tokens"], row["ids_sha256"], row["decoded_sha256"] = model.digest(text)
-                if not row:
-                    row["n_tokens"] = model.count(text) + 2
-                for o in outputs:
-                    out[o].append(row[o])
+                for o, value in encoded(model, text, outputs).items():
+                    out[o].append(value)
             yield common.to_batch(out, schema)
 
     chosen = docs.select(common.field(docs, id_col, "long").alias("doc_id"), common.field(docs, text_col, "string").alias("text"))
