@@ -115,3 +115,18 @@ def without(df: DataFrame, names) -> DataFrame:
 def field(df: DataFrame, name: str, kind: str) -> Column:
     """The column called ``name``, quoted, as ``kind``."""
     return F.col("`" + name.replace("`", "``") + "`").cast(kind)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], parts: int = 1000) -> DataFrame:
+    """Left join to a side with one row per key, where any key may hold a large share of the left rows.
+
+    Keys with more than one in ``parts`` of the left rows are fewer than ``parts``, whatever the size of
+    the data; only their rows of ``right`` are broadcast. All others meet in a shuffle. Keys are not null.
+    """
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    often = F.col("_rows") * parts > counts.agg(F.sum("_rows")).scalar()
+    hot = stored(counts.where(often).select(*on, F.lit(True).alias("_hot")), "hot-keys")
+    marked = left.join(F.broadcast(hot), on, "left")
+    few = right.join(F.broadcast(hot.drop("_hot")), on, "left_semi")
+    spread = marked.where("_hot").drop("_hot").join(F.broadcast(few), on, "left")
+    return spread.unionByName(marked.where("_hot is null").drop("_hot").join(right, on, "left"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from appwatch.llm import common, minhash, mixing, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_counts, topk, toxicity, warc
+from appwatch.llm import common, minhash, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece, suffix_dedup, token_counts, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,3 +138,36 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.apply_rules(docs, quality_rules.fit_references(docs)).drop("text", "lang")
+
+
+def _secret_sql(kind: str, no: int, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return (
+        f"SELECT doc_id, row, {no} AS no, '{kind}' AS kind, sum(before + width) OVER w - width AS start, sum(before + width) OVER w AS stop, long_enough "
+        f"FROM (SELECT doc_id, row, unnest(range(len(found))) AS i, unnest([len(x) FOR x IN pieces[:len(found)]]) AS before, unnest([len(x) FOR x IN found]) AS width, "
+        f"unnest([len(x) >= {least} FOR x IN judged]) AS long_enough FROM (SELECT doc_id, row, string_split_regex(text, '{quoted}') AS pieces, "
+        f"regexp_extract_all(text, '{quoted}') AS found, regexp_extract_all(text, '{quoted}', {group}) AS judged FROM d)) "
+        "WINDOW w AS (PARTITION BY row ORDER BY i)"
+    )
+
+
+# The SQL has the patterns as the contract gives them, and drops short matches afterwards.
+SECRETS_SQL = (
+    "WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents), m AS ("
+    + " UNION ALL ".join(
+        _secret_sql(kind, no, pattern, group, least)
+        for no, (kind, pattern, group, least) in enumerate(
+            (("assign", secret_scan.RULES[0].pattern, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))
+        )
+    )
+    + "), s AS (SELECT row, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex, "
+    "string_agg(kind || ':' || CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY start, no) AS spans "
+    "FROM m WHERE long_enough GROUP BY row) "
+    "SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, "
+    "sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (row)"
+)
+
+
+@query("op12_secret_scan", SECRETS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(common.table(spark, sf_dir, "documents"))
