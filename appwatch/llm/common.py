@@ -9,6 +9,8 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,3 +132,9 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], parts: int = 1
     few = right.join(F.broadcast(hot.drop("_hot")), on, "left_semi")
     spread = marked.where("_hot").drop("_hot").join(F.broadcast(few), on, "left")
     return spread.unionByName(marked.where("_hot is null").drop("_hot").join(right, on, "left"))
+
+
+def side_table(path: str, columns: list[str]) -> pa.Table:
+    """A small table that Spark wrote to shared storage, read inside a task. Its size must have a bound of its own."""
+    store, inner = fs.FileSystem.from_uri(path)
+    return ds.dataset(inner, filesystem=store, format="parquet").to_table(columns)

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from appwatch.llm import common, minhash, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece, suffix_dedup, token_counts, topk, toxicity, warc
+from appwatch.llm import (
+    alignment, collocations, common, minhash, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece, suffix_dedup, token_counts,
+    topk, toxicity, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,3 +174,46 @@ SECRETS_SQL = (
 @query("op12_secret_scan", SECRETS_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(common.table(spark, sf_dir, "documents"))
+
+
+PHRASES_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+f AS (
+  SELECT lang, words, phrase, count(*)::HUGEINT AS f FROM (
+    SELECT lang, 1 AS words, unnest(w) AS phrase FROM w
+    UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM w
+    UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM w)
+  GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+cand AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1),
+held AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM cand WHERE words = 3
+    UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM cand WHERE words = 3) GROUP BY ALL),
+kept AS (SELECT cand.* FROM cand LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+cuts AS (
+  SELECT lang, phrase, a, 1 AS k, w[1] AS head, array_to_string(w[2:], ' ') AS tail FROM kept
+  UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM kept WHERE words = 3),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, (1000000 * a * a) // (l.f * r.f) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = head JOIN f r ON r.lang = c.lang AND r.phrase = tail),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM weakest)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", PHRASES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.phrases(common.table(spark, sf_dir, "documents"))
+    return collocations.collocations(found).drop("doc_id", "start")
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = common.table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), piece_model())
