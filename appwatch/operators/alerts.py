@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from appwatch import schema as S
+from appwatch.functions import histograms as H
 from appwatch.functions.percentiles import group_percentiles
 from appwatch.functions.scalars import as_instant, blank_to_null, minutes_back, since_month
 from appwatch.operators.metadata import assign_ids
@@ -108,19 +109,21 @@ def _slots(errors: DataFrame, failed: DataFrame, dims: list[str], metrics: list[
 
 
 def _latency_slots(calls: DataFrame, dims: list[str], exact: bool) -> DataFrame:
-    """Durations per combination and slot: repeat counts when exact, mergeable sketches otherwise."""
+    """Durations per combination and slot: repeat counts of values when exact, of histogram buckets otherwise.
+
+    Buckets are summed once more after the offer, so "any app" holds few rows however many apps there are.
+    """
     if exact:
-        counted = calls.groupBy(*dims, "slot", "duration_ms").agg(F.count(F.lit(1)).alias("n"))
-    else:
-        counted = calls.groupBy(*dims, "slot").agg(F.kll_sketch_agg_double("duration_ms").alias("sketch"))
-    return _offer(counted, dims)
+        return _offer(calls.groupBy(*dims, "slot", "duration_ms").agg(F.count(F.lit(1)).alias("n")), dims)
+    bucketed = calls.select(*dims, "slot", H.bucket(F.col("duration_ms")).alias("_bucket")).where("_bucket is not null")
+    counted = bucketed.groupBy(*dims, "slot", "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    return _offer(counted, dims).groupBy(*[f"k_{d}" for d in dims], "slot", "_bucket").agg(F.sum("n").alias("n"))
 
 
 def _p95(rows: DataFrame, keys: list[str], exact: bool) -> DataFrame:
     if exact:
         return group_percentiles(rows, keys, "duration_ms", {"value": P95}, weight="n", exact=True)
-    merged = rows.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("_s"))
-    return merged.select(*keys, F.kll_sketch_get_quantile_double("_s", F.lit(P95)).alias("value"))
+    return rows.groupBy(*keys).agg(H.percentiles(F.col("_bucket"), F.col("n"), [P95])[0].alias("value"))
 
 
 def _rate(amount: Column) -> Column:
@@ -140,7 +143,8 @@ def evaluate_rules(
     The window has a lower bound only, so telemetry dated later counts. Errors come from the
     per-minute rollup, by minute start. Silent rules stay: 0 for counts, NULL for a percentile,
     and NULL never breaches. A rule with an unknown metric gets ``error`` and harms no other.
-    ``metrics`` narrows the work to rules of these known metrics.
+    ``metrics`` narrows the work to rules of these known metrics. Percentiles are ``exact`` or come from
+    histograms, within 0.4 %; both are the same whenever they are computed from the same rows.
     """
     dims = _dims(apply_release)
     k = [f"k_{d}" for d in dims]

@@ -12,6 +12,7 @@ from appwatch.functions.filters import Filters, like_filters, time_range
 from appwatch.functions.percentiles import group_percentiles
 from appwatch.functions.scalars import as_instant, compact_number
 from appwatch.operators.dedup import narrow
+from appwatch.operators.rollups import rollup_percentiles
 
 DIMENSIONS = ("app", "env", "release")
 LEVELS = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
@@ -145,17 +146,12 @@ def api_latency(calls: DataFrame, filters: Filters, dedup: bool = True, exact: b
 
 
 def latency_from_rollup(rollup: DataFrame, filters: Filters) -> DataFrame:
-    """Hourly latency from the per-minute rollup and its mergeable sketches: never touches raw calls."""
+    """Hourly latency from the per-minute rollup and its histograms: never touches raw calls."""
     rows = like_filters(time_range(rollup, filters, "minute"), filters, (*DIMENSIONS, "path", "method"))
-    hourly = rows.groupBy("path", "method", "release", F.date_trunc("hour", "minute").alias("bucket")).agg(
-        F.sum("request_count").alias("request_count"),
-        F.sum("error_count").alias("error_count"),
-        F.kll_merge_agg_double("duration_sketch").alias("_s"),
-    )
-    picks = [F.kll_sketch_get_quantile_double("_s", F.lit(p)).alias(n) for n, p in LEVELS.items()]
-    return hourly.select("path", "method", "release", "bucket", "request_count", "error_count", *picks).orderBy(
-        "bucket", "path", "method", "release"
-    )
+    rows = rows.withColumn("bucket", F.date_trunc("hour", "minute"))
+    by = ["path", "method", "release", "bucket"]
+    hourly = rollup_percentiles(rows, "api_latency_1m", LEVELS, by)
+    return hourly.select(*by, "request_count", "error_count", *LEVELS).orderBy("bucket", "path", "method", "release")
 
 
 def endpoint_summary(latency: DataFrame) -> DataFrame:
@@ -180,9 +176,14 @@ def latency_series(latency: DataFrame) -> DataFrame:
     ).orderBy("method", "path", "bucket", "release")
 
 
-def latency_overall(calls: DataFrame, keys: list[str], dedup: bool = True, exact: bool = False) -> DataFrame:
-    """Requests, errors, network failures, mean and p95 latency per ``keys``."""
-    rows = narrow(calls, S.MOBILE_API_CALLS, [*keys, "status_code", "duration_ms"], dedup)
+def latency_overall(
+    calls: DataFrame, keys: list[str], dedup: bool = True, exact: bool = False, filters: Filters | None = None
+) -> DataFrame:
+    """Requests, errors, network failures and p95 latency per ``keys``, of all time or of the filters' range."""
+    columns = (*keys, "status_code", "duration_ms")
+    rows = narrow(calls, S.MOBILE_API_CALLS, columns, dedup)
+    if filters is not None:
+        rows = select_range(calls, S.MOBILE_API_CALLS, filters, columns, dedup, (*DIMENSIONS, "path", "method"))
     counts = {
         "requests": F.lit(1),
         "errors": F.when(F.col("status_code") >= 400, 1).otherwise(0),
@@ -215,12 +216,17 @@ def window_presets(rows: DataFrame, as_of: datetime, hours: tuple[int, ...] = S.
 
 
 def compare_releases(
-    events: DataFrame, calls: DataFrame, base: str, candidate: str, dedup: bool = True, exact: bool = False
+    events: DataFrame, calls: DataFrame, base: str, candidate: str, dedup: bool = True, exact: bool = False, filters: Filters | None = None
 ) -> DataFrame:
-    """One row setting a candidate release against a base release."""
+    """One row setting a candidate release against a base release, over all time or the filters' range."""
     both = F.col("release").isin(base, candidate)
-    c = narrow(calls, S.MOBILE_API_CALLS, ["release", "status_code", "duration_ms"], dedup).filter(both)
-    e = narrow(events, S.MOBILE_EVENTS, ["release", "event_type", "duration_ms"], dedup).filter(both)
+    of_calls, of_events = ("release", "status_code", "duration_ms"), ("release", "event_type", "duration_ms")
+    if filters is None:
+        c, e = narrow(calls, S.MOBILE_API_CALLS, of_calls, dedup), narrow(events, S.MOBILE_EVENTS, of_events, dedup)
+    else:
+        c = select_range(calls, S.MOBILE_API_CALLS, filters, of_calls, dedup)
+        e = select_range(events, S.MOBILE_EVENTS, filters, of_events, dedup)
+    c, e = c.filter(both), e.filter(both)
     start = e.filter("event_type = 'app_start'").groupBy("release").agg(F.avg("duration_ms").alias("start_ms"))
     sums = {
         "calls": F.lit(1),

@@ -21,8 +21,10 @@ from appwatch.functions.scalars import (
     utc_millis,
 )
 
+# The server's messages.
 EMPTY_BATCH = "events: events must not be empty"
 UNREADABLE = "Invalid request body"
+NOT_BLANK, NOT_NULL = "must not be blank", "must not be null"
 
 
 # --- one event -----------------------------------------------------------------------------
@@ -68,10 +70,22 @@ def typed_event(e: Column) -> Column:
     return F.when(e.isNotNull(), F.struct(*[typed.get(f, e[f]).alias(f) for f in S.WIRE_FIELDS]))
 
 
-def is_readable(e: Column) -> Column:
+def _nested_text(e: Column, raw: Column) -> Column:
+    """True where a text field holds an object or a list. Both arrive as their JSON text, so the event is
+    parsed again, but only if some text field looks like one; a text that merely does is no object."""
+    typed = _typed_fields(e)
+    fields = [f for f in S.WIRE_FIELDS if f not in typed and f != "event_data"]
+    looks = reduce(or_, [F.coalesce(e[f].startswith("{") | e[f].startswith("["), F.lit(False)) for f in fields])
+    kinds = [F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), f"$.{f}", "variant")) for f in fields]
+    nested = reduce(or_, [F.coalesce(k.rlike("^(OBJECT|ARRAY)"), F.lit(False)) for k in kinds])
+    return F.when(looks, nested).otherwise(F.lit(False))
+
+
+def is_readable(e: Column, raw: Column) -> Column:
     """False where the server would refuse to parse the event: an unknown type, a value that does
-    not fit its field, or event data that is no object."""
-    fits = [F.coalesce(e["event_type"].isin(*S.EVENT_TYPES), F.lit(False))]
+    not fit its field, an object or a list in a text field, or event data that is no object."""
+    fits = [~_nested_text(e, raw)]
+    fits += [F.coalesce(e["event_type"].isin(*S.EVENT_TYPES), F.lit(False))]
     fits += [e[name].isNull() | typed.isNotNull() for name, typed in _typed_fields(e).items()]
     fits.append(e["event_data"].isNull() | F.ltrim(e["event_data"]).startswith("{"))
     return reduce(and_, fits)
@@ -79,10 +93,10 @@ def is_readable(e: Column) -> Column:
 
 def _constraints(e: Column) -> list[tuple[Column, str, str]]:
     """(violated, field, message) of every constraint, in declaration order."""
-    checks = [(is_blank(e[f]), name, "must not be blank") for f, name in S.REQUIRED_COMMON]
-    checks.append((e["timestamp"].isNull(), "timestamp", "must not be null"))
+    checks = [(is_blank(e[f]), name, NOT_BLANK) for f, name in S.REQUIRED_COMMON]
+    checks.append((e["timestamp"].isNull(), "timestamp", NOT_NULL))
     for kind, required in S.REQUIRED_BY_TYPE.items():
-        checks += [((e["event_type"] == kind) & is_blank(e[f]), name, "must not be blank") for f, name in required]
+        checks += [((e["event_type"] == kind) & is_blank(e[f]), name, NOT_BLANK) for f, name in required]
     return checks
 
 
@@ -153,7 +167,7 @@ def classify_events(docs: DataFrame, coerce: bool = False) -> DataFrame:
         *keep, F.when(whole, F.col("body")).alias("body"), "broken", "pos", F.col("_e.raw").alias("raw"), F.col("_e.wire").alias("wire")
     )
     wire = F.col("wire")
-    unreadable = F.col("broken") | (~whole & ~is_readable(wire))
+    unreadable = F.col("broken") | (~whole & ~is_readable(wire, F.col("raw")))
     return _judged(rows, unreadable, whole, is_valid(wire), violations(wire, F.col("pos"))).drop("broken")
 
 
@@ -171,7 +185,7 @@ def classify_batches(docs: DataFrame, coerce: bool = False) -> DataFrame:
     ``errors`` lists every violation of every event.
     """
     docs = _wire_events(docs, coerce)
-    bad = F.exists("wire", lambda x: ~is_readable(x["wire"]))
+    bad = F.exists("wire", lambda x: ~is_readable(x["wire"], x["raw"]))
     docs = _once(docs, "_unreadable", F.col("broken") | F.coalesce(bad, F.lit(False)))
     docs = _once(docs, "_valid", F.coalesce(F.forall("wire", lambda x: is_valid(x["wire"])), F.lit(True)))
     found = F.flatten(F.transform("wire", lambda x, i: violations(x["wire"], i)))
@@ -270,7 +284,7 @@ def decode_records(records: DataFrame) -> DataFrame:
         F.col("_v.source_ip").alias("source_ip"),
         F.col("_v.app_id").alias("app_id"),
         "event",
-        F.coalesce(is_readable(F.col("_e")), F.lit(False)).alias("readable"),
+        F.coalesce(is_readable(F.col("_e"), F.col("_v.event")), F.lit(False)).alias("readable"),
     )
 
 

@@ -27,17 +27,19 @@ def assign_ids(rows: DataFrame, key: str, existing: DataFrame) -> DataFrame:
     return numbered.select(new_id.alias("id"), *rows.columns)
 
 
-def register_apps(names: DataFrame, apps: DataFrame) -> DataFrame:
-    """New app rows for the distinct names that are not registered yet."""
+def register_apps(names: DataFrame, apps: DataFrame, created_at: datetime | None = None) -> DataFrame:
+    """New app rows, whole, for the distinct names that are not registered yet; created now unless told otherwise."""
     fresh = names.select("name").distinct().join(apps.select("name"), "name", "left_anti")
+    fresh = fresh.withColumn("created_at", as_instant(created_at or datetime.now(timezone.utc).replace(tzinfo=None)))
     return assign_ids(fresh, "name", apps)
 
 
-def app_ids(names: DataFrame, apps: DataFrame) -> DataFrame:
-    """The id of every distinct name, whether it was there before or is new."""
-    fresh = register_apps(names, apps)
-    known = names.select("name").distinct().join(apps.select("id", "name"), "name").select("id", "name")
-    return known.unionByName(fresh)
+def app_ids(names: DataFrame, apps: DataFrame, created_at: datetime | None = None) -> DataFrame:
+    """The row of every distinct name: the one that is there, or else the new one. A name's creation time never changes."""
+    fresh = register_apps(names, apps, created_at)
+    created = F.col("created_at") if "created_at" in apps.columns else F.lit(None).cast("timestamp")
+    known = names.select("name").distinct().join(apps.select("id", "name", created.alias("created_at")), "name")
+    return known.select(*fresh.columns).unionByName(fresh)
 
 
 def default_rules(apps: DataFrame, rules: DataFrame, created_at: datetime | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from appwatch.functions import histograms as H
 from appwatch.operators.dedup import narrow
 from appwatch.schema import MOBILE_API_CALLS, MOBILE_ERRORS, MOBILE_EVENTS, TableSpec
 
@@ -19,6 +20,8 @@ class Rollup:
     # measure -> (how it is taken from rows, how partial values of it merge)
     measures: dict[str, tuple[Column, str]]
     inputs: tuple[str, ...] = ()
+    # (column, values counted in it): a histogram, which merges by adding counts per bucket
+    histogram: tuple[str, str] | None = None
 
     @property
     def key(self) -> list[str]:
@@ -42,9 +45,9 @@ def _rollups() -> dict[str, Rollup]:
                     "duration_sum": (F.sum("duration_ms"), "sum"),
                     # A maximum merges by maximum, never by adding.
                     "duration_max": (F.max("duration_ms"), "max"),
-                    "duration_sketch": (F.kll_sketch_agg_double("duration_ms"), "kll_merge_agg_double"),
                 },
                 ("status_code", "duration_ms"),
+                ("duration_histogram", "duration_ms"),
             ),
             Rollup(
                 "error_rate_1m", MOBILE_ERRORS, ("app", "env", "release", "platform", "error_type", "error_class"),
@@ -62,30 +65,51 @@ def rollup_names() -> tuple[str, ...]:
     return ("events_throughput_1m", "api_latency_1m", "error_rate_1m")
 
 
-def roll_up(rows: DataFrame, name: str, dedup: bool = True, by: list[str] | None = None, sketch: bool = True) -> DataFrame:
+def roll_up(rows: DataFrame, name: str, dedup: bool = True, by: list[str] | None = None, histogram: bool = True) -> DataFrame:
     """Per-minute partial aggregate of a table. ``by`` adds grouping columns, such as a batch number.
 
     With ``dedup`` a redelivered event counts once; without it every delivery counts, as when
-    rolling up at insert time.
+    rolling up at insert time. ``histogram=False`` leaves the histogram column out.
     """
     spec, extra = rollup_spec(name), by or []
     rows = narrow(rows, spec.source, [*spec.dims, "event_time", *spec.inputs, *extra], dedup)
-    measures = [(m, agg) for m, (agg, _) in spec.measures.items() if sketch or m != "duration_sketch"]
-    return (
-        rows.withColumn("minute", F.date_trunc("minute", "event_time"))
-        .groupBy(*spec.key, *extra)
-        .agg(*[agg.alias(m) for m, agg in measures])
-    )
+    rows = rows.withColumn("minute", F.date_trunc("minute", "event_time"))
+    measures = [agg.alias(m) for m, (agg, _) in spec.measures.items()]
+    key = [*spec.key, *extra]
+    if spec.histogram is None or not histogram:
+        return rows.groupBy(*key).agg(*measures)
+    column, value = spec.histogram
+    counted = rows.withColumn("_bucket", H.bucket(F.col(value))).groupBy(*key, "_bucket").agg(*measures, F.count(F.lit(1)).alias("_n"))
+    return _collect(counted, spec, key, column)
+
+
+def _merges(spec: Rollup, columns: list[str], where: Column | None = None) -> list[Column]:
+    pick = (lambda m: F.col(m)) if where is None else (lambda m: F.when(where, F.col(m)))
+    return [F.call_function(merge, pick(m)).alias(m) for m, (_, merge) in spec.measures.items() if m in columns]
+
+
+def _collect(counted: DataFrame, spec: Rollup, key: list[str], column: str) -> DataFrame:
+    """Rows per bucket to one row per key, the buckets in a histogram."""
+    return counted.groupBy(*key).agg(*_merges(spec, counted.columns), H.collected("_bucket", "_n").alias(column))
 
 
 def merge_rollup(partials: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Partial rows of a rollup merged on its key (or on coarser ``by`` columns)."""
     spec = rollup_spec(name)
-    return partials.groupBy(*(by or spec.key)).agg(
-        *[F.call_function(merge, F.col(m)).alias(m) for m, (_, merge) in spec.measures.items() if m in partials.columns]
-    )
+    key, column = by or spec.key, (spec.histogram or ("",))[0]
+    if column not in partials.columns:
+        return partials.groupBy(*key).agg(*_merges(spec, partials.columns))
+    rows = H.entries(partials, column, [*key, *[m for m in spec.measures if m in partials.columns]])
+    counted = rows.groupBy(*key, "_bucket").agg(*_merges(spec, rows.columns, F.col("_first")), F.sum("_n").alias("_n"))
+    return _collect(counted, spec, key, column)
 
 
-def sketch_percentile(sketch: Column, fraction: float) -> Column:
-    """An approximate percentile from a merged duration sketch."""
-    return F.kll_sketch_get_quantile_double(sketch, F.lit(fraction))
+def rollup_percentiles(partials: DataFrame, name: str, levels: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Partial rows merged on ``by``, with the percentiles in ``levels`` (name to fraction) in place of the histogram."""
+    spec = rollup_spec(name)
+    key, (column, _) = by or spec.key, spec.histogram
+    rows = H.entries(partials, column, [*key, *[m for m in spec.measures if m in partials.columns]])
+    merged = rows.groupBy(*key).agg(
+        *_merges(spec, rows.columns, F.col("_first")), H.percentiles(F.col("_bucket"), F.col("_n"), list(levels.values())).alias("_p")
+    )
+    return merged.select(*[c for c in merged.columns if c != "_p"], *[F.col("_p")[i].alias(n) for i, n in enumerate(levels)])

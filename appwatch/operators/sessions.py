@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from appwatch import schema as S
+from appwatch.functions.filters import Filters
 from appwatch.functions.scalars import is_blank
+from appwatch.operators.dashboard import select_range
 from appwatch.operators.dedup import narrow
 
 SESSION_DIMS = ("user_id", "app", "env", "app_version", "release", "platform", "device_model", "os_version")
 
 
-def session_partials(events: DataFrame, calls: DataFrame, errors: DataFrame, dedup: bool = True, by: list[str] | None = None) -> DataFrame:
+def _rows(df: DataFrame, spec: S.TableSpec, columns: list[str], dedup: bool, filters: Filters | None) -> DataFrame:
+    return narrow(df, spec, columns, dedup) if filters is None else select_range(df, spec, filters, tuple(columns), dedup)
+
+
+def session_partials(
+    events: DataFrame, calls: DataFrame, errors: DataFrame, dedup: bool = True, by: list[str] | None = None, filters: Filters | None = None
+) -> DataFrame:
     """Start, end, counts and latest dimensions per session, in a form that merges."""
     extra = by or []
     columns = ["session_id", "event_time", "event_id", *SESSION_DIMS, *extra]
     rows = None
     for df, spec in ((events, S.MOBILE_EVENTS), (calls, S.MOBILE_API_CALLS), (errors, S.MOBILE_ERRORS)):
-        part = narrow(df, spec, columns, dedup).withColumn("_error", F.lit(spec is S.MOBILE_ERRORS))
+        part = _rows(df, spec, columns, dedup, filters).withColumn("_error", F.lit(spec is S.MOBILE_ERRORS))
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy("session_id", *extra).agg(
         F.min("event_time").alias("started_at"),
@@ -41,9 +52,14 @@ def merge_sessions(partials: DataFrame) -> DataFrame:
     return _present(merged)
 
 
-def build_sessions(events: DataFrame, calls: DataFrame, errors: DataFrame, dedup: bool = True) -> DataFrame:
-    """One row per session over all three tables. Every row counts as an event, error rows also as errors."""
-    return _present(session_partials(events, calls, errors, dedup))
+def build_sessions(
+    events: DataFrame, calls: DataFrame, errors: DataFrame, dedup: bool = True, filters: Filters | None = None
+) -> DataFrame:
+    """One row per session over all three tables. Every row counts as an event, error rows also as errors.
+
+    With ``filters`` a session is what it did in their time range; months outside it are not read.
+    """
+    return _present(session_partials(events, calls, errors, dedup, filters=filters))
 
 
 def _present(df: DataFrame) -> DataFrame:
@@ -53,15 +69,21 @@ def _present(df: DataFrame) -> DataFrame:
     )
 
 
-def error_last_screen(errors: DataFrame, events: DataFrame, dedup: bool = True) -> DataFrame:
+def error_last_screen(
+    errors: DataFrame, events: DataFrame, dedup: bool = True, filters: Filters | None = None, look_back: timedelta = timedelta(hours=24)
+) -> DataFrame:
     """Errors without a screen get the last screen their session viewed, at or before the error.
 
     Views and look-ups shrink to one point per session and instant, and points are ordered inside
     session hours; what each hour starts with comes from the hours before it. A session with very
     many rows is thus never ordered as one group.
+
+    With ``filters`` only errors of their time range, and screens viewed in it or up to ``look_back`` before.
     """
-    e = narrow(errors, S.MOBILE_ERRORS, ["event_id", "session_id", "event_time", "screen_name"], dedup)
-    v = narrow(events.filter("event_type = 'screen_view'"), S.MOBILE_EVENTS, ["event_id", "session_id", "event_time", "screen_name"], dedup)
+    columns = ["event_id", "session_id", "event_time", "screen_name"]
+    earlier_too = filters and replace(filters, start=filters.bounds()[0] - look_back, to=filters.bounds()[1])
+    e = _rows(errors, S.MOBILE_ERRORS, columns, dedup, filters)
+    v = _rows(events.filter("event_type = 'screen_view'"), S.MOBILE_EVENTS, columns, dedup, earlier_too)
     missing = e.filter(is_blank(F.col("screen_name")))
 
     viewed = F.struct("event_id", "screen_name")

@@ -5,22 +5,25 @@ Percentile and distinct-count queries use the exact modes, so that results can b
 
 from __future__ import annotations
 
-from datetime import datetime
+from dataclasses import replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from appwatch import schema as S
-from appwatch.functions import scalars
+from appwatch.functions import histograms, scalars
 from appwatch.functions.filters import Filters
 from appwatch.operators import alerts, dashboard, ingest, metadata, sessions
 from appwatch.operators.dedup import deduplicate, narrow
 from appwatch.operators.mapping import skip_unknown, to_table
-from appwatch.operators.rollups import merge_rollup, roll_up
+from appwatch.operators.rollups import merge_rollup, roll_up, rollup_percentiles, rollup_spec
 from appwatch.plans.registry import query
 from appwatch.plans.sql import select
+from appwatch.session import scratch_path
 from appwatch.sources import tables
 from appwatch.sources import views as V
+from appwatch.sources.metadata import append_metadata, read_metadata
 
 START = datetime(2024, 1, 1)
 AS_OF = datetime(2024, 1, 3)
@@ -173,15 +176,20 @@ def latency_checkout(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(dashboard.api_latency(V.mobile_api_calls(spark, sf), CHECKOUT, exact=True))
 
 
-@query(
-    "latency_from_rollup",
-    select("SELECT path, method, release, bucket, request_count, error_count FROM (" + _latency_sql() + ")"),
-)
+def bucketed(source: str = "dc") -> str:
+    """CTEs ending in ``hc``: calls with the histogram bucket of their duration, and in its place the value that stands for the bucket."""
+    return f"""
+hq AS (SELECT *, CAST(floor(least(abs(duration_ms), 9e15) * 1000) AS BIGINT) AS units FROM {source}),
+hs AS (SELECT *, greatest(length(bin(units)) - 8, 0) AS spare, CASE WHEN duration_ms < 0 THEN -1 ELSE 1 END AS sign FROM hq),
+hc AS (SELECT * REPLACE (sign * (((units >> spare) << spare) + ((1::BIGINT << spare) - 1) / 2.0) / 1000 AS duration_ms),
+  sign * (spare * 128 + (units >> spare)) AS hbucket, duration_ms AS exact_ms FROM hs)"""
+
+
+@query("latency_from_rollup", select(_latency_sql(source="hc"), bucketed()))
 def latency_from_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly figures from the minute rollup; its approximate percentiles are checked in the tests."""
+    """Hourly figures from the minute rollup, percentiles from its histograms."""
     minutes = roll_up(V.mobile_api_calls(spark, sf), "api_latency_1m")
-    out = dashboard.latency_from_rollup(minutes, EVERYTHING)
-    return _plain(out.drop(*dashboard.LEVELS))
+    return _plain(dashboard.latency_from_rollup(minutes, EVERYTHING))
 
 
 @query(
@@ -313,9 +321,24 @@ def rollup_throughput(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(roll_up(V.mobile_events(spark, sf), "events_throughput_1m"))
 
 
-@query("rollup_api_latency", select(_LATENCY_1M.format("dc")))
+_HISTOGRAM_1M = (
+    "SELECT app, env, release, path, method, " + _MINUTE + ", count(*) AS request_count, "
+    "count(*) FILTER (status_code >= 400) AS error_count, round(sum(exact_ms), 6) AS duration_sum, round(max(exact_ms), 6) AS duration_max, "
+    + _r(*[f"{n}=quantile_cont(duration_ms, {p})" for n, p in dashboard.LEVELS.items()])
+    + ", array_to_string([CAST(e.key AS VARCHAR) || ':' || CAST(e.value AS VARCHAR) FOR e IN map_entries(histogram(hbucket))], ',') AS durations "
+    "FROM hc GROUP BY ALL"
+)
+
+
+def _with_percentiles(rollup: DataFrame) -> DataFrame:
+    """The rollup's rows with their histograms as text and the percentiles these give."""
+    rows = rollup.withColumn("durations", histograms.as_text(F.col("duration_histogram")))
+    return rollup_percentiles(rows, "api_latency_1m", dashboard.LEVELS, [*rollup_spec("api_latency_1m").key, "durations"])
+
+
+@query("rollup_api_latency", select(_HISTOGRAM_1M, bucketed()))
 def rollup_api_latency(spark: SparkSession, sf: str) -> DataFrame:
-    return _plain(roll_up(V.mobile_api_calls(spark, sf), "api_latency_1m", sketch=False))
+    return _plain(_with_percentiles(roll_up(V.mobile_api_calls(spark, sf), "api_latency_1m")))
 
 
 @query("rollup_errors", select(_ERRORS_1M.format("dx")))
@@ -329,13 +352,13 @@ def rollup_errors_raw(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(roll_up(V.mobile_errors(spark, sf), "error_rate_1m", dedup=False))
 
 
-@query("rollup_merge", select(_LATENCY_1M.format("dc")))
+@query("rollup_merge", select(_HISTOGRAM_1M, bucketed()))
 def rollup_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Partial rollups of eight slices, merged: the same as rolling up at once."""
+    """Partial rollups of eight slices, merged: the same as rolling up at once, histograms included."""
     rows = _calls(spark, sf)
     rows = rows.withColumn("slice", F.pmod(F.crc32("event_id"), F.lit(8)))
-    partials = roll_up(rows, "api_latency_1m", dedup=False, by=["slice"], sketch=False)
-    return _plain(merge_rollup(partials, "api_latency_1m"))
+    partials = roll_up(rows, "api_latency_1m", dedup=False, by=["slice"])
+    return _plain(_with_percentiles(merge_rollup(partials, "api_latency_1m")))
 
 
 # --- sessions --------------------------------------------------------------------------------------
@@ -367,6 +390,70 @@ def error_last_screen(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(sessions.error_last_screen(V.mobile_errors(spark, sf), V.mobile_events(spark, sf)))
 
 
+# --- the same in a time range: months outside it are not read -------------------------------------------
+
+SECOND_DAY = Filters(start=datetime(2024, 1, 2), to=AS_OF)
+_SECOND_DAY = "event_time BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-03'"
+_DAY_CTES = ", ".join(f"{n} AS (SELECT * FROM {t} WHERE {_SECOND_DAY})" for n, t in (("re", "de"), ("rc", "dc"), ("rx", "dx")))
+
+
+@query(
+    "sessions_range",
+    select(
+        "SELECT session_id, " + ", ".join(f"last({d} ORDER BY event_time, event_id) AS {d}" for d in sessions.SESSION_DIMS)
+        + ", min(event_time) AS started_at, max(event_time) AS ended_at, count(*) AS event_count, count(*) FILTER (event_type = 'error') AS error_count "
+        "FROM (SELECT * FROM re UNION ALL SELECT * FROM rc UNION ALL SELECT * FROM rx) GROUP BY session_id",
+        _DAY_CTES,
+    ),
+)
+def sessions_range(spark: SparkSession, sf: str) -> DataFrame:
+    tables_ = V.mobile_events(spark, sf), V.mobile_api_calls(spark, sf), V.mobile_errors(spark, sf)
+    return _plain(sessions.build_sessions(*tables_, filters=SECOND_DAY))
+
+
+@query(
+    "error_last_screen_range",
+    select(
+        "SELECT event_id, session_id, event_time, CASE WHEN own IS NOT NULL THEN own ELSE seen END AS screen_name FROM "
+        "(SELECT *, last_value(screen IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY event_time, kind, event_id "
+        "ROWS UNBOUNDED PRECEDING) AS seen FROM ("
+        "SELECT 1 AS kind, event_id, session_id, event_time, screen_name AS own, NULL AS screen FROM rx UNION ALL "
+        "SELECT 0, event_id, session_id, event_time, NULL, screen_name FROM de WHERE event_type = 'screen_view' "
+        "AND event_time BETWEEN TIMESTAMP '2024-01-01 18:00:00' AND TIMESTAMP '2024-01-03')) WHERE kind = 1",
+        _DAY_CTES,
+    ),
+)
+def error_last_screen_range(spark: SparkSession, sf: str) -> DataFrame:
+    errors, events = V.mobile_errors(spark, sf), V.mobile_events(spark, sf)
+    return _plain(sessions.error_last_screen(errors, events, filters=SECOND_DAY, look_back=timedelta(hours=6)))
+
+
+@query(
+    "compare_releases_range",
+    select(
+        "SELECT 'v1.0.0' AS base, 'v1.1.0' AS candidate, " + (_release("base", "v1.0.0") + ", " + _release("candidate", "v1.1.0")).replace("FROM dc", "FROM rc").replace("FROM de", "FROM re")
+        + ", (SELECT avg(duration_ms) FROM rc WHERE release = 'v1.1.0') > (SELECT avg(duration_ms) FROM rc WHERE release = 'v1.0.0') AS slower",
+        _DAY_CTES,
+    ),
+)
+def compare_releases_range(spark: SparkSession, sf: str) -> DataFrame:
+    events, calls = V.mobile_events(spark, sf), V.mobile_api_calls(spark, sf)
+    return _plain(dashboard.compare_releases(events, calls, "v1.0.0", "v1.1.0", exact=True, filters=SECOND_DAY))
+
+
+@query(
+    "latency_overall_range",
+    select(
+        "SELECT app, method, path, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors, "
+        "count(*) FILTER (status_code = 0) AS network_failures, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms FROM rc WHERE method = 'POST' GROUP BY ALL",
+        _DAY_CTES,
+    ),
+)
+def latency_overall_range(spark: SparkSession, sf: str) -> DataFrame:
+    posts = replace(SECOND_DAY, method="POST")
+    return _plain(dashboard.latency_overall(V.mobile_api_calls(spark, sf), ["app", "method", "path"], exact=True, filters=posts))
+
+
 # --- alerts ----------------------------------------------------------------------------------------
 
 
@@ -399,14 +486,14 @@ def alerts_feed(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(alerts.firings_feed(V.alert_firings(spark, sf), rules, apps, START, AS_OF, limit=500))
 
 
-def _evaluated_sql(release: bool = False) -> str:
+def _evaluated_sql(release: bool = False, calls: str = "dc") -> str:
     rel = "AND (coalesce(r.release, '') = '' OR d.release = r.release)" if release else ""
     dims = "(trim(r.app_name) = '' OR d.app = r.app_name) AND (coalesce(trim(r.env), '') = '' OR d.env = r.env) " + rel
     since = "TIMESTAMP '2024-01-03' - to_minutes(r.window_minutes)"
     return f"""
 ev1 AS (SELECT r.id, coalesce(sum(d.c), 0) / r.window_minutes AS value FROM er r LEFT JOIN rollx d
   ON d.minute >= {since} AND {dims} WHERE metric_type = 'error_rate' GROUP BY r.id, r.window_minutes),
-ev2 AS (SELECT r.id, quantile_cont(d.duration_ms, 0.95) AS value FROM er r LEFT JOIN dc d
+ev2 AS (SELECT r.id, quantile_cont(d.duration_ms, 0.95) AS value FROM er r LEFT JOIN {calls} d
   ON d.event_time >= {since} AND {dims} WHERE metric_type = 'p95_latency_ms' GROUP BY r.id),
 ev3 AS (SELECT r.id, count(d.event_id) AS value FROM er r LEFT JOIN dc d
   ON d.status_code >= 400 AND d.event_time >= {since} AND {dims} WHERE metric_type = 'failed_requests' GROUP BY r.id),
@@ -418,12 +505,12 @@ ev AS (SELECT r.id AS rule_id, app_id, name, metric_type, threshold, window_minu
 
 
 def _evaluate(
-    spark: SparkSession, sf: str, apply_release: bool = False, metrics: tuple[str, ...] = S.ALERT_METRICS
+    spark: SparkSession, sf: str, apply_release: bool = False, metrics: tuple[str, ...] = S.ALERT_METRICS, exact: bool = True
 ) -> DataFrame:
     rules = alerts.enabled_rules(V.alert_rules(spark, sf), V.apps(spark, sf))
     calls = _calls(spark, sf)
     errors = roll_up(V.mobile_errors(spark, sf), "error_rate_1m")
-    return alerts.evaluate_rules(rules, errors, calls, AS_OF, exact=True, apply_release=apply_release, metrics=metrics)
+    return alerts.evaluate_rules(rules, errors, calls, AS_OF, exact=exact, apply_release=apply_release, metrics=metrics)
 
 
 _EV = "SELECT rule_id, app_id, name, metric_type, threshold, window_minutes, round(value, 6) AS value, error, breached FROM ev"
@@ -440,6 +527,12 @@ def alerts_evaluate_release(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(_evaluate(spark, sf, apply_release=True))
 
 
+@query("alerts_evaluate_histogram", select(_EV, bucketed() + "," + _evaluated_sql(calls="hc")))
+def alerts_evaluate_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """As a tick evaluates them: percentiles from histograms, the same at every run."""
+    return _plain(_evaluate(spark, sf, exact=False))
+
+
 def _metric(name: str):
     sql = select("SELECT rule_id, threshold, window_minutes, round(value, 6) AS value, breached FROM ev "
                  f"WHERE metric_type = '{name}'", _evaluated_sql())
@@ -523,12 +616,49 @@ def alerts_backtest(spark: SparkSession, sf: str) -> DataFrame:
     "register_apps",
     select(
         "SELECT (SELECT max(id) FROM apps) + (row_number() OVER (PARTITION BY substr(md5(name), 1, 3) ORDER BY name) - 1) * 4096 "
-        "+ CAST('0x' || substr(md5(name), 1, 3) AS BIGINT) + 1 AS id, name FROM (SELECT DISTINCT 'app-' || CAST(user_id AS VARCHAR) AS name FROM events) WHERE name NOT IN (SELECT name FROM apps)"
+        "+ CAST('0x' || substr(md5(name), 1, 3) AS BIGINT) + 1 AS id, name, TIMESTAMP '2024-01-03' AS created_at FROM (SELECT DISTINCT 'app-' || CAST(user_id AS VARCHAR) AS name FROM events) WHERE name NOT IN (SELECT name FROM apps)"
     ),
 )
 def register_apps(spark: SparkSession, sf: str) -> DataFrame:
     names = V.read_table(spark, sf, "events").select(F.concat(F.lit("app-"), "user_id").alias("name"))
-    return metadata.register_apps(names, V.apps(spark, sf))
+    return _plain(metadata.register_apps(names, V.apps(spark, sf), AS_OF))
+
+
+@query(
+    "app_ids",
+    select(
+        "SELECT id, name, created_at FROM apps WHERE name IN (SELECT name FROM wanted) UNION ALL "
+        "SELECT (SELECT max(id) FROM apps) + (row_number() OVER (PARTITION BY substr(md5(name), 1, 3) ORDER BY name) - 1) * 4096 "
+        "+ CAST('0x' || substr(md5(name), 1, 3) AS BIGINT) + 1, name, TIMESTAMP '2024-01-03' FROM wanted WHERE name NOT IN (SELECT name FROM apps)",
+        "wanted AS (SELECT DISTINCT 'app-' || CAST(user_id AS VARCHAR) AS name FROM events)",
+    ),
+)
+def app_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Each name's app, made if it is not there: known names keep their id and creation time."""
+    names = V.read_table(spark, sf, "events").select(F.concat(F.lit("app-"), "user_id").alias("name"))
+    return _plain(metadata.app_ids(names, V.apps(spark, sf), AS_OF))
+
+
+_STORED_METADATA = {
+    "apps": ("apps", "id, name, created_at"),
+    "api_keys": ("api_keys", "id, app_id, key_prefix, active"),
+    "alert_rules": ("rules", "id, app_id, name, metric_type, threshold, window_minutes, env, release, enabled, created_at"),
+    "alert_firings": ("firings", "id, rule_id, app_id, fired_at, resolved_at, value_observed, status"),
+}
+
+
+@query("metadata_round_trip", select(" UNION ALL BY NAME ".join(f"SELECT '{n}' AS table_name, {c} FROM {t}" for n, (t, c) in _STORED_METADATA.items())))
+def metadata_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The four metadata tables appended to storage and read back."""
+    root = scratch_path(spark, "metadata")
+    out = None
+    for name, (_, columns) in _STORED_METADATA.items():
+        append_metadata(getattr(V, name)(spark, sf), name, root)
+        rows = read_metadata(spark, name, root).select(*columns.split(", ")).withColumn("table_name", F.lit(name))
+        for c in ("threshold", "value_observed"):
+            rows = rows.withColumn(c, F.col(c).cast("double")) if c in rows.columns else rows
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return _plain(out)
 
 
 @query(
@@ -562,6 +692,22 @@ def attribute_app(spark: SparkSession, sf: str) -> DataFrame:
     return known.select("batch_id", "app_id").unionByName(refused.select("batch_id", F.lit(None).cast("bigint").alias("app_id")))
 
 
+@query(
+    "attribute_app_digest",
+    select(
+        "SELECT d.batch_id, o.app_id FROM docs d LEFT JOIN (SELECT key_prefix, min(app_id) AS app_id FROM api_keys WHERE active AND id % 7 <> 0 GROUP BY 1) o "
+        "ON length(d.api_key) >= 8 AND substr(d.api_key, 1, 8) = o.key_prefix"
+    ),
+)
+def attribute_app_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys told by the digest of the whole key: prefixes may be shared, and one key in seven has another secret."""
+    docs = V.documents(spark, sf).select("batch_id", "api_key")
+    secret = F.when(F.col("id") % 7 == 0, F.lit("-other")).otherwise(F.lit("-secret"))
+    keys = V.api_keys(spark, sf).withColumn("key_sha256", F.sha2(F.concat("key_prefix", secret).cast("binary"), 256))
+    known, refused = ingest.attribute_app(docs, keys)
+    return known.select("batch_id", "app_id").unionByName(refused.select("batch_id", F.lit(None).cast("bigint").alias("app_id")))
+
+
 # --- ingest ------------------------------------------------------------------------------------------
 
 

@@ -11,23 +11,31 @@ from pyspark.sql import functions as F
 
 from appwatch import schema as S
 from appwatch.operators import ingest
-from appwatch.operators.rollups import merge_rollup, rollup_names
-from appwatch.operators.sessions import merge_sessions
-from appwatch.plans.queries import _plain
+from appwatch.operators.rollups import merge_rollup, rollup_names, rollup_percentiles
+from appwatch.operators.sessions import SESSION_DIMS, merge_sessions
+from appwatch.plans.queries import _plain, _r, _table_sql, bucketed
 from appwatch.plans.registry import query
 from appwatch.plans.sql import select
 from appwatch.session import scratch_path
 from appwatch.sources import tables
 from appwatch.sources import views as V
-from appwatch.sources.documents import read_topic, stream_documents, write_documents
-from appwatch.streaming import pipelines
+from appwatch.sources.documents import read_topic, stream_documents, stream_topic, write_documents, write_topics
+from appwatch.streaming import pipelines, seen
+from appwatch.streaming.progress import BatchLog
 
-_runs: dict[tuple[str, str, str], str] = {}
+_runs: dict[tuple, str] = {}
+
+
+def _key(spark: SparkSession, sf: str, kind: str) -> tuple:
+    """What a run depends on, the events' content included: changed inputs are run anew."""
+    events = V.read_table(spark, sf, "events")
+    content = events.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*events.columns).cast("decimal(38,0)"))).first()
+    return (spark.sparkContext.applicationId, sf, kind, *content)
 
 
 def _run_once(spark: SparkSession, sf: str, kind: str, run) -> str:
     """The folder a stream wrote for these inputs; queries on the same session share one run."""
-    key = (spark.sparkContext.applicationId, sf, kind)
+    key = _key(spark, sf, kind)
     if key not in _runs:
         root = scratch_path(spark, kind)
         landing = f"{root}/landing"
@@ -49,6 +57,10 @@ def published(spark: SparkSession, sf: str) -> str:
     )
 
 
+# Accepted events, each once.
+_ONCE = "ow AS (SELECT * FROM wok QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY batch_id) = 1)"
+_CALLS = "oc AS (SELECT * FROM ow WHERE event_type = 'api_timing')"
+_MINUTE = "date_trunc('minute', event_time) AS minute"
 _WOK_TABLE = "CASE event_type WHEN 'api_timing' THEN 'mobile_api_calls' WHEN 'error' THEN 'mobile_errors' ELSE 'mobile_events' END"
 
 
@@ -83,54 +95,188 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(out)
 
 
-@query("stream_dead_letters", select("SELECT batch_id AS document_id, pos, topic, status, reason FROM judged WHERE status <> 'ok'"))
-def stream_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.read_dead_letters(spark, ingested(spark, sf)).select("document_id", "pos", "topic", "status", "reason")
+# --- topics to tables -----------------------------------------------------------------------------
+
+
+_NUMBER = "cast(substring(event.event_id, 3) as bigint)"
+
+
+def consumed(spark: SparkSession, sf: str) -> str:
+    """The folder that three consumers and three counters wrote from one topic log.
+
+    In the log one event in 23 is on the topic of another type, and after one in 29 comes a value that is no event.
+    """
+    key = _key(spark, sf, "consume")
+    if key not in _runs:
+        root = scratch_path(spark, "consume")
+        log = f"{root}/topics"
+        accepted, _ = ingest.accept(V.documents(spark, sf, defects=True), reject="event")
+        enveloped = ingest.envelope(accepted)
+        topics = F.array(*[F.lit(t) for t in S.TOPICS])
+        moved = F.element_at(topics, F.array_position(topics, F.col("topic")).cast("int") % 3 + 1)
+        enveloped = enveloped.withColumn("topic", F.when(F.expr(f"{_NUMBER} % 23 = 7"), moved).otherwise(F.col("topic")))
+        junk = enveloped.where(f"{_NUMBER} % 29 = 3").select("topic", "key", F.concat(F.lit("broken "), "event.event_id").alias("value"))
+        for delivery in (0, 1):  # the batch number tells originals from redeliveries
+            some = enveloped.where(F.col("batch_id") % 2 == delivery)
+            records = ingest.topic_records(some)
+            write_topics(records.unionByName(junk) if delivery == 0 else records, log, f"delivery-{delivery}")
+        with BatchLog(spark) as batches:
+            queries = pipelines.consume_topics(lambda topic: stream_topic(spark, log, topic, max_files=4), root, f"{root}/consumers")
+            for query_ in queries.values():
+                query_.awaitTermination()
+            batches.wait_for(q.id for q in queries.values())
+            names = spark.createDataFrame([(str(q.id), topic) for topic, q in queries.items()], "query_id string, topic string")
+            batches.table().join(names, "query_id").write.parquet(f"{root}/stream_batches")
+        counters = [pipelines.count_table(spark, spec, root, f"{root}/counters/{spec.name}") for spec in S.TABLES]
+        for query_ in counters:
+            query_.awaitTermination()
+        _runs[key] = root
+    return _runs[key]
+
+
+def _loaded_sql(spec: S.TableSpec, where: str) -> str:
+    body = _table_sql(spec, f"lw WHERE {where}").replace("coalesce(event_data, '{}')", "coalesce(replace(event_data, ' ', ''), '{}')")
+    body = body.replace("received_at", "batch_received_at AS received_at").replace("source_ip", "batch_ip AS source_ip")
+    if spec is S.MOBILE_API_CALLS:
+        body = body.replace("error_message", "CASE WHEN status_code >= 400 THEN 'HTTP ' || CAST(status_code AS VARCHAR) END AS error_message")
+    return body.replace("SELECT ", f"SELECT '{spec.name}' AS table_name, ", 1)
 
 
-_STREAM_ROLLUP = (
-    "SELECT '{name}' AS rollup, app, env, release, date_trunc('minute', event_time) AS minute, count(*) AS n FROM wok WHERE {where} GROUP BY ALL"
+_LAST = "lw AS (SELECT * FROM wok QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY batch_received_at DESC) = 1)"
+_JUNKED = "n % 29 = 3"
+_CAME_BY = (
+    "lt AS (SELECT *, CASE WHEN n % 23 <> 7 THEN topic WHEN topic = 'mobile.events.raw' THEN 'mobile.api.raw' "
+    "WHEN topic = 'mobile.api.raw' THEN 'mobile.errors.raw' ELSE 'mobile.events.raw' END AS came_by FROM wok)"
 )
 
 
+@query(
+    "stream_topics_to_tables",
+    select(
+        _loaded_sql(S.MOBILE_EVENTS, "event_type IN ('app_start', 'screen_view', 'custom_event')") + " UNION ALL BY NAME "
+        + _loaded_sql(S.MOBILE_API_CALLS, "event_type = 'api_timing'") + " UNION ALL BY NAME " + _loaded_sql(S.MOBILE_ERRORS, "event_type = 'error'"),
+        _LAST,
+    ),
+)
+def stream_topics_to_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables that consumers of three topics wrote side by side, all columns: the same as a batch load."""
+    root = consumed(spark, sf)
+    out = None
+    for spec in S.TABLES:
+        rows = tables.read_stored(spark, root, spec).drop("event_month").withColumn("table_name", F.lit(spec.name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return _plain(out)
+
+
+@query(
+    "stream_topic_dead_letters",
+    select(f"SELECT replace(came_by, '.raw', '.dlq') AS topic, 'unreadable' AS status, 'Invalid request body' AS reason, 'broken ' || event_id AS payload FROM lt WHERE {_JUNKED}", _CAME_BY),
+)
+def stream_topic_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.read_dead_letters(spark, consumed(spark, sf)).select("topic", "status", "reason", "payload")
+
+
+@query(
+    "stream_topic_counts",
+    select(
+        f"SELECT came_by AS topic, count(*) + count(*) FILTER ({_JUNKED}) AS read, count(*) FILTER ({_JUNKED}) AS skipped, "
+        "count(*) FILTER (came_by <> topic) AS strayed FROM lt GROUP BY came_by",
+        _CAME_BY,
+    ),
+)
+def stream_topic_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the consumers' micro-batches reported: records read, skipped as unreadable, and come by another type's topic."""
+    rows = spark.read.parquet(f"{consumed(spark, sf)}/stream_batches").groupBy("topic")
+    return rows.pivot("metric", ["read", "skipped", "strayed"]).agg(F.sum("value"))
+
+
+@query(
+    "stream_topic_rollups",
+    select(
+        f"SELECT app, env, release, platform, error_type, error_class, {_MINUTE}, count(*) AS error_count FROM ow WHERE event_type = 'error' GROUP BY ALL",
+        _ONCE,
+    ),
+)
+def stream_topic_rollups(spark: SparkSession, sf: str) -> DataFrame:
+    """Error counts by the counter of the errors table, which other topics' consumers wrote to as well."""
+    return _plain(merge_rollup(tables.read_rollup(spark, consumed(spark, sf), "error_rate_1m"), "error_rate_1m"))
+
+
+@query("stream_dead_letters", select("SELECT batch_id AS document_id, pos, topic, status, reason FROM judged WHERE status <> 'ok'"))
+def stream_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.read_dead_letters(spark, ingested(spark, sf)).select("document_id", "pos", "topic", "status", "reason")
+
+
 @query(
     "stream_rollup",
     select(
-        " UNION ALL ".join(
-            _STREAM_ROLLUP.format(name=n, where=w)
-            for n, w in (
-                ("events_throughput_1m", "event_type IN ('app_start', 'screen_view', 'custom_event')"),
-                ("api_latency_1m", "event_type = 'api_timing'"),
-                ("error_rate_1m", "event_type = 'error'"),
-            )
-        )
+        f"SELECT 'events_throughput_1m' AS rollup, app, env, release, platform, event_type, {_MINUTE}, count(*) AS event_count FROM ow "
+        "WHERE event_type IN ('app_start', 'screen_view', 'custom_event') GROUP BY ALL UNION ALL BY NAME "
+        f"SELECT 'api_latency_1m' AS rollup, app, env, release, path, method, {_MINUTE}, count(*) AS request_count, "
+        "count(*) FILTER (status_code >= 400) AS error_count, round(sum(exact_ms), 6) AS duration_sum, round(max(exact_ms), 6) AS duration_max, "
+        + _r("p50_ms=quantile_cont(duration_ms, 0.5)", "p95_ms=quantile_cont(duration_ms, 0.95)")
+        + " FROM hc GROUP BY ALL UNION ALL BY NAME "
+        f"SELECT 'error_rate_1m' AS rollup, app, env, release, platform, error_type, error_class, {_MINUTE}, count(*) AS error_count FROM ow "
+        "WHERE event_type = 'error' GROUP BY ALL",
+        f"{_ONCE}, {_CALLS}, {bucketed('oc')}",
     ),
 )
 def stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    """Partial rollups written per micro-batch, merged: every delivery counts once."""
+    """Partial rollups written per micro-batch, merged, with all their columns: a redelivered event counts once."""
     root = ingested(spark, sf)
-    count = {"events_throughput_1m": "event_count", "api_latency_1m": "request_count", "error_rate_1m": "error_count"}
     out = None
     for name in rollup_names():
-        merged = merge_rollup(tables.read_rollup(spark, root, name), name)
-        part = merged.groupBy("app", "env", "release", "minute").agg(F.sum(count[name]).alias("n"))
-        part = part.select(F.lit(name).alias("rollup"), "app", "env", "release", "minute", "n")
-        out = part if out is None else out.unionByName(part)
+        partials = tables.read_rollup(spark, root, name)
+        if name == "api_latency_1m":
+            merged = rollup_percentiles(partials, name, {"p50_ms": 0.5, "p95_ms": 0.95})
+        else:
+            merged = merge_rollup(partials, name)
+        part = merged.withColumn("rollup", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return _plain(out)
 
 
 @query(
     "stream_sessions",
     select(
-        "SELECT session_id, any_value(app) AS app, any_value(release) AS release, min(event_time) AS started_at, max(event_time) AS ended_at, "
-        "count(*) AS event_count, count(*) FILTER (event_type = 'error') AS error_count FROM wok GROUP BY session_id"
+        "SELECT session_id, " + ", ".join(f"last({d} ORDER BY event_time, event_id) AS {d}" for d in SESSION_DIMS)
+        + ", min(event_time) AS started_at, max(event_time) AS ended_at, count(*) AS event_count, "
+        "count(*) FILTER (event_type = 'error') AS error_count FROM ow GROUP BY session_id",
+        _ONCE,
     ),
-)
+)
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Session rows merged from what each micro-batch saw; every delivery counts."""
-    partials = spark.read.parquet(f"{ingested(spark, sf)}/session_partials")
-    rows = merge_sessions(partials)
-    return _plain(rows.select("session_id", "app", "release", "started_at", "ended_at", "event_count", "error_count"))
+    """Session rows merged from what each micro-batch saw, with all their columns: a redelivered event counts once."""
+    return _plain(merge_sessions(spark.read.parquet(f"{ingested(spark, sf)}/session_partials")))
+
+
+_OF_TABLE = "CASE event_type WHEN 'api_timing' THEN 1 WHEN 'error' THEN 2 ELSE 0 END"
+
+
+@query(
+    "stream_late",
+    select(
+        "SELECT event_type, count(*) AS received, count(*) FILTER (copy = 0) AS new, count(*) FILTER (copy = 1 AND NOT late) AS duplicate, "
+        "count(*) FILTER (copy = 1 AND late) AS late, count(*) FILTER (copy = 1 AND late) AS aside FROM "
+        f"(SELECT *, event_time < max(CASE WHEN copy = 0 THEN batch_received_at END) OVER (PARTITION BY {_OF_TABLE}) - INTERVAL 12 HOUR AS late FROM wok) "
+        "GROUP BY event_type"
+    ),
+)
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """The balance of a stream that sets events aside that come more than 12 hours late: received = new + duplicate + late.
+
+    ``aside`` counts the rows that were kept apart. Redeliveries come in a micro-batch of their own.
+    """
+    run = lambda docs, root: pipelines.ingest_documents(docs, root, f"{root}/checkpoint", lateness="12 hours")
+    root = _run_once(spark, sf, "late", run)
+    out = None
+    for spec in S.TABLES:
+        kind = F.col("event_type") if "event_type" in spec.columns else F.lit(spec.event_types[0])
+        aside = seen.read_late(spark, root, spec).groupBy(kind.alias("event_type")).agg(F.count(F.lit(1)).alias("aside"))
+        sums = [F.sum(c).alias(c) for c in ("received", "new", "duplicate", "late")]
+        part = seen.read_deliveries(spark, root, spec).groupBy("event_type").agg(*sums).join(aside, "event_type", "left").fillna(0, ["aside"])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("verify_tables", select(

@@ -53,10 +53,14 @@ def stream_topic(spark: SparkSession, path: str, topic: str, max_files: int = 10
     return decode_records(stream.filter(F.col("topic") == topic))
 
 
-def stream_kafka_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+def kafka_options(servers: str, topic: str, max_offsets: int = 1_000_000) -> dict[str, str]:
+    """From the start, in micro-batches of at most ``max_offsets`` records, the first one included."""
+    return {**KAFKA_FROM_START, "kafka.bootstrap.servers": servers, "subscribe": topic, "maxOffsetsPerTrigger": str(max_offsets)}
+
+
+def stream_kafka_topic(spark: SparkSession, servers: str, topic: str, max_offsets: int = 1_000_000) -> DataFrame:
     """The same from Kafka; needs the Kafka connector on the class path."""
-    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-    rows = reader.options(**KAFKA_FROM_START).load()
+    rows = spark.readStream.format("kafka").options(**kafka_options(servers, topic, max_offsets)).load()
     return decode_records(rows.selectExpr("cast(key as string) as key", "cast(value as string) as value", "topic"))
 
 

@@ -123,8 +123,10 @@ def read_rollup(spark: SparkSession, root: str, name: str) -> DataFrame:
     types = {f.name: f.dataType for spec in S.TABLES for f in spec.schema}
     spec = rollup_spec(name)
     fields = [T.StructField(d, types[d]) for d in spec.dims] + [T.StructField("minute", T.TimestampType())]
-    kinds = {"duration_sum": T.DoubleType(), "duration_max": T.DoubleType(), "duration_sketch": T.BinaryType()}
+    kinds = {"duration_sum": T.DoubleType(), "duration_max": T.DoubleType()}
     fields += [T.StructField(m, kinds.get(m, T.LongType())) for m in spec.measures]
+    if spec.histogram:
+        fields.append(T.StructField(spec.histogram[0], T.MapType(T.IntegerType(), T.LongType())))
     return spark.read.schema(_partitioned(T.StructType(fields))).parquet(f"{root}/{name}")
 
 

@@ -3,14 +3,16 @@
 Each micro-batch is written under its checkpoint's id and its own number, so a micro-batch that is
 run again after a failure replaces what it wrote, and nothing else; the checkpoint moves on only once all its writes are done. Rollups
 and session rows are partial results per micro-batch that merge when read: they accept events of
-any lateness and hold no state.
+any lateness. A redelivered event counts once: ``streaming.seen`` keeps an index of what was counted, written by
+one stream per table. ``ingest_documents`` is that stream; with the consumers of topics, which append to tables side by
+side, ``count_table`` reads each table and counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -21,6 +23,7 @@ from appwatch.operators.rollups import roll_up, rollup_names, rollup_spec
 from appwatch.operators.sessions import session_partials
 from appwatch.sources import tables
 from appwatch.sources.documents import write_topics
+from appwatch.streaming import seen
 
 
 def _start(df: DataFrame, write: Callable[[DataFrame, str], None], checkpoint: str, once: bool) -> StreamingQuery:
@@ -41,29 +44,54 @@ def _start(df: DataFrame, write: Callable[[DataFrame, str], None], checkpoint: s
     return writer.start()
 
 
-def append_tables(envelopes: DataFrame, root: str, batch: str, rollups: bool = True, sessions: bool = True) -> None:
-    """Split envelopes by type and append tables, per-minute partials and session partials."""
+def append_tables(envelopes: DataFrame, root: str, batch: str) -> dict[str, DataFrame]:
+    """Split envelopes by type and append the tables, every delivery of an event; returns the rows by table."""
     stored = {spec.name: to_table(envelopes, spec) for spec in S.TABLES}
     for spec in S.TABLES:
         tables.append(stored[spec.name], root, spec.name, batch)
-    if rollups:
+    return stored
+
+
+def append_counts(rows: DataFrame, spec: S.TableSpec, root: str, batch: str, once: bool = True, lateness: str | None = None) -> None:
+    """Per-minute and session partials of a table's rows in a micro-batch.
+
+    With ``once`` only of events that no earlier micro-batch counted; ``lateness`` sets later ones aside.
+    """
+    new = seen.admit(rows, spec, root, batch, lateness) if once else rows
+    try:
         for name in rollup_names():
-            partial = roll_up(stored[rollup_spec(name).source.name], name, dedup=False)
-            tables.append(partial, root, name, batch, "minute")
-    if sessions:
-        partial = session_partials(*[stored[s.name] for s in S.TABLES], dedup=False)
-        tables.append(partial, root, "session_partials", batch, "started_at")
+            if rollup_spec(name).source is spec:
+                tables.append(roll_up(new, name, dedup=False), root, name, batch, "minute")
+        none = {s.name: _no_rows(new.sparkSession, s) for s in S.TABLES if s is not spec}
+        partial = session_partials(*[none.get(s.name, new) for s in S.TABLES], dedup=False)
+        tables.append(partial, root, "session_partials", f"{batch}-{spec.name}", "started_at")
+    finally:
+        new.unpersist()
+
+
+def _no_rows(spark: SparkSession, spec: S.TableSpec) -> DataFrame:
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in spec.schema])
 
 
 def ingest_documents(
-    docs: DataFrame, root: str, checkpoint: str, label: str = "ingest", reject: str = "event", coerce: bool = False, once: bool = True
-) -> StreamingQuery:
-    """Documents to tables. What fails to decode or validate goes to dead letters, payload and reason kept."""
+    docs: DataFrame, root: str, checkpoint: str, label: str = "ingest", reject: str = "event", coerce: bool = False, once: bool = True,
+    count: str = "once", lateness: str | None = None,
+) -> StreamingQuery:
+    """Documents to tables. What fails to decode or validate goes to dead letters, payload and reason kept.
+
+    ``count`` is ``once`` (a redelivered event counts once in rollups and sessions), ``every`` (each
+    delivery counts) or ``none``. ``once`` as a flag processes what is there and ends.
+    """
+    if count not in ("once", "every", "none"):
+        raise ValueError("count is 'once', 'every' or 'none'")
 
     def write(batch: DataFrame, number: str) -> None:
         judged = ingest.judge(batch, reject, coerce).persist()  # decoded once for all the writes
         try:
-            append_tables(ingest.envelope(ingest.accepted_events(judged)), root, f"{label}-{number}")
+            stored = append_tables(ingest.envelope(ingest.accepted_events(judged)), root, f"{label}-{number}")
+            if count != "none":
+                for spec in S.TABLES:
+                    append_counts(stored[spec.name], spec, root, f"{label}-{number}", count == "once", lateness)
             tables.append_dead_letters(ingest.dead_letters(ingest.rejected_rows(judged)), root, f"{label}-{number}")
         finally:
             judged.unpersist()
@@ -84,11 +112,15 @@ def publish_documents(
 
 
 def consume_topic(records: DataFrame, spec: S.TableSpec, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """One topic to tables and rollups; unreadable values go to the topic's dead letters.
+    """One topic to tables; unreadable values go to the topic's dead letters with their payload.
 
-    Events go to the table of their own type, whatever the topic they came by.
+    Events go to the table of their own type, whatever the topic they came by. Each micro-batch reports how many
+    records it read, how many it skipped as unreadable, and how many came by another type's topic.
     """
     label = spec.topic.replace(".", "-")
+    known = F.coalesce(F.col("readable"), F.lit(False))
+    stray = known & (ingest.route_topic(F.col("event.event_type")) != spec.topic)
+    counts = (F.count(F.lit(1)).alias("read"), F.count_if(~known).alias("skipped"), F.count_if(stray).alias("strayed"))
 
     def write(batch: DataFrame, number: str) -> None:
         batch = batch.persist()
@@ -106,7 +138,30 @@ def consume_topic(records: DataFrame, spec: S.TableSpec, root: str, checkpoint:
         finally:
             batch.unpersist()
 
-    return _start(records, write, checkpoint, once)
+    return _start(records.observe("consumed", *counts), write, checkpoint, once)
+
+
+def consume_topics(open_topic: Callable[[str], DataFrame], root: str, checkpoint: str, once: bool = True) -> dict[str, StreamingQuery]:
+    """A consumer for each topic, side by side, with checkpoints of their own; ``open_topic`` gives a topic's decoded records."""
+    return {spec.topic: consume_topic(open_topic(spec.topic), spec, root, f"{checkpoint}/{spec.topic}", once) for spec in S.TABLES}
+
+
+def count_table(
+    spark: SparkSession, spec: S.TableSpec, root: str, checkpoint: str, once: bool = True, lateness: str | None = None, max_files: int = 1000
+) -> StreamingQuery:
+    """The rows that were appended to a table, whoever did so, to rollups and sessions, each event once.
+
+    Files of compacted months hold nothing new and are left out. Files that a repeated micro-batch replaced may be gone or
+    be read again; the index knows their events.
+    """
+    schema = tables._partitioned(spec.schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("ignoreMissingFiles", "true")
+    rows = reader.parquet(f"{root}/{spec.name}").where(~F.col("batch_id").startswith(tables.COMPACTED)).select(*spec.columns)
+
+    def write(batch: DataFrame, number: str) -> None:
+        append_counts(batch, spec, root, f"count-{number}", True, lateness)
+
+    return _start(rows, write, checkpoint, once)
 
 
 def distinct_events(accepted: DataFrame, lateness: str, salts: int = 16) -> DataFrame:
@@ -153,6 +208,6 @@ def write_distinct(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 def minute_windows(rows: DataFrame, name: str, lateness: str) -> DataFrame:
     """The rollup as one stateful event-time window aggregate, for sinks that take updates."""
     spec = rollup_spec(name)
-    measures = [agg.alias(m) for m, (agg, _) in spec.measures.items() if m != "duration_sketch"]
+    measures = [agg.alias(m) for m, (agg, _) in spec.measures.items()]
     windowed = rows.withWatermark("event_time", lateness).groupBy(*spec.dims, F.window("event_time", "1 minute").alias("_w"))
     return windowed.agg(*measures).withColumn("minute", F.col("_w.start")).drop("_w")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,8 @@ def test_approximate_p95_is_close(spark):
     calls = [call(i % 200, 200, float(i)) for i in range(2000)]
     got = run(spark, [rule(1, "p95_latency_ms", 0), rule(2, "p95_latency_ms", 0, env="prod")], calls=calls, exact=False)
     assert got[1].value == pytest.approx(1899, abs=60) and got[2].value == got[1].value
+    again = run(spark, [rule(1, "p95_latency_ms", 0)], calls=calls[::-1], exact=False)
+    assert again[1].value == got[1].value and got[1].value == pytest.approx(np.quantile(np.arange(2000.0), 0.95), rel=0.004)
 
 
 def test_suppression_looks_back_two_windows_inclusive(spark):

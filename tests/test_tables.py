@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from appwatch import schema as S
 from appwatch.functions.filters import Filters, time_range
 from appwatch.functions.percentiles import group_percentiles
+from appwatch.functions import histograms
 from appwatch.operators import dashboard, sessions
 from appwatch.operators.dedup import deduplicate, narrow
-from appwatch.operators.rollups import merge_rollup, roll_up, sketch_percentile
+from appwatch.operators.rollups import merge_rollup, roll_up, rollup_percentiles
 from appwatch.sources import metadata, tables
 from appwatch.sources import views as V
 
@@ -141,8 +142,8 @@ def test_metadata_round_trip(spark, root, small):
 
 def test_merging_partials_equals_rolling_up_at_once(spark, small):
     rows = deduplicate(V.mobile_api_calls(spark, small), S.MOBILE_API_CALLS)
-    whole = roll_up(rows, "api_latency_1m", dedup=False, sketch=False)
-    parts = roll_up(rows.withColumn("b", F.pmod(F.hash("event_id"), F.lit(5))), "api_latency_1m", dedup=False, by=["b"], sketch=False)
+    whole = roll_up(rows, "api_latency_1m", dedup=False, histogram=False)
+    parts = roll_up(rows.withColumn("b", F.pmod(F.hash("event_id"), F.lit(5))), "api_latency_1m", dedup=False, by=["b"], histogram=False)
     merged = merge_rollup(parts, "api_latency_1m").select(*whole.columns)
     total = F.round(F.sum("duration_sum"), 6)
     assert merged.agg(total).first() == whole.agg(total).first()
@@ -150,13 +151,22 @@ def test_merging_partials_equals_rolling_up_at_once(spark, small):
     assert merged.select(*keys).exceptAll(whole.select(*keys)).count() == 0
 
 
-def test_sketches_stay_near_exact_percentiles(spark, small):
-    rows = V.mobile_api_calls(spark, small)
-    merged = merge_rollup(roll_up(rows, "api_latency_1m"), "api_latency_1m", by=["app"])
-    near = {r.app: r.p for r in merged.select("app", sketch_percentile(F.col("duration_sketch"), 0.5).alias("p")).collect()}
-    exact = group_percentiles(deduplicate(rows, S.MOBILE_API_CALLS), ["app"], "duration_ms", {"lo": 0.45, "hi": 0.55}, exact=True)
+def test_histograms_merge_to_the_same_percentiles_within_their_error(spark, small):
+    rows = deduplicate(V.mobile_api_calls(spark, small), S.MOBILE_API_CALLS)
+    levels = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    found = []
+    for slices in (1, 3, 16):
+        parts = roll_up(rows.repartition(slices).withColumn("b", F.pmod(F.hash("event_id"), F.lit(slices))), "api_latency_1m", dedup=False, by=["b"])
+        once = rollup_percentiles(parts, "api_latency_1m", levels, by=["app"])
+        twice = rollup_percentiles(merge_rollup(parts, "api_latency_1m"), "api_latency_1m", levels, by=["app"])
+        for df in (once, twice):
+            found.append(sorted(tuple(r) for r in df.select("app", "request_count", "error_count", *levels).collect()))
+    assert all(f == found[0] for f in found)
+    exact = group_percentiles(rows, ["app"], "duration_ms", levels, exact=True)
+    near = {r[0]: r[3:] for r in found[0]}
     for r in exact.collect():
-        assert r.lo <= near[r.app] <= r.hi
+        for n, got in zip(levels, near[r.app]):
+            assert abs(got - r[n]) <= histograms.ERROR * abs(r[n]) + 0.001
 
 
 def test_latency_from_rollup_is_near(spark, small):
