@@ -7,14 +7,15 @@ and right of the cut. A candidate goes if a longer one that holds it is at least
 
 1. Rabin-Karp fingerprints: over a block of texts as one byte array, prefix sums of a polynomial
    give a number for every word and, combined, for every run of 1, 2 and 3 words of a piece. Blocks add up
-   equal numbers, so a very common word or phrase is one row per block, and the shuffle sums them.
+   equal runs, so a very common word or phrase is one row per block; the shuffle aggregates counts and
+   the least occurrence pointer, a number made of the document's id and the byte offset.
+   A second polynomial checks the first: runs that collide in one and not in the other stay apart.
 2. Numbers that are frequent set bits in a bitmap of fixed size (``1 << bits``), which tasks read from shared storage.
    Runs of two words count only if both words are frequent, runs of three only if both pairs are: so
    rare runs, nearly all there are, do not enter the next shuffle.
-3. In a last pass over the texts, runs with a frequent number are materialised: in a block each is cut
-   out of the text at a pointer (document, byte offset) once for all its occurrences, which a second,
-   independent fingerprint must confirm; between blocks text meets text. So collisions, in the numbers or in the
-   bitmap, cost work and never change a count; what is then below ``least`` goes.
+3. Only frequent phrases become text: pointers set bits as well, and a last pass over the texts cuts out the runs
+   whose pointer may be wanted. Joining them with the counts leaves one text per phrase, and verifies it: of runs that collide in the
+   first number each has a text of its own. What the bitmaps let pass by chance costs work and changes no count.
 4. Parts, scores and ranks are joins over frequent phrases only. A part that very many phrases share
    is joined by broadcast (:func:`common.spread_join`).
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -85,8 +87,9 @@ class _Powers:
 class Block:
     """Texts as one array: words, the piece and text each is in, and fingerprints of runs of words."""
 
-    def __init__(self, texts: list[bytes], langs: list[bytes], params: Params):
+    def __init__(self, texts: list[bytes], langs: list[bytes], params: Params, where: list[tuple[int | None, int]] | None = None):
         self.params = params
+        self.where = where  # document and offset of each text
         self.raw = b"".join(t + b"\n" for t in texts).translate(LOWER)
         data = np.frombuffer(self.raw, np.uint8)
         kinds = np.frombuffer(self.raw.translate(CLASS), np.uint8)
@@ -128,6 +131,15 @@ class Block:
         spare = 64 - self.params.fingerprint_bits
         return made >> np.uint64(spare) << np.uint64(spare) if spare and which == 0 else made
 
+    def checks(self, n: int) -> np.ndarray:
+        return (self.numbers(n, 1) >> np.uint64(33)).astype(np.int32)
+
+    def pointers(self) -> np.ndarray:
+        """A number for the place of each word: document and byte offset."""
+        docs = np.array([hash_id(doc_id) for doc_id, _ in self.where], np.uint64)
+        offsets = np.array([at for _, at in self.where], np.int64) - self.text_starts
+        return mix(docs[self.of_text] + (self.starts + offsets[self.of_text]).astype(np.uint64))
+
     def inside(self, n: int) -> np.ndarray:
         """Which runs of ``n`` words lie in one piece."""
         return self.piece[: max(0, len(self.piece) - n + 1)] == self.piece[n - 1 :]
@@ -136,6 +148,10 @@ class Block:
         return b" ".join(self.raw[self.starts[i] : self.ends[i]] for i in range(at, at + n)).decode("utf-8", "replace")
 
 
+def hash_id(doc_id: int | None) -> int:
+    return xxhash.xxh64_intdigest(b"" if doc_id is None else doc_id.to_bytes(8, "little", signed=True))
+
+
 def _cuts(text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
     """A text as parts of about ``size`` bytes, with their offsets; pieces stay whole."""
     at = 0
@@ -145,8 +161,7 @@ def _cuts(text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
     yield at, text[at:] if at else text
 
 
-def _blocks(batches, params: Params) -> Iterator[tuple[Block, list[tuple[int | None, int]]]]:
-    """Blocks of texts, with the document and the offset of each."""
+def _blocks(batches, params: Params) -> Iterator[Block]:
     texts, langs, where, size = [], [], [], 0
     for batch in common.slices(batches):
         for doc_id, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -156,17 +171,23 @@ def _blocks(batches, params: Params) -> Iterator[tuple[Block, list[tuple[int | N
                 where.append((doc_id, at))
                 size += len(part) + 1
                 if size >= params.block:
-                    yield Block(texts, langs, params), where
+                    yield Block(texts, langs, params, where)
                     texts, langs, where, size = [], [], [], 0
     if texts:
-        yield Block(texts, langs, params), where
+        yield Block(texts, langs, params, where)
+
 
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-def _summed(numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _summed(numbers: np.ndarray, checks: np.ndarray, counts: np.ndarray, pointers: np.ndarray) -> Runs:
+    """Equal neighbours in order of their number as one: counts added, least pointer."""
+    if not len(numbers):
+        return numbers, checks, counts, pointers
     order = np.argsort(numbers)
-    numbers = numbers[order]
-    first = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(numbers) else order
-    return numbers[first], np.add.reduceat(counts[order], first) if len(numbers) else counts
+    numbers, checks = numbers[order], checks[order]
+    first = np.flatnonzero(np.r_[True, (numbers[1:] != numbers[:-1]) | (checks[1:] != checks[:-1])])
+    return numbers[first], checks[first], np.add.reduceat(counts[order], first), np.minimum.reduceat(pointers[order], first)
 
 
 _bitmaps: dict[str, np.ndarray] = {}
@@ -179,100 +200,106 @@ def _bitmap(path: str, bits: int) -> np.ndarray:
         whole = np.zeros(max(1, (1 << bits) >> 15) << 12, np.uint8)
         for bucket, part in zip(table["bucket"].to_pylist(), table["bits"].to_pylist()):
             whole[(bucket - 1) << 12 : bucket << 12] = np.frombuffer(part, np.uint8)
-        while len(_bitmaps) >= 3:
+        while len(_bitmaps) >= 5:
             _bitmaps.pop(next(iter(_bitmaps)))
         _bitmaps[path] = whole
     return _bitmaps[path]
 
 
-def _frequent(numbers: np.ndarray, path: str, bits: int) -> np.ndarray:
-    place = numbers >> np.uint64(64 - bits)
+def _has(place: np.ndarray, path: str, bits: int) -> np.ndarray:
     return (_bitmap(path, bits)[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _frequent(numbers: np.ndarray, path: str, bits: int) -> np.ndarray:
+    return _has(numbers >> np.uint64(64 - bits), path, bits)
+
+
+def _pointed(pointers: np.ndarray, path: str, bits: int) -> np.ndarray:
+    """Two bits of the map stand for a pointer."""
+    return _frequent(pointers, path, bits) & _frequent(pointers << np.uint64(bits), path, bits)
+
+
+RUNS = "fingerprint long, check int, n long, pointer long"
+
+
 def count_runs(texts: DataFrame, n: int, below: str | None, params: Params) -> DataFrame:
-    """``fingerprint`` and ``n`` of runs of ``n`` words whose parts are frequent by the bitmap ``below``."""
+    """Runs of ``n`` words whose parts are frequent by the bitmap ``below``, by task: fingerprint, check, count and least pointer."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[Runs] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            return _summed(*(np.concatenate(x) for x in zip(*held))) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        def merged() -> Runs:
+            return _summed(*(np.concatenate(x) for x in zip(*held)))
 
-        def out(numbers, counts) -> Iterator[pa.RecordBatch]:
+        def out(numbers, checks, counts, pointers) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(numbers), 1 << 16):
-                columns = [pa.array(numbers[i : i + (1 << 16)].view(np.int64)), pa.array(counts[i : i + (1 << 16)])]
-                yield pa.RecordBatch.from_arrays(columns, ["fingerprint", "n"])
+                j = i + (1 << 16)
+                columns = [numbers[i:j].view(np.int64), checks[i:j], counts[i:j], pointers[i:j].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fingerprint", "check", "n", "pointer"])
 
-        for block, _ in _blocks(batches, params):
+        for block in _blocks(batches, params):
             keep = block.inside(n)
-            if below is not None:
+            if below is not None and len(keep):
                 parts = _frequent(block.numbers(n - 1), below, params.bits)
-                keep = keep & parts[:-1] & parts[1:] if len(keep) else keep
-            numbers = block.numbers(n)[keep]
-            held.append(_summed(numbers, np.ones(len(numbers), np.int64)))
-            if sum(len(x) for x, _ in held) >= params.held:
+                keep &= parts[:-1] & parts[1:]
+            at = np.flatnonzero(keep)
+            held.append(_summed(block.numbers(n)[at], block.checks(n)[at], np.ones(len(at), np.int64), block.pointers()[at]))
+            if sum(len(x[0]) for x in held) >= params.held:
                 held = [merged()]
                 if len(held[0][0]) >= params.held // 2:
                     yield from out(*held.pop())
-        yield from out(*merged())
+        if held:
+            yield from out(*merged())
+
+    return common.map_arrow(texts, run, RUNS)
 
-    counted = common.map_arrow(texts, run, "fingerprint long, n long")
-    return counted.groupBy("fingerprint").agg(F.sum("n").alias("n"))
 
+def frequent_runs(texts: DataFrame, n: int, below: str | None, params: Params) -> DataFrame:
+    """The runs of ``n`` words that occur ``least`` times or more: ``fingerprint``, ``check``, ``f``, ``pointer``; written once."""
+    counted = count_runs(texts, n, below, params).groupBy("fingerprint", "check")
+    summed = counted.agg(F.sum("n").alias("f"), F.min("pointer").alias("pointer"))
+    return stored(summed.where(F.col("f") >= params.least), "frequent-runs")
 
-def _store_bitmap(counts: DataFrame, params: Params) -> str:
-    """The frequent fingerprints as a bitmap of fixed size in the shared folder."""
-    place = F.shiftrightunsigned("fingerprint", 64 - params.bits) + 1
-    bitmap = counts.where(F.col("n") >= params.least).groupBy(F.bitmap_bucket_number(place).alias("bucket"))
-    path = scratch_path(counts.sparkSession, "frequent-runs")
+
+def _store_bitmap(numbers: DataFrame, params: Params) -> str:
+    """Numbers, by their first ``bits`` bits, as a bitmap of fixed size in the shared folder."""
+    place = F.shiftrightunsigned("number", 64 - params.bits) + 1
+    path = scratch_path(numbers.sparkSession, "bitmap")
+    bitmap = numbers.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
     bitmap.agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).write.parquet(path)
     return path
 
 
-PHRASES = "lang string, words int, phrase string, n long, doc_id long, start long"
-
+PHRASES = "lang string, words int, phrase string, n long, fingerprint long, check int, pointer long, doc_id long, start long"
 
-def materialise(texts: DataFrame, bitmaps: list[str], params: Params) -> DataFrame:
-    """Frequent phrases as text, counted exactly: ``lang``, ``words``, ``phrase``, ``f``, and one occurrence (``doc_id``, ``start``).
 
-    A row with 0 words has the number of all words of its language.
-    """
+def materialise(texts: DataFrame, bitmaps: list[str], pointed: str, params: Params) -> DataFrame:
+    """Text of the frequent runs that may be pointed at. Rows with 0 words have the words of a language in a task."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
+        totals: dict[bytes, int] = {}
+        names = [f.split()[0] for f in PHRASES.split(", ")]
 
-        def out() -> pa.RecordBatch:
-            rows = [(k[0].decode("utf-8", "replace"), *k[1:], *v) for k, v in held.items()]
-            held.clear()
-            names = [f.split()[0] for f in PHRASES.split(", ")]
+        def out(rows: list[tuple]) -> pa.RecordBatch:
             return common.to_batch(dict(zip(names, map(list, zip(*rows)))) if rows else {x: [] for x in names}, PHRASES)
 
-        for block, where in _blocks(batches, params):
-            for lang, words in zip(block.langs, np.bincount(block.of_text, minlength=len(where)).tolist()):
-                held.setdefault((lang, 0, ""), [0, None, None])[0] += words
+        for block in _blocks(batches, params):
+            for lang, words in zip(block.langs, np.bincount(block.of_text, minlength=len(block.langs)).tolist()):
+                totals[lang] = totals.get(lang, 0) + words
+            places, rows = block.pointers(), []
             for n in range(1, params.longest + 1):
-                numbers, keep = block.numbers(n), block.inside(n)
-                at = np.flatnonzero(keep & _frequent(numbers, bitmaps[n - 1], params.bits))
-                # The second fingerprint tells apart what the first one takes for equal.
-                sure = numbers[at] ^ block.numbers(n, 1)[at]
-                _, first, counts = np.unique(sure, return_index=True, return_counts=True)
-                for i, count in zip(at[first].tolist(), counts.tolist()):
+                at = np.flatnonzero(block.inside(n) & _pointed(places[: max(0, len(places) - n + 1)], pointed, params.bits))
+                at = at[_frequent(block.numbers(n)[at], bitmaps[n - 1], params.bits)]
+                ids = (block.numbers(n)[at].view(np.int64).tolist(), block.checks(n)[at].tolist(), places[at].view(np.int64).tolist())
+                for i, *numbers in zip(at.tolist(), *ids):
                     text = block.of_text[i]
-                    doc_id, offset = where[text]
-                    key = (block.langs[text], n, block.phrase(i, n))
-                    if key in held:
-                        held[key][0] += count
-                    else:
-                        held[key] = [count, doc_id, offset + int(block.starts[i] - block.text_starts[text])]
-            if len(held) >= params.held // 8:
-                yield out()
-        yield out()
-
-    found = common.map_arrow(texts, run, PHRASES)
-    place = F.min(F.struct("doc_id", "start")).alias("place")
-    phrases = found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"), place)
-    return phrases.where((F.col("f") >= params.least) | (F.col("words") == 0)).select("lang", "words", "phrase", "f", "place.*")
+                    doc_id, offset = block.where[text]
+                    lang = block.langs[text].decode("utf-8", "replace")
+                    rows.append((lang, n, block.phrase(i, n), None, *numbers, doc_id, offset + int(block.starts[i] - block.text_starts[text])))
+            yield out(rows)
+        yield out([(lang.decode("utf-8", "replace"), 0, "", n, *[None] * 5) for lang, n in totals.items()])
+
+    return stored(common.map_arrow(texts, run, PHRASES), "pointed-runs")
 
 
 def phrases(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -282,10 +309,24 @@ def phrases(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id",
         F.coalesce(common.field(docs, lang_col, "string"), F.lit("und")).cast("binary").alias("lang"),
         F.coalesce(common.field(docs, text_col, "string"), F.lit("")).cast("binary").alias("text"),
     )
+    levels: list[DataFrame] = []
     bitmaps: list[str] = []
     for n in range(1, params.longest + 1):
-        bitmaps.append(_store_bitmap(count_runs(texts, n, bitmaps[-1] if bitmaps else None, params), params))
-    return stored(materialise(texts, bitmaps, params), "phrases")
+        levels.append(frequent_runs(texts, n, bitmaps[-1] if bitmaps else None, params))
+        bitmaps.append(_store_bitmap(levels[-1].select(F.col("fingerprint").alias("number")), params))
+    runs = reduce(DataFrame.unionByName, [level.withColumn("words", F.lit(n)) for n, level in enumerate(levels, 1)])
+    places = runs.select(F.explode(F.array("pointer", F.shiftleft("pointer", params.bits))).alias("number"))
+    found = materialise(texts, bitmaps, _store_bitmap(places, params), params)
+    key = ["words", "fingerprint", "check"]
+    # Repeated rows have their pointers in common; any of them gives the text.
+    named = found.where("words > 0").join(runs, [*key, "pointer"]).dropDuplicates(key)
+    totals = found.where("words = 0").groupBy("lang").agg(F.sum("n").alias("f"))
+    return stored(
+        named.select("lang", "words", "phrase", "f", "doc_id", "start").unionByName(
+            totals.select("lang", F.lit(0).alias("words"), F.lit("").alias("phrase"), "f"), allowMissingColumns=True
+        ),
+        "phrases",
+    )
 
 
 def collocations(found: DataFrame, params: Params = Params()) -> DataFrame:
