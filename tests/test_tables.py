@@ -178,7 +178,8 @@ def test_latency_from_rollup_is_near(spark, small):
     both = quick.join(full, key).collect()
     assert len(both) == full.count() > 100
     for r in both:
-        assert r.request_count == r.n and r.lo <= r.p50_ms <= r.p95_ms <= r.p99_ms <= r.hi
+        spare = histograms.ERROR * r.hi + 0.001  # the histogram's stated error
+        assert r.request_count == r.n and r.lo - spare <= r.p50_ms <= r.p95_ms <= r.p99_ms <= r.hi + spare
 
 
 # --- dashboard ----------------------------------------------------------------------------------
