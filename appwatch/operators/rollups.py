@@ -12,6 +12,12 @@ from appwatch.operators.dedup import narrow
 from appwatch.schema import MOBILE_API_CALLS, MOBILE_ERRORS, MOBILE_EVENTS, TableSpec
 
 
+SESSIONS_1M = "sessions_1m"
+SKETCH_BITS = 12
+#: Three standard errors of a sketch's estimate, 1.04 / sqrt(2 ** SKETCH_BITS) each.
+SESSION_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
 @dataclass(frozen=True)
 class Rollup:
     name: str
@@ -53,6 +59,15 @@ def _rollups() -> dict[str, Rollup]:
                 "error_rate_1m", MOBILE_ERRORS, ("app", "env", "release", "platform", "error_type", "error_class"),
                 {"error_count": (one, "sum")},
             ),
+            Rollup(
+                SESSIONS_1M, MOBILE_EVENTS, ("app", "env", "release", "platform"),
+                {
+                    "event_count": (one, "sum"),
+                    # Distinct counts do not add up, their sketches do; one holds 4 KB at most.
+                    "session_sketch": (F.hll_sketch_agg("session_id", F.lit(SKETCH_BITS)), "hll_union_agg"),
+                },
+                ("session_id",),
+            ),
         )
     }
 
@@ -62,6 +77,7 @@ def rollup_spec(name: str) -> Rollup:
 
 
 def rollup_names() -> tuple[str, ...]:
+    """The rollups kept by streams. ``sessions_1m`` is rolled up on request: its sketches are large for quiet minutes."""
     return ("events_throughput_1m", "api_latency_1m", "error_rate_1m")
 
 
@@ -104,6 +120,11 @@ def merge_rollup(partials: DataFrame, name: str, by: list[str] | None = None) ->
     return _collect(counted, spec, key, column)
 
 
+def unique_sessions(sketch: Column) -> Column:
+    """Distinct sessions in a merged ``session_sketch`` of ``sessions_1m``, within ``SESSION_ERROR`` with 99.7 %."""
+    return F.hll_sketch_estimate(sketch)
+
+
 def rollup_percentiles(partials: DataFrame, name: str, levels: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Partial rows merged on ``by``, with the percentiles in ``levels`` (name to fraction) in place of the histogram."""
     spec = rollup_spec(name)

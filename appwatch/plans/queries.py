@@ -17,7 +17,7 @@ from appwatch.functions.filters import Filters
 from appwatch.operators import alerts, dashboard, ingest, metadata, sessions
 from appwatch.operators.dedup import deduplicate, narrow
 from appwatch.operators.mapping import skip_unknown, to_table
-from appwatch.operators.rollups import merge_rollup, roll_up, rollup_percentiles, rollup_spec
+from appwatch.operators.rollups import SESSION_ERROR, SESSIONS_1M, merge_rollup, roll_up, rollup_percentiles, rollup_spec, unique_sessions
 from appwatch.plans.registry import query
 from appwatch.plans.sql import select
 from appwatch.session import scratch_path
@@ -893,3 +893,48 @@ def retention(spark: SparkSession, sf: str) -> DataFrame:
         row = row.select(F.lit(spec.name).alias("table_name"), "kept", "oldest")
         out = row if out is None else out.unionByName(row)
     return _plain(out)
+
+
+_KEPT = ("event_id", "session_id", "user_id", "app", "env", "release", "platform", "event_time", "received_at", "source_ip")
+
+
+@query(
+    "stored_upkeep",
+    select(
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS table_name, {', '.join(_KEPT)} FROM {s} WHERE date_trunc('second', event_time) > TIMESTAMP '2024-01-02'"
+            for n, s in (("mobile_events", "de"), ("mobile_api_calls", "dc"), ("mobile_errors", "dx"))
+        )
+    ),
+)
+def stored_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables after upkeep: settled by day, given redeliveries, settled again, and cut by retention on 1 April 2024."""
+    root = scratch_path(spark, "upkeep")
+    out = None
+    for spec in S.TABLES:
+        rows = V.table_view(spark, sf, spec)
+        for delivery in (0, 1):
+            tables.append(rows.where(F.col("source_ip").startswith(f"10.0.{delivery}.")), root, spec.name, f"load-{delivery}")
+            tables.settle(spark, root, spec, 202401)
+        tables.retain(spark, root, spec, datetime(2024, 4, 1))
+        kept = tables.read_stored(spark, root, spec, list(_KEPT)).drop("event_month").withColumn("table_name", F.lit(spec.name))
+        out = kept if out is None else out.unionByName(kept)
+    return _plain(out)
+
+
+@query(
+    "sessions_from_rollup",
+    select("SELECT app, release, date_trunc('hour', event_time) AS bucket, count(DISTINCT session_id) AS unique_sessions, TRUE AS near FROM de GROUP BY ALL"),
+)
+def sessions_from_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct sessions per hour from per-minute sketches of ten slices, next to the exact counts: within the stated error."""
+    events = V.mobile_events(spark, sf)
+    rows = narrow(events, S.MOBILE_EVENTS, ["app", "env", "release", "platform", "event_time", "event_id", "session_id"])
+    rows = rows.withColumn("bucket", F.date_trunc("hour", "event_time"))
+    by = ["app", "release", "bucket"]
+    partials = roll_up(rows.withColumn("slice", F.pmod(F.crc32("event_id"), F.lit(10))), SESSIONS_1M, dedup=False, by=["slice"])
+    merged = merge_rollup(partials.withColumn("bucket", F.date_trunc("hour", "minute")), SESSIONS_1M, by)
+    near = merged.select(*by, unique_sessions(F.col("session_sketch")).alias("estimate"))
+    exact = rows.groupBy(*by).agg(F.count_distinct("session_id").alias("unique_sessions"))
+    inside = F.abs(F.col("estimate") - F.col("unique_sessions")) <= F.ceil(SESSION_ERROR * F.col("unique_sessions"))
+    return _plain(exact.join(near, by).select(*by, "unique_sessions", inside.alias("near")))

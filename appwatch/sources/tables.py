@@ -1,8 +1,8 @@
 """Stored telemetry tables: month partitions, idempotent appends, retention and compaction.
 
 A table is Parquet below ``root/name/event_month=M/batch_id=B``. A batch that is written again
-replaces itself; a month that was compacted holds a single ``compact-`` batch and needs no
-deduplication when read.
+replaces itself. Compaction (:func:`settle`) keeps one deduplicated, sorted ``compact-`` piece per day and later takes up
+only the days that new batches touch; a month of such pieces needs no deduplication when read.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from appwatch import schema as S
 from appwatch.functions.scalars import as_instant, event_month
 from appwatch.operators.dedup import deduplicate, narrow
 from appwatch.operators.rollups import rollup_names, rollup_spec
+from appwatch.operators.sessions import merge_sessions
 
 COMPACTED = "compact-"
 
@@ -113,9 +114,18 @@ def read_stored(
     return rest.unionByName(rows.filter(F.col("event_month").isin(clean)).select(*wanted)) if clean else rest
 
 
+def _day_of(batch: str) -> str | None:
+    """The day a compacted piece holds, empty for one of a whole month, None for other batches."""
+    if not batch.startswith(COMPACTED):
+        return None
+    day = batch[len(COMPACTED) :].split("-", 1)[0]
+    return day if len(day) == 8 and day.isdigit() else ""
+
+
 def _is_clean(spark: SparkSession, root: str, name: str, month: int) -> bool:
-    found = batches(spark, root, name, month)
-    return len(found) == 1 and found[0].startswith(COMPACTED)
+    """Only compacted pieces, and no day twice."""
+    days = [_day_of(b) for b in batches(spark, root, name, month)]
+    return bool(days) and None not in days and len(set(days)) == len(days) and ("" not in days or len(days) == 1)
 
 
 def read_rollup(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -123,7 +133,7 @@ def read_rollup(spark: SparkSession, root: str, name: str) -> DataFrame:
     types = {f.name: f.dataType for spec in S.TABLES for f in spec.schema}
     spec = rollup_spec(name)
     fields = [T.StructField(d, types[d]) for d in spec.dims] + [T.StructField("minute", T.TimestampType())]
-    kinds = {"duration_sum": T.DoubleType(), "duration_max": T.DoubleType()}
+    kinds = {"duration_sum": T.DoubleType(), "duration_max": T.DoubleType(), "session_sketch": T.BinaryType()}
     fields += [T.StructField(m, kinds.get(m, T.LongType())) for m in spec.measures]
     if spec.histogram:
         fields.append(T.StructField(spec.histogram[0], T.MapType(T.IntegerType(), T.LongType())))
@@ -155,6 +165,52 @@ def rewrite_month(spark: SparkSession, root: str, spec: S.TableSpec, month: int,
         _delete(spark, path)
 
 
+def _paths(spark: SparkSession, root: str, spec: S.TableSpec, paths: list[str]) -> DataFrame:
+    """The rows of some batches only; others are not looked at."""
+    reader = spark.read.schema(_partitioned(spec.schema)).option("basePath", f"{root}/{spec.name}")
+    return reader.parquet(*paths).select(*spec.columns)
+
+
+def _write_days(rows: DataFrame, root: str, spec: S.TableSpec) -> None:
+    """Rows, ranged and sorted, as one compacted piece per day."""
+    piece = F.concat(F.lit(COMPACTED), F.date_format("event_time", "yyyyMMdd"), F.lit(f"-{uuid.uuid4().hex}"))
+    (
+        layout(rows, spec)
+        .withColumn("batch_id", piece)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_month", "batch_id")
+        .parquet(f"{root}/{spec.name}")
+    )
+
+
+def settle(spark: SparkSession, root: str, spec: S.TableSpec, month: int) -> list[str]:
+    """Merge the batches of a month that came since into the pieces of the days they touch; returns these days.
+
+    Pieces of other days are neither read nor written. The new pieces are complete before the old
+    ones and the batches go; dying in between leaves rows twice, which reading with deduplication does not
+    show and the next run mends. Batches that arrive meanwhile are left for the next run.
+    """
+    found = _subfolders(spark, f"{root}/{spec.name}/event_month={month}")
+    loose = [p for b, p in found.items() if _day_of(b) is None]
+    of_day: dict[str, list[str]] = {}
+    for b, p in found.items():
+        if _day_of(b):
+            of_day.setdefault(_day_of(b), []).append(p)
+    whole = [p for b, p in found.items() if _day_of(b) == ""]
+    doubled = [p for paths in of_day.values() if len(paths) > 1 for p in paths]
+    fresh = [*loose, *whole, *doubled]
+    if not fresh:
+        return []
+    day = F.date_format("event_time", "yyyyMMdd")
+    touched = sorted(r[0] for r in _paths(spark, root, spec, fresh).select(day).distinct().collect())  # a month's days
+    old = list(dict.fromkeys([*fresh, *[p for d in touched for p in of_day.get(d, [])]]))
+    _write_days(deduplicate(_paths(spark, root, spec, old), spec), root, spec)
+    for path in old:
+        _delete(spark, path)
+    return touched
+
+
 def unexpired(cutoff: datetime, column: str = "event_time"):
     """Rows to keep: the time, cut to whole seconds, lies after the cutoff."""
     at = as_instant(cutoff)
@@ -166,14 +222,39 @@ def retain_rows(rows: DataFrame, as_of: datetime, days: int = S.RETENTION_DAYS,
 
 
 def retain(spark: SparkSession, root: str, spec: S.TableSpec, as_of: datetime, days: int = S.RETENTION_DAYS) -> None:
-    """Drop whole expired months without reading them; rewrite only the month the cutoff falls into."""
+    """Drop expired months and, once the cutoff's month is settled, expired days without reading them; of
+    the rows only those of the cutoff's own day are rewritten."""
     cutoff = as_of - timedelta(days=days)
-    boundary = cutoff.year * 100 + cutoff.month
+    boundary, last = cutoff.year * 100 + cutoff.month, f"{cutoff:%Y%m%d}"
     for month in months(spark, root, spec.name):
+        folder = f"{root}/{spec.name}/event_month={month}"
         if month < boundary:
-            _delete(spark, f"{root}/{spec.name}/event_month={month}")
+            _delete(spark, folder)
         elif month == boundary:
-            rewrite_month(spark, root, spec, month, newer_than=cutoff)
+            settle(spark, root, spec, month)
+            for batch, path in _subfolders(spark, folder).items():
+                if (_day_of(batch) or last) < last:
+                    _delete(spark, path)
+                elif _day_of(batch) == last:
+                    _write_days(_paths(spark, root, spec, [path]).filter(unexpired(cutoff)), root, spec)
+                    _delete(spark, path)
+
+
+def read_sessions(spark: SparkSession, root: str, as_of: datetime | None = None, days: int = S.RETENTION_DAYS) -> DataFrame:
+    """Session rows merged from their partials, without those that started before the retention cutoff."""
+    rows = merge_sessions(spark.read.parquet(f"{root}/session_partials"))
+    return rows if as_of is None else retain_rows(rows, as_of, days, "started_at")
+
+
+def retain_sessions(spark: SparkSession, root: str, as_of: datetime, days: int = S.RETENTION_DAYS) -> None:
+    """Drop the months of session partials that no session reaches that is still read.
+
+    One month more than the cutoff's stays, so that sessions across its start keep their first part.
+    """
+    cutoff = (as_of - timedelta(days=days)).replace(day=1) - timedelta(days=1)
+    for month in months(spark, root, "session_partials"):
+        if month < cutoff.year * 100 + cutoff.month:
+            _delete(spark, f"{root}/session_partials/event_month={month}")
 
 
 def verify_tables(spark: SparkSession, root: str) -> DataFrame:

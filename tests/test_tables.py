@@ -93,6 +93,61 @@ def test_compaction_keeps_rows_and_skips_dedup(spark, root):
     assert tables.read_stored(spark, root, S.MOBILE_ERRORS).orderBy("event_id").collect() == before
 
 
+def test_settling_takes_up_only_the_days_that_new_batches_touch(spark, root):
+    spec, days = S.MOBILE_ERRORS, lambda: {b.split("-")[1]: b for b in tables.batches(spark, root, "mobile_errors", 202401)}
+    first = error_rows(spark, [(f"e{d}", datetime(2024, 1, d, 12), datetime(2024, 1, d, 13), "r") for d in (5, 6, 7) for _ in (1, 2)])
+    tables.append(first, root, spec.name, "b-1")
+    assert tables.settle(spark, root, spec, 202401) == ["20240105", "20240106", "20240107"]
+    before = days()
+    assert sorted(before) == ["20240105", "20240106", "20240107"] and tables._is_clean(spark, root, spec.name, 202401)
+    assert tables.settle(spark, root, spec, 202401) == [] and days() == before
+    late = error_rows(spark, [("e6", datetime(2024, 1, 6, 12), datetime(2024, 1, 9), "later"), ("new", datetime(2024, 1, 6, 1), datetime(2024, 1, 9), "r")])
+    tables.append(late, root, spec.name, "b-2")
+    want = tables.read_stored(spark, root, spec).orderBy("event_id").collect()
+    assert [r.release for r in want if r.event_id == "e6"] == ["later"]
+    assert tables.settle(spark, root, spec, 202401) == ["20240106"]
+    after = days()
+    assert {d for d in after if after[d] != before[d]} == {"20240106"}  # the other days' pieces are the same files
+    assert tables.read_stored(spark, root, spec).orderBy("event_id").collect() == want
+    clean = tables.read_stored(spark, root, spec).filter("event_month = 202401")
+    assert "Window" not in clean._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_settling_mends_what_a_crash_left(spark, root):
+    """New pieces were written and the old ones not deleted: reads are right, and the next run ends with one piece per day."""
+    spec = S.MOBILE_ERRORS
+    rows = error_rows(spark, [("a", datetime(2024, 1, 5, 12), datetime(2024, 1, 5, 13), "r"), ("b", datetime(2024, 1, 6, 12), datetime(2024, 1, 6, 13), "r")])
+    tables._write_days(rows, root, spec)
+    tables._write_days(rows, root, spec)
+    assert not tables._is_clean(spark, root, spec.name, 202401) and tables.read_stored(spark, root, spec).count() == 2
+    tables.settle(spark, root, spec, 202401)
+    assert len(tables.batches(spark, root, spec.name, 202401)) == 2 and tables.read_stored(spark, root, spec, dedup=False).count() == 2
+
+
+def test_retention_of_days_reads_only_the_cutoff_day(spark, root):
+    spec = S.MOBILE_ERRORS
+    rows = error_rows(spark, [(f"e{d}{h}", datetime(2024, 1, d, h), datetime(2024, 1, d, 23), "r") for d in (4, 5, 6) for h in (6, 18)])
+    tables.append(rows, root, spec.name, "b-1")
+    tables.settle(spark, root, spec, 202401)
+    last = [b for b in tables.batches(spark, root, spec.name, 202401) if "20240106" in b]
+    tables.retain(spark, root, spec, datetime(2024, 1, 5, 12) + timedelta(days=90))
+    assert sorted(r.event_id for r in tables.read_stored(spark, root, spec).collect()) == ["e518", "e618", "e66"]
+    assert [b for b in tables.batches(spark, root, spec.name, 202401) if "20240106" in b] == last
+
+
+def test_sessions_expire(spark, root, small):
+    parts = sessions.session_partials(V.mobile_events(spark, small), V.mobile_api_calls(spark, small), V.mobile_errors(spark, small))
+    tables.append(parts, root, "session_partials", "b-1", "started_at")
+    old = parts.withColumn("started_at", F.expr("started_at - interval 70 days")).withColumn("session_id", F.concat(F.lit("old-"), "session_id"))
+    tables.append(old, root, "session_partials", "b-0", "started_at")
+    as_of = datetime(2024, 1, 2) + timedelta(days=90)
+    kept = tables.read_sessions(spark, root, as_of).count()
+    assert kept == parts.where("date_trunc('second', started_at) > timestamp'2024-01-02'").count() > 0
+    tables.retain_sessions(spark, root, as_of)
+    assert tables.months(spark, root, "session_partials") == [202401]
+    assert tables.read_sessions(spark, root, as_of).count() == kept
+
+
 def test_retention_drops_months_and_trims_the_boundary(spark, root):
     tables.append(three_months(spark), root, "mobile_errors", "b-1")
     as_of = datetime(2024, 2, 3, 12) + timedelta(days=90)
