@@ -164,6 +164,10 @@ class _Bundle:
         self.file.close()
 
 
+#: Frames that a task reads in a row.
+RUN = 4
+
+
 def write_archives(
     planned: DataFrame, path: str, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 27, level: int = 3
 ) -> DataFrame:
@@ -239,19 +243,24 @@ def _row(headers: dict[str, str], block: bytes) -> tuple:
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """All records of the bundles in ``index``, frame by frame."""
+    """All records of the bundles in ``index``, frame by frame.
+
+    A task's share is runs of frames, dealt out in turn: a bundle is read by as many tasks as it has runs.
+    """
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, first in zip(*(c.to_pylist() for c in batch.columns)):
                 store, inner = fs.FileSystem.from_uri(path)
                 with store.open_input_file(inner) as file:
-                    for frame in read_seek_table(file):
+                    for frame in read_seek_table(file)[first : first + RUN]:
                         rows = [_row(headers, block) for _, _, headers, block in parse(read_frame(file, frame))]
                         yield common.to_batch(dict(zip(_NAMES, map(list, zip(*rows)))), RECORDS)
 
-    return common.map_arrow(index.select("bundle").distinct().repartition(parts, "bundle"), run, RECORDS)
+    runs = index.select("bundle", (F.floor(F.col("frame") / RUN) * RUN).alias("first")).distinct()
+    # Without a key: the rows are few and small, and must not be put together again.
+    return common.map_arrow(runs.repartition(parts), run, RECORDS)
 
 
 def fetch(index: DataFrame) -> DataFrame:

@@ -60,3 +60,14 @@ def test_bundles_are_plain_zstandard_with_a_seek_table(index):
 
 def test_empty_table(pages):
     assert warc.archive(pages.where("false")).count() == 0
+
+
+def test_archives_are_read_back_by_many_tasks(spark, tmp_path):
+    """A single bundle of many frames is read by as many tasks as it has runs of frames."""
+    pages = spark.range(600).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 400) as html").coalesce(1)
+    index = warc.write_archives(warc.plan_revisits(pages).coalesce(1), str(tmp_path), frame_bytes=1 << 13)
+    frames = index.select("bundle", "frame").distinct().count()
+    assert index.select("bundle").distinct().count() == 1 and frames > 16 * warc.RUN
+    by_task = warc.read_archives(index).selectExpr("spark_partition_id() as p").groupBy("p").count().collect()
+    assert len(by_task) == 8 and sum(r["count"] for r in by_task) == 600
+    assert max(r["count"] for r in by_task) < 300
