@@ -20,7 +20,7 @@ each of them; later every member outside its component is, so again all pairs th
 
 Cases: null and empty texts, and texts of white space only, have empty sets and link with nothing.
 With fewer words than a shingle, the whole sequence is one. Rows of equal id are judged by their own
-text each. A null id takes no part: its component is null and it is kept. An empty table gives an
+text each, and give a row each. A null id takes no part: its component is null and it is kept. An empty table gives an
 empty result. Columns other than id and text are not looked at.
 """
 
@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from appwatch.llm import common, graph
@@ -173,14 +173,14 @@ def fine_level(size: int, members: int) -> int:
     return max(0, (max(size, 1) - 1) // members).bit_length()
 
 
-SIGNATURES = "doc_id long, n_shingles long, class binary, bands array<long>, sketch binary, fine binary"
+SIGNATURES = "doc_id long, text_key long, n_shingles long, class binary, bands array<long>, sketch binary, fine binary"
 
 
 def signatures(docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         signer = Signer(params)
         for batch in common.slices(batches):
-            out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_shingles": []}
+            out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "text_key": batch.column(2).to_pylist(), "n_shingles": []}
             out |= {n: [] for n in ("class", "bands", "sketch", "fine")}
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes((text or "").encode("utf-8", "surrogatepass"), params.shingle)
@@ -196,10 +196,16 @@ def signatures(docs: DataFrame, params: Params, id_col: str, text_col: str) -> D
                 out["fine"].append(signer.fine(hashes))
             yield common.to_batch(out, SIGNATURES)
 
-    chosen = docs.select(common.field(docs, id_col, "long").alias("doc_id"), common.field(docs, text_col, "string").alias("text"))
+    text = common.field(docs, text_col, "string")
+    chosen = docs.select(common.field(docs, id_col, "long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
     return common.map_arrow(chosen, run, SIGNATURES)
 
 
+def text_key(text: Column) -> Column:
+    """With the id it tells rows apart that repeat an id with other texts."""
+    return F.xxhash64(text)
+
+
 def offers(rows: list[tuple], params: Params, top: int) -> tuple[list[tuple[int, int, int]], bool]:
     """Pairs (smaller, larger, rank) that the members of a bucket offer, and if any had more to offer.
 
@@ -248,12 +254,21 @@ OFFERS = "a long, b long, rank long, more boolean"
 
 
 def _offer_pairs(members: DataFrame, params: Params, top: int) -> DataFrame:
-    """``members`` (key, part, rep, component, n_shingles, sketch) in order of (key, part)."""
+    """``members`` (key, part, node, component, n_shingles, sketch) in order of (key, part).
+
+    A pair meets in up to ``bands`` buckets, with the same rank in each: a task passes it on once.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int, bool]] = set()
+
         def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
                 pairs, more = offers(rows, params, top)
+                pairs = [p for p in pairs if (p[0], p[1], more) not in sent]
+                if len(sent) > 1 << 20:
+                    sent.clear()  # bounded; what is sent again is the same row
+                sent.update((a, b, more) for a, b, _ in pairs)
                 if pairs:
                     a, b, rank = map(list, zip(*pairs))
                     yield common.to_batch({"a": a, "b": b, "rank": rank, "more": [more] * len(a)}, OFFERS)
@@ -267,8 +282,8 @@ def _offer_pairs(members: DataFrame, params: Params, top: int) -> DataFrame:
                 rows.append(tuple(row))
         yield from close(rows)
 
-    ordered = members.repartition("key", "part").sortWithinPartitions("key", "part", "rep")
-    return common.map_arrow(ordered.select("key", "part", "rep", "component", "n_shingles", "sketch", "fine"), run, OFFERS)
+    ordered = members.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    return common.map_arrow(ordered.select("key", "part", "node", "component", "n_shingles", "sketch", "fine"), run, OFFERS)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
@@ -288,32 +303,42 @@ def _confirm(pairs: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
                     out["b"].append(b)
             yield common.to_batch(out, "a long, b long")
 
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("right"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return common.map_arrow(both, run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (the id is the component's)."""
+    out = grouped(docs, params, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def grouped(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, ``text_key`` of its text, n_shingles, component_id, and ``linkable`` (it has an id and a set)."""
     signed = stored(signatures(docs, params, id_col, text_col), "signatures")
     real = signed.where("doc_id IS NOT NULL AND class IS NOT NULL")
-    # One row per distinct set, named by its smallest id; copies combine before the shuffle.
+    # One row per distinct set, with its smallest id; copies combine before the shuffle. A class is a node
+    # with a number of its own, since rows may repeat an id with other texts; numbers are fixed once written.
     classes = stored(
         real.groupBy("class")
-        .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sketch", "fine"), "doc_id").alias("of"))
-        .select("class", "rep", "of.*"),
+        .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sketch", "fine", "text_key"), "doc_id").alias("of"))
+        .select(F.monotonically_increasing_id().alias("node"), "class", "rep", "of.*"),
         "classes",
     )
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("center")).where("n > 1")
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).where("n > 1")
     meet = stored(keys.join(buckets, "key"), "buckets")
-    near = meet.select("rep").distinct()
-    marked = stored(classes.join(near, "rep", "left_semi").select("rep", "n_shingles", "sketch", "fine"), "members")
-    texts = docs.select(common.field(docs, id_col, "long").alias("rep"), common.field(docs, text_col, "string").alias("text"))
-    texts = stored(texts.join(near, "rep", "left_semi"), "texts")
-
-    labels = marked.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+    near = meet.select("node").distinct()
+    marked = stored(classes.join(near, "node", "left_semi").select("node", "n_shingles", "sketch", "fine"), "members")
+    text = common.field(docs, text_col, "string")
+    texts = docs.select(common.field(docs, id_col, "long").alias("rep"), text.alias("text"), text_key(text).alias("text_key"))
+    wanted = classes.join(near, "node", "left_semi").select("node", "rep", "text_key")
+    # Repeated rows give their text once.
+    texts = stored(texts.join(wanted, ["rep", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
+
+    labels = marked.select("node", F.col("node").alias("component"))
     tested, top, first = None, 1, True
     while True:
         members = _members(meet, marked, labels, params.block, first)
@@ -341,21 +366,23 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
             labels = stored(_relabel(labels, links), "labels")
         first, top = False, top * 8
 
-    named = classes.select("class", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("class", F.coalesce("component", "rep").alias("found"))
-    out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
+    of_node = labels.join(classes.select("node", "rep"), "node")
+    least = of_node.groupBy("component").agg(F.min("rep").alias("found"))
+    found = of_node.join(least, "component").select("node", "found")
+    named = classes.select("class", "node", "rep").join(found, "node", "left").select("class", F.coalesce("found", "rep").alias("found"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "class").join(named, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linkable = F.col("doc_id").isNotNull() & F.col("class").isNotNull()
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), linkable.alias("linkable"))
 
 
 def _members(meet: DataFrame, marked: DataFrame, labels: DataFrame, block: int, first: bool) -> DataFrame:
     """Bucket members with their component and the blocks of the bucket in which they take part."""
-    labelled = meet.join(labels.withColumnRenamed("node", "rep"), "rep")
+    labelled = meet.join(labels, "node")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    own = F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    own = F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))
     if first:
-        everywhere = F.col("rep") == F.col("center")
+        everywhere = F.col("node") == F.col("center")
     else:
         center = labels.select(F.col("node").alias("center"), F.col("component").alias("center_component"))
         labelled = labelled.join(center, "center")
@@ -364,8 +391,8 @@ def _members(meet: DataFrame, marked: DataFrame, labels: DataFrame, block: int,
         labelled = labelled.join(mixed, "key", "left_semi")
         everywhere = F.col("component") != F.col("center_component")
     parts = F.when(everywhere & (blocks > 1), F.sequence(F.lit(0), blocks - 1)).otherwise(own)
-    placed = labelled.select("key", "rep", "component", F.explode(parts).alias("part"))
-    return placed.join(marked, "rep").select("key", "part", "rep", "component", "n_shingles", "sketch", "fine")
+    placed = labelled.select("key", "node", "component", F.explode(parts).alias("part"))
+    return placed.join(marked, "node").select("key", "part", "node", "component", "n_shingles", "sketch", "fine")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -109,3 +109,22 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    """An id that holds a copy and a unique text, one that holds two copies, one that repeats a row."""
+    base, other, third = (t for _, t in family(1, 1, 0) + family(2, 1, 0) + family(3, 1, 0))
+    near = base.replace(base.split()[70], "changed")
+    rows = [(1, base), (5, near), (5, other), (7, base), (7, near), (8, third), (8, third), (9, other + " x y"), (3, other + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash.near_duplicates(docs, Params(shingle=4))
+    assert got.count() == len(rows) and result(got) == brute(rows, 4)
+    kept = sorted((r.doc_id, r.component_id, r.kept) for r in got.collect())
+    assert kept == [(1, 1, True), (3, 3, True), (5, 1, False), (5, 3, False), (7, 1, False), (7, 1, False), (8, 8, True), (8, 8, True), (9, 3, False)]
+
+
+def test_a_hot_id_gives_a_row_each(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(40)]
+    rows = [(1, t) for t in texts] + [(2, texts[3]), (2, texts[3])]
+    got = result(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Params(shingle=4)))
+    assert got == brute(rows, 4) and len(got) == 42
