@@ -83,8 +83,11 @@ def targets(sizes: DataFrame, schedule: Schedule = Schedule(), max_repeat: int =
 def _taken(docs: DataFrame, schedule: Schedule, max_repeat: int, id_col: str, text_col: str, source_col: str, at: str) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken``, and in ``at`` the words of its source before it,
     ``first``, and the line ``w0``, ``w1``."""
-    key, span, tie, running = (common.free_name(docs, n) for n in ("order_key", "order_span", "order_tie", "running"))
+    names = ("order_key", "order_span", "order_tie", "running", "order_source")
+    key, span, tie, running, of = (common.free_name(docs, n) for n in names)
+    # Sources as a key without nulls: the window and the join then share one shuffle of the texts.
     source = common.field(docs, source_col, "string")
+    never_null = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
     # The number of spans follows the cluster; the order itself does not depend on it.
     digits = 2 if int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) <= 64 else 3
     sized = (
@@ -92,6 +95,7 @@ def _taken(docs: DataFrame, schedule: Schedule, max_repeat: int, id_col: str, te
         .withColumn(key, F.md5(F.coalesce(common.field(docs, id_col, "string"), F.lit("")).cast("binary")))
         .withColumn(span, F.substring(key, 1, digits))
         .withColumn(tie, F.md5(F.coalesce(common.field(docs, text_col, "string"), F.lit("")).cast("binary")))
+        .withColumn(of, never_null(source))
     )
     spans = sized.groupBy(source.alias("source"), F.col(span).alias("span")).agg(F.sum("size").alias("span_size"))
     plan = targets(spans.groupBy("source").agg(F.sum("span_size").alias("source_size")), schedule, max_repeat)
@@ -100,16 +104,14 @@ def _taken(docs: DataFrame, schedule: Schedule, max_repeat: int, id_col: str, te
     offsets = offsets.join(plan.alias("p"), F.expr("o.source <=> p.source")).select(
         "o.source", "span", "offset", "source_size", "target", "w0", "w1"
     )
-    offsets = offsets.select(F.struct("*").alias("mix_plan"))
+    offsets = offsets.select(never_null(F.col("source")).alias(of), F.col("span").alias(span), F.struct("*").alias("mix_plan"))
     within = (
-        Window.partitionBy(source, span)
+        Window.partitionBy(of, span)
         .orderBy(key, common.field(docs, id_col, "string"), tie)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = sized.withColumn(running, F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = placed.join(
-        offsets, source.eqNullSafe(F.col("mix_plan.source")) & (F.col(span) == F.col("mix_plan.span")), "left"
-    )
+    joined = placed.join(offsets, [of, span], "left")
     whole = F.col("mix_plan.source_size")
     first = F.col(running) + F.col("mix_plan.offset")
     demand = F.round(F.col("mix_plan.target")).cast("long")
