@@ -6,9 +6,9 @@ from all documents of the corpus that pass the plain rules; a text may also be h
 language. Short documents have no reliable
 histogram, so each comparison has a least length below which it does not judge.
 
-Cases: a null or empty text has no words and fails the base rule. A null or unknown language is
-compared with every reference and the nearest counts; so is any document when its language has no
-reference. Without any reference (an empty table) only the base rule judges. Texts of any length are
+Cases: a null or empty text has no words and fails the base rule. A document whose language is null or has no
+reference is judged by the base rule alone, as prose of another language is far from every reference; its
+distances are those to the nearest one. Without any reference (an empty table) there are no distances. Texts of any length are
 read whole. Repeated rows give equal rows. Null ids are kept as they are.
 """
 
@@ -211,7 +211,7 @@ def apply_rules(
                 failed = base_failed(len(words), repeated)
                 classes, counts = histograms(raw, words)
                 by_class, by_word = nearest(classes, counts, near.get(lang, near[None])) if references else (None, None)
-                kept = not failed and not (references and limits.reject(len(words), by_class, by_word))
+                kept = not failed and not (lang in references and limits.reject(len(words), by_class, by_word))
                 rows.append((len(words), chars, symbols, lines, repeated, failed, by_class, by_word, kept))
             new = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), list(target)[len(names) :])]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, target)), *new], schema=target)

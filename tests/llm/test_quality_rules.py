@@ -64,3 +64,57 @@ def test_odd_documents_go_and_clean_ones_stay(spark):
 def test_empty_table(empty):
     assert Q.fit_references(empty) == {}
     assert Q.apply_rules(empty, {}).count() == 0
+
+
+# Plain prose in languages without a reference.
+ITALIAN = (
+    "La mattina presto il vecchio pescatore uscì dal porto con la sua piccola barca e remò lentamente verso il largo, mentre il sole "
+    "sorgeva dietro le colline e la nebbia si alzava piano dall'acqua. Aveva portato pane, formaggio e una bottiglia di vino, perché sapeva "
+    "che la giornata sarebbe stata lunga. Quando gettò le reti pensò a suo padre, che gli aveva insegnato ogni cosa, e sorrise senza "
+    "dire nulla. Più tardi tornò con poche sardine ma con il cuore leggero, e la sera raccontò tutto ai nipoti davanti al fuoco."
+)
+RUSSIAN = (
+    "Рано утром старый рыбак вышел из гавани на своей маленькой лодке и медленно поплыл в открытое море, пока солнце вставало за холмами, "
+    "а туман тихо поднимался над водой. Он взял с собой хлеб, сыр и бутылку вина, потому что знал, что день будет долгим. Когда он бросил "
+    "сети, он вспомнил отца, который научил его всему, и молча улыбнулся. Позже он вернулся с небольшим уловом, но с лёгким сердцем, "
+    "и вечером рассказал обо всём внукам у огня, пока за окном шумел ветер и шёл дождь."
+)
+
+
+def test_prose_of_languages_without_a_reference_stays(spark, small):
+    references = Q.fit_references(spark.read.parquet(f"{small}/documents.parquet"))
+    assert references and not {"it", "ru"} & set(references)
+    rows = [(ITALIAN, "it"), (RUSSIAN, "ru"), (ITALIAN, None), (RUSSIAN, None), (RUSSIAN, "xx"), (RUSSIAN, "en"), ("x1# " * 60, "it")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in Q.apply_rules(df, references).collect()}
+    assert [out[i].kept for i in range(7)] == [True, True, True, True, True, False, False]
+    assert all(out[i].class_distance is not None for i in range(5))
+
+
+def test_distances_equal_brute_force(spark, small):
+    """Jensen-Shannon distances to the candidates, and the verdict that follows from them."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    references = Q.fit_references(docs)
+    near = Q.candidates(references)
+
+    def apart(p, q):
+        p, q = p / p.sum() if p.sum() else p, q / q.sum()
+        if not p.sum():
+            return 1.0
+        m = (p + q) / 2
+        half = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0)
+        return float(np.sqrt(max(0.0, (half(p) + half(q)) / 2)))
+
+    rejected = 0
+    for r in Q.apply_rules(docs, references).collect():
+        raw = (r.text or "").encode()
+        words, *_ = Q.base_counts(raw)
+        classes, counts = Q.histograms(raw, words)
+        if len(words) < 20 or not counts.sum():
+            continue
+        best = min(((apart(classes, c), apart(counts, w)) for c, w in near.get(r.lang, near[None])), key=lambda d: (d[0] + d[1], d))
+        assert abs(best[0] - r.class_distance) < 1e-6 and abs(best[1] - r.word_distance) < 1e-6
+        by_distance = r.lang in references and Q.Limits().reject(r.n_words, r.class_distance, r.word_distance)
+        assert r.kept == (not r.base_failed and not by_distance)
+        rejected += by_distance
+    assert rejected
