@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import glob
 import os
+import random
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -46,16 +48,61 @@ def test_one_of_each_group_stays(stages):
     assert {i for i, _ in after} == kept and len(after) < len(before)
 
 
-def test_repeats_are_cut(stages):
+def without_repeats(rows):
+    """Texts less the bytes covered by 50-byte strings that start in a document of smaller id; emptied ones go."""
     seen: set[bytes] = set()
-    for _, text in sorted(rows(stages[2])):
+    out = {}
+    for doc_id, text in sorted(rows):
         raw = text.encode()
-        seen |= {raw[p : p + 50] for p in range(len(raw) - 49)}
-    before, after = dict(rows(stages[2])), dict(rows(stages[3]))
-    assert set(after) <= set(before) and sum(map(len, after.values())) < sum(map(len, before.values()))
+        windows = [raw[p : p + 50] for p in range(len(raw) - 49)]
+        gone = np.zeros(len(raw), bool)
+        for p, w in enumerate(windows):
+            if w in seen:
+                gone[p : p + 50] = True
+        seen.update(windows)
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        if kept:
+            out[doc_id] = kept
+    return out
+
+
+def test_repeats_are_cut(stages):
+    before, after = rows(stages[2]), dict(rows(stages[3]))
+    want = without_repeats(before)
+    assert set(after) == set(want) and after == want and after != dict(before)
     assert all(r.n_chars == len(r.text) for r in stages[3].collect())
 
 
+def test_repeated_ids_lose_no_unique_text(spark):
+    """An id with a copy and a unique text, one with two near texts, one with repeated rows of different source."""
+    rng = random.Random(4)
+    base, unique, pair, twice = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(80)) for _ in range(4))
+    near = pair.replace(pair.split()[40], "changed")
+    data = [(1, base, "a"), (5, base, "a"), (5, unique, "a"), (6, pair, "a"), (6, near, "b"), (7, twice, "b"), (7, twice, "a"), (7, twice, "a"), (8, None, "a"), (None, base, "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in data], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, stored(docs, "test-repeated"), "unused")
+    got = sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=str)
+    one_of_six = [g for g in got if g[0] == 6]
+    assert len(one_of_six) == 1 and one_of_six[0][1] in (pair, near)
+    assert [g for g in got if g[0] != 6] == sorted([(1, base, "a"), (5, unique, "a"), (7, twice, "a"), (8, None, "a"), (None, base, "a")], key=str)
+
+
+def test_run_equals_the_stages(spark, small):
+    """The whole pipeline over whole texts, long ones included, against the stages' brute force."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    judged = quality_rules.apply_rules(docs, quality_rules.fit_references(docs)).where("kept")
+    left = rows(judged)
+    least = {i for i, _, c in brute(left, 5) if i == c}
+    cut = without_repeats([(i, t) for i, t in left if i in least])
+    sources = spark.createDataFrame([(i, t) for i, t in cut.items()], "doc_id long, text string").join(docs.select("doc_id", "source"), "doc_id")
+    copies = {r.doc_id: -(-r.taken // max(r.size, 1)) for r in mixing.mix(sources).collect() if r.taken}
+    got: dict = {}
+    for r in corpus_pipeline.run(spark, small).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+        assert r.n_tokens >= 2 and len(r.ids_sha256) == len(r.decoded_sha256) == 64
+    assert got == copies and max(len(t) for t in cut.values()) > 6000
+
+
 def test_mixture_takes_what_it_says(stages):
     plan = {r.doc_id: r for r in mixing.mix(stages[3]).collect()}
     times: dict = {}
