@@ -27,12 +27,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one of smallest id.
 
-    Only the ids that go meet the documents, so texts are shuffled only if these ids are many. Of rows
-    that repeat an id, one stays.
+    Rows are told apart by id and text, so a unique text stays whatever other rows repeat its id. Of rows that repeat an id
+    within a group, and of rows that repeat id and text, one stays: that of the smallest text key, and the least
+    of the whole rows. Only the keys that go meet the documents, so texts are shuffled only if these are many.
     """
-    found = minhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    found = stored(minhash.grouped(docs), "pipeline-groups")
+    linked = found.where("linkable")
+    stays = linked.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_key").alias("stays"))
+    goes = (F.col("doc_id") != F.col("component_id")) | (F.col("text_key") != F.col("stays"))
+    gone = linked.join(stays, "component_id").where(goes).select(F.col("doc_id").alias("group_id"), F.col("text_key").alias("group_key")).distinct()
+    again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("group_id"), F.col("text_key").alias("group_key")).agg(F.count(F.lit(1)).alias("n"))
+    again = again.where("n > 1").drop("n").join(gone, ["group_id", "group_key"], "left_anti")
+
+    def same(side: DataFrame):
+        return (docs["doc_id"] == side["group_id"]) & (minhash.text_key(docs["text"]) == side["group_key"])
+
+    gone, again = stored(gone, "pipeline-gone"), stored(again, "pipeline-again")
+    touched = gone.unionByName(again)
+    single = docs.join(touched, same(touched), "left_anti")
+    once = docs.join(again, same(again)).groupBy("group_id", "group_key").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return single.unionByName(once.select("row.*"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
