@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,9 @@ from appwatch.functions.scalars import as_instant, blank_to_null, minutes_back,
 from appwatch.operators.metadata import assign_ids
 
 P95 = 0.95
+# The metric whose value is a percentile, and the message for one that is not known.
+P95_METRIC = "p95_latency_ms"
+UNKNOWN_METRIC = "Unknown metric type: "
 
 
 # --- reads of rules and firings --------------------------------------------------------------
@@ -148,41 +151,109 @@ def evaluate_rules(
     """
     dims = _dims(apply_release)
     k = [f"k_{d}" for d in dims]
+    keyed = _watched(rules, dims, metrics)
+    now, since = as_instant(as_of), _earliest(keyed, as_of)
+    recent = since_month(calls, since).filter(F.col("event_time") >= since)
+    recent = recent.withColumn("slot", minutes_back(now, F.col("event_time")))
+    counted = [m for m in metrics if m != P95_METRIC]
+    amounts = _slots(_error_slots(error_rollup, since, now), recent.filter("status_code >= 400"), dims, counted) if counted else None
+    latency = _latency_slots(recent, dims, exact) if P95_METRIC in metrics else None
+    return _judged(keyed, _values(keyed, k, amounts, latency, metrics, exact))
+
+
+def evaluate_from_rollups(
+    rules: DataFrame, error_rollup: DataFrame, latency_rollup: DataFrame, calls: DataFrame, as_of: datetime, apply_release: bool = False
+) -> DataFrame:
+    """The same values from per-minute rollups; of the raw calls only minutes that a window's edge cuts are read.
+
+    A minute counts whole for windows that reach its start. The window that ends inside it gets the
+    calls of that minute one by one: at most one minute per distinct window length, and none if ``as_of`` is a whole minute.
+    """
+    dims = _dims(apply_release)
+    k = [f"k_{d}" for d in dims]
+    keyed = _watched(rules, dims, S.ALERT_METRICS)
+    now, since = as_instant(as_of), _earliest(keyed, as_of)
+    minutes = since_month(latency_rollup, since).filter(F.col("minute") >= since)
+    minutes = minutes.withColumn("slot", minutes_back(now, F.col("minute")))
+    failed = minutes.select(*dims, "slot", F.col("error_count").alias("amount"))
+    latency = H.entries(minutes, "duration_histogram", [*dims, "slot"]).where("_bucket is not null")
+    latency = latency.select(*dims, "slot", "_bucket", F.col("_n").alias("n"))
+    whole = F.lit(None).cast("long").alias("only")
+    failed, latency = failed.select("*", whole), latency.select("*", whole)
+    if as_of.second or as_of.microsecond:
+        edges = sorted(r[0] for r in keyed.select("window_minutes").distinct().collect())  # lengths that rules have
+        starts = [(as_of - timedelta(minutes=w)) for w in edges if w is not None]
+        inside = [F.col("event_time").between(as_instant(t), as_instant(t.replace(second=59, microsecond=999_999))) for t in starts]
+        cut = since_month(calls, since).filter(reduce(or_, inside, F.lit(False)))
+        # Counts for the one window that ends in its minute; longer ones have the minute whole.
+        cut = cut.select(*dims, minutes_back(now, F.col("event_time")).alias("slot"), "status_code", H.bucket(F.col("duration_ms")).alias("_bucket"))
+        only, one = F.col("slot").alias("only"), F.lit(1).cast("long")
+        failed = failed.unionByName(cut.filter("status_code >= 400").select(*dims, "slot", one.alias("amount"), only))
+        latency = latency.unionByName(cut.where("_bucket is not null").select(*dims, "slot", "_bucket", one.alias("n"), only))
+    errors = _error_slots(error_rollup, since, now).select(*dims, "slot", F.col("error_count").alias("amount"), whole)
+    both = errors.withColumn("metric_type", F.lit("error_rate")).unionByName(failed.withColumn("metric_type", F.lit("failed_requests")))
+    amounts = _offered(both.groupBy("metric_type", *dims, "slot", "only").agg(F.sum("amount").alias("amount")), dims, ["metric_type", "slot", "only"], "amount")
+    buckets = latency.groupBy(*dims, "slot", "only", "_bucket").agg(F.sum("n").alias("n"))
+    buckets = _offered(buckets, dims, ["slot", "only", "_bucket"], "n")
+    return _judged(keyed, _values(keyed, k, amounts, buckets, S.ALERT_METRICS, exact=False))
+
+
+def _watched(rules: DataFrame, dims: list[str], metrics: tuple[str, ...]) -> DataFrame:
     if set(metrics) != set(S.ALERT_METRICS):
         rules = rules.filter(F.col("metric_type").isin(*metrics))
-    keyed = _keyed(rules, dims)
-    now = as_instant(as_of)
+    return _keyed(rules, dims)
+
+
+def _earliest(keyed: DataFrame, as_of: datetime) -> Column:
+    """The start of the widest window."""
     widest = keyed.select(F.coalesce(F.max("window_minutes"), F.lit(0))).scalar()
-    since = F.timestamp_add("MINUTE", -widest, now)
-    reaches = F.col("slot") <= F.col("window_minutes")
+    return F.timestamp_add("MINUTE", -widest, as_instant(as_of))
 
-    recent = since_month(calls, since).filter(F.col("event_time") >= since)
-    recent = recent.withColumn("slot", minutes_back(now, F.col("event_time")))
+
+def _error_slots(error_rollup: DataFrame, since: Column, now: Column) -> DataFrame:
     errors = since_month(error_rollup, since).filter(F.col("minute") >= since)
-    errors = errors.withColumn("slot", minutes_back(now, F.col("minute")))
+    return errors.withColumn("slot", minutes_back(now, F.col("minute")))
+
+
+def _offered(summed: DataFrame, dims: list[str], by: list[str], amount: str) -> DataFrame:
+    return _offer(summed, dims).groupBy(*[f"k_{d}" for d in dims], *by).agg(F.sum(amount).alias(amount))
+
+
+def _values(
+    keyed: DataFrame, k: list[str], amounts: DataFrame | None, latency: DataFrame | None, metrics: tuple[str, ...], exact: bool
+) -> DataFrame:
+    """The value of everything that rules watch. Rows with ``only`` count for windows of that length alone."""
+
+    def reach(df: DataFrame) -> Column:
+        inside = F.col("slot") <= F.col("window_minutes")
+        return inside & (F.col("only").isNull() | (F.col("only") == F.col("window_minutes"))) if "only" in df.columns else inside
 
     values = []
-    counted = [m for m in metrics if m != "p95_latency_ms"]
-    if counted:
-        amounts = _slots(errors, recent.filter("status_code >= 400"), dims, counted)
-        found = _meet(_specs(keyed, counted, k), amounts, ["metric_type", *k], also=reaches)
+    if amounts is not None:
+        counted = [m for m in metrics if m != P95_METRIC]
+        found = _meet(_specs(keyed, counted, k), amounts, ["metric_type", *k], also=reach(amounts))
         sums = found.groupBy("metric_type", *k, "window_minutes").agg(F.sum("amount").alias("amount"))
         values.append(sums.select("metric_type", *k, "window_minutes", _rate(F.col("amount")).alias("value")))
-    if "p95_latency_ms" in metrics:
-        latency = _meet(_specs(keyed, ["p95_latency_ms"], k), _latency_slots(recent, dims, exact), k, also=reaches)
-        values.append(_p95(latency, [*k, "window_minutes"], exact).withColumn("metric_type", F.lit("p95_latency_ms")))
+    if latency is not None:
+        met = _meet(_specs(keyed, [P95_METRIC], k), latency, k, also=reach(latency))
+        values.append(_p95(met, [*k, "window_minutes"], exact).withColumn("metric_type", F.lit(P95_METRIC)))
+    return reduce(DataFrame.unionByName, values)
+
 
-    joined = _meet(keyed, reduce(DataFrame.unionByName, values), ["metric_type", *k, "window_minutes"], "left")
+def _judged(keyed: DataFrame, values: DataFrame) -> DataFrame:
+    """Every rule with its value, its error if its metric is unknown, and whether it is breached."""
+    k = [c for c in keyed.columns if c.startswith("k_")]
+    joined = _meet(keyed, values, ["metric_type", *k, "window_minutes"], "left")
     metric = F.col("metric_type")
     value = (
         F.when(~metric.isin(*S.ALERT_METRICS), F.lit(None))
-        .when(metric == "p95_latency_ms", F.col("value"))
+        .when(metric == P95_METRIC, F.col("value"))
         .otherwise(F.coalesce("value", F.lit(0.0)))
     )
     return joined.select(
         "rule_id", "app_id", "name", "metric_type", "threshold", "window_minutes",
         value.cast("double").alias("value"),
-        F.when(~metric.isin(*S.ALERT_METRICS), F.concat(F.lit("Unknown metric type: "), metric)).alias("error"),
+        F.when(~metric.isin(*S.ALERT_METRICS), F.concat(F.lit(UNKNOWN_METRIC), metric)).alias("error"),
     ).withColumn("breached", F.coalesce(F.col("value") >= F.col("threshold"), F.lit(False)))
 
 

@@ -5,6 +5,7 @@ Percentile and distinct-count queries use the exact modes, so that results can b
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -21,6 +22,7 @@ from appwatch.operators.rollups import SESSION_ERROR, SESSIONS_1M, merge_rollup,
 from appwatch.plans.registry import query
 from appwatch.plans.sql import select
 from appwatch.session import scratch_path
+from appwatch.sources import bucketed as bucketed_tables
 from appwatch.sources import tables
 from appwatch.sources import views as V
 from appwatch.sources.metadata import append_metadata, read_metadata
@@ -533,6 +535,18 @@ def alerts_evaluate_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(_evaluate(spark, sf, exact=False))
 
 
+MID_MINUTE = datetime(2024, 1, 2, 23, 59, 30, 500_000)
+
+
+@query("alerts_evaluate_rollups", select(_EV, (bucketed() + "," + _evaluated_sql(calls="hc")).replace("TIMESTAMP '2024-01-03'", f"TIMESTAMP '{MID_MINUTE}'")))
+def alerts_evaluate_rollups(spark: SparkSession, sf: str) -> DataFrame:
+    """A tick in the middle of a minute, from stored minutes and the calls of the minutes that windows cut."""
+    rules = alerts.enabled_rules(V.alert_rules(spark, sf), V.apps(spark, sf))
+    errors = roll_up(V.mobile_errors(spark, sf), "error_rate_1m")
+    minutes = roll_up(V.mobile_api_calls(spark, sf), "api_latency_1m")
+    return _plain(alerts.evaluate_from_rollups(rules, errors, minutes, _calls(spark, sf), MID_MINUTE))
+
+
 def _metric(name: str):
     sql = select("SELECT rule_id, threshold, window_minutes, round(value, 6) AS value, breached FROM ev "
                  f"WHERE metric_type = '{name}'", _evaluated_sql())
@@ -938,3 +952,19 @@ def sessions_from_rollup(spark: SparkSession, sf: str) -> DataFrame:
     exact = rows.groupBy(*by).agg(F.count_distinct("session_id").alias("unique_sessions"))
     inside = F.abs(F.col("estimate") - F.col("unique_sessions")) <= F.ceil(SESSION_ERROR * F.col("unique_sessions"))
     return _plain(exact.join(near, by).select(*by, "unique_sessions", inside.alias("near")))
+
+
+@query(
+    "dedup_bucketed",
+    select(" UNION ALL ".join(f"SELECT '{n}' AS table_name, {', '.join(_KEPT)} FROM {s}" for n, s in (("mobile_events", "de"), ("mobile_api_calls", "dc"), ("mobile_errors", "dx")))),
+)
+def dedup_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables written in buckets by event; the latest copies are picked inside the buckets."""
+    root = scratch_path(spark, "bucketed")
+    out = None
+    for spec in S.TABLES:
+        table = f"{spec.name}_{uuid.uuid4().hex}"
+        bucketed_tables.write(V.table_view(spark, sf, spec), spec, table, f"{root}/{spec.name}", buckets=8)
+        rows = bucketed_tables.latest(spark, spec, table).select(F.lit(spec.name).alias("table_name"), *_KEPT)
+        out = rows if out is None else out.unionByName(rows)
+    return _plain(out)

@@ -190,3 +190,35 @@ def test_default_rules_only_for_apps_without_any(spark):
     assert sorted((r.app_id, r.metric_type, float(r.threshold), r.window_minutes, r.env) for r in rows) == [
         (2, "error_rate", 10.0, 5, "prod"), (2, "failed_requests", 50.0, 5, None), (2, "p95_latency_ms", 2000.0, 5, None),
     ]
+
+
+def test_a_tick_from_rollups_equals_one_from_calls(spark, small):
+    """At whole minutes and inside one; calls in a window's first, cut minute count one by one."""
+    from appwatch.plans.queries import _calls
+
+    rules = [rule(i, m, 0, w, app=a, env=e) for i, (m, w, a, e) in enumerate(
+        (m, w, a, e) for m in ("error_rate", "p95_latency_ms", "failed_requests") for w in (1, 5, 6, 60, 600)
+        for a, e in (("demo-app", None), ("other-app", "prod"), (" ", None)))]
+    rules.append(rule(99, "unknown_type", 0))
+    rules = spark.createDataFrame(rules, RULE)
+    calls = _calls(spark, small).cache()
+    errors, minutes = roll_up(V.mobile_errors(spark, small), "error_rate_1m").cache(), roll_up(calls, "api_latency_1m", dedup=False).cache()
+    for as_of in (NOW, NOW - timedelta(hours=7, seconds=17, milliseconds=250), NOW - timedelta(days=1, milliseconds=1)):
+        want = alerts.evaluate_rules(rules, errors, calls, as_of)
+        got = alerts.evaluate_from_rollups(rules, errors, minutes, calls, as_of)
+        key = lambda r: r.rule_id
+        assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_a_tick_reads_calls_only_of_cut_minutes(spark, small, tmp_path):
+    from appwatch import schema as S
+    from appwatch.sources import tables
+
+    tables.append(V.mobile_api_calls(spark, small), str(tmp_path), "mobile_api_calls", "b-0")
+    calls = tables.read_stored(spark, str(tmp_path), S.MOBILE_API_CALLS, dedup=False)
+    minutes, errors = roll_up(V.mobile_api_calls(spark, small), "api_latency_1m"), roll_up(V.mobile_errors(spark, small), "error_rate_1m")
+    rules = spark.createDataFrame([rule(1, "p95_latency_ms", 0, 5), rule(2, "failed_requests", 0, 60)], RULE)
+    plan = lambda as_of: alerts.evaluate_from_rollups(rules, errors, minutes, calls, as_of)._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path) not in plan(NOW)  # a whole minute: no calls at all
+    cut = plan(NOW - timedelta(seconds=30))
+    assert "2024-01-02 22:59:30" in cut and "2024-01-02 23:54:59.999999" in cut and "PushedFilters: [Or(" in cut

@@ -73,3 +73,27 @@ def test_time_ranges_skip_months(spark, small, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         scans = re.findall(r"FileScan parquet .*", plan)
         assert scans and all(re.search(r"PartitionFilters: \[[^\]]*event_month", s) for s in scans), scans
+
+
+def test_bucketed_tables_need_no_shuffle(spark, small, tmp_path):
+    """Neither picking the latest copies nor joining two tables by event moves rows; a new session can register the files."""
+    from appwatch import schema as S
+    from appwatch.operators.dedup import deduplicate
+    from appwatch.sources import bucketed
+    from appwatch.sources import views as V
+
+    spec, path = S.MOBILE_ERRORS, str(tmp_path / "errors")
+    bucketed.write(V.table_view(spark, small, spec), spec, "errors_in_buckets", path, buckets=4)
+    latest = bucketed.latest(spark, spec, "errors_in_buckets")
+    assert "Exchange" not in physical(latest) and "Window" in physical(latest)
+    want = deduplicate(V.table_view(spark, small, spec).select(*spec.columns), spec)
+    assert latest.exceptAll(want).count() == want.exceptAll(latest).count() == 0
+    spark.sql("DROP TABLE errors_in_buckets")
+    bucketed.register(spark, spec, "errors_again", path, buckets=4)
+    again = bucketed.latest(spark, spec, "errors_again")
+    assert "Exchange" not in physical(again) and again.count() == want.count()
+    bucketed.write(V.table_view(spark, small, spec).where("screen_name is null"), spec, "errors_off_screen", str(tmp_path / "off"), buckets=4)
+    joined = again.select("event_id", "event_time").hint("merge").join(spark.table("errors_off_screen").select("event_id", "screen_name"), "event_id")
+    assert "Exchange" not in physical(joined)
+    for name in ("errors_again", "errors_off_screen"):
+        spark.sql(f"DROP TABLE {name}")
