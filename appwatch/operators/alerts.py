@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from appwatch import schema as S
@@ -14,6 +14,7 @@ from appwatch.functions import histograms as H
 from appwatch.functions.percentiles import group_percentiles
 from appwatch.functions.scalars import as_instant, blank_to_null, minutes_back, since_month
 from appwatch.operators.metadata import assign_ids
+from appwatch.session import written
 
 P95 = 0.95
 # The metric whose value is a percentile, and the message for one that is not known.
@@ -285,10 +286,12 @@ def backtest(
 ) -> DataFrame:
     """The firings that evaluating every ``step_minutes`` from ``start`` to ``to`` would have made.
 
-    A tick at T sees telemetry in [T - window, T). Telemetry is summed per minute counted from
-    ``start``, and each sum is handed to the ticks it falls into: at most window / step of them.
-    Suppression depends on earlier firings, so each rule's breaches, never more than there are
-    ticks, are folded in time order.
+    A tick at T sees telemetry in [T - window, T). Counts are summed per minute from ``start``; a window's value is the
+    difference of two running sums, so a minute's count moves once however many windows hold it. Latency buckets
+    are merged over the minutes that the same ticks see, and only then handed to these ticks.
+
+    A firing keeps its rule quiet for two windows. Each breach points at the first one after its quiet time; which breaches fire
+    is found by doubling these pointers, in as many rounds as the number of ticks has binary digits.
     """
     dims = _dims(apply_release)
     k = [f"k_{d}" for d in dims]
@@ -303,42 +306,69 @@ def backtest(
         minute = F.floor((F.unix_micros(F.col(column)) - F.unix_micros(t0)) / F.lit(60_000_000.0)).cast("long")
         return since_month(df, since, t1).filter(inside).withColumn("slot", minute)
 
-    def at_ticks(df: DataFrame) -> DataFrame:
-        first = F.greatest(F.floor(F.col("slot") / step_minutes) + 1, F.lit(0))
-        last = F.least(F.floor((F.col("slot") + F.col("window_minutes")) / step_minutes), F.lit(last_tick))
-        ticks = F.when(first <= last, F.sequence(first, last))
-        return df.withColumn("tick", F.explode(ticks)).drop("slot")
-
     recent = slotted(calls, "event_time")
     counted = ["error_rate", "failed_requests"]
     amounts = _slots(slotted(error_rollup, "minute"), recent.filter("status_code >= 400"), dims, counted)
-    found = at_ticks(_meet(_specs(keyed, counted, k), amounts, ["metric_type", *k]))
-    # A count may be 0, and 0 breaches a threshold that is not above it: such rules see every tick.
-    ticks = F.sequence(F.lit(0), F.lit(last_tick)).cast("array<long>")
-    silent = _specs(keyed.filter("threshold <= 0"), counted, k).withColumn("tick", F.explode(ticks))
-    found = found.unionByName(silent.withColumn("amount", F.lit(0).cast("long")))
-    sums = found.groupBy("metric_type", *k, "window_minutes", "tick").agg(F.sum("amount").alias("amount"))
-    additive = sums.select("metric_type", *k, "window_minutes", "tick", _rate(F.col("amount")).alias("value"))
-
-    latency = _meet(_specs(keyed, ["p95_latency_ms"], k), _latency_slots(recent, dims, exact), k)
-    p95 = _p95(at_ticks(latency), [*k, "window_minutes", "tick"], exact).withColumn("metric_type", F.lit("p95_latency_ms"))
+    additive = _window_sums(_specs(keyed, counted, k), amounts, k, step_minutes, last_tick)
+    latency = _meet(_specs(keyed, [P95_METRIC], k), _latency_slots(recent, dims, exact), k)
+    p95 = _p95(_at_ticks(latency, k, step_minutes, last_tick), [*k, "window_minutes", "tick"], exact).withColumn("metric_type", F.lit(P95_METRIC))
     values = additive.unionByName(p95)
-
     breaches = _meet(keyed, values, ["metric_type", *k, "window_minutes"]).filter(F.col("value") >= F.col("threshold"))
-    per_rule = breaches.groupBy("rule_id", "app_id", "window_minutes").agg(
-        F.array_sort(F.collect_list(F.struct("tick", "value"))).alias("breaches")
+    breaches = breaches.select("rule_id", "app_id", "tick", "value", F.floor(F.lit(2) * F.col("window_minutes") / step_minutes).alias("quiet"))
+    fired = _firing_ticks(written(breaches, "breaches"), last_tick)
+    return fired.select(
+        "rule_id", "app_id", F.timestamp_add("MINUTE", (F.col("tick") * step_minutes).cast("int"), t0).alias("fired_at"), "value"
     )
-    nothing = F.expr("cast(array() as array<struct<tick: bigint, value: double>>)")
-    quiet = F.floor(F.lit(2) * F.col("window_minutes") / step_minutes)
 
-    def fold(fired: Column, breach: Column) -> Column:
-        free = (F.size(fired) == 0) | (breach["tick"] - F.try_element_at(fired, F.lit(-1))["tick"] > quiet)
-        return F.when(free, F.concat(fired, F.array(breach))).otherwise(fired)
 
-    fired = per_rule.withColumn("fired", F.explode(F.aggregate("breaches", nothing, fold)))
-    return fired.select(
-        "rule_id",
-        "app_id",
-        F.timestamp_add("MINUTE", (F.col("fired.tick") * step_minutes).cast("int"), t0).alias("fired_at"),
-        F.col("fired.value").alias("value"),
+def _window_sums(specs: DataFrame, amounts: DataFrame, k: list[str], step: int, last_tick: int) -> DataFrame:
+    """The value of each additive spec at each tick, from running sums at both ends of its window.
+
+    Sums run over the minutes and ticks of one key, whose number does not depend on the telemetry.
+    """
+    key = ["metric_type", *k]
+    ticks = specs.withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(last_tick)))).withColumn("tick", F.col("tick").cast("long"))
+    ends = F.array(
+        F.struct((F.col("tick") * step).alias("at"), F.lit(1).alias("sign")),
+        F.struct((F.col("tick") * step - F.col("window_minutes")).alias("at"), F.lit(-1).alias("sign")),
     )
+    edges = ticks.select(*key, "window_minutes", "tick", F.explode(ends).alias("e")).select(*key, "window_minutes", "tick", "e.at", "e.sign")
+    # A minute counts for every end after it.
+    points = amounts.select(*key, (F.col("slot") + 1).alias("at"), "amount").unionByName(edges, allowMissingColumns=True)
+    upto = Window.partitionBy(*key).orderBy("at", F.col("sign").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = points.withColumn("running", F.coalesce(F.sum("amount").over(upto), F.lit(0))).where("sign is not null")
+    sums = summed.groupBy(*key, "window_minutes", "tick").agg(F.sum(F.col("sign") * F.col("running")).alias("amount"))
+    return sums.select(*key, "window_minutes", "tick", _rate(F.col("amount")).alias("value"))
+
+
+def _at_ticks(latency: DataFrame, k: list[str], step: int, last_tick: int) -> DataFrame:
+    """Rows for each tick that sees their minute; minutes that the same ticks see are merged before."""
+    first = F.greatest(F.floor(F.col("slot") / step) + 1, F.lit(0))
+    last = F.least(F.floor((F.col("slot") + F.col("window_minutes")) / step), F.lit(last_tick))
+    what = "_bucket" if "_bucket" in latency.columns else "duration_ms"
+    cells = latency.select(*k, "window_minutes", what, "n", first.alias("first"), last.alias("last")).where("first <= last")
+    cells = cells.groupBy(*k, "window_minutes", "first", "last", what).agg(F.sum("n").alias("n"))
+    return cells.withColumn("tick", F.explode(F.sequence("first", "last"))).drop("first", "last")
+
+
+def _firing_ticks(breaches: DataFrame, last_tick: int) -> DataFrame:
+    """The breaches that fire: a rule's first one, then each first one more than ``quiet`` ticks after a firing."""
+    kind = F.lit(0).alias("probe")
+    found = breaches.select("rule_id", F.col("tick").alias("at"), kind, F.col("tick").alias("hit"), F.lit(None).cast("long").alias("tick"))
+    probes = breaches.select("rule_id", (F.col("tick") + F.col("quiet")).alias("at"), F.lit(1).alias("probe"), F.lit(None).cast("long").alias("hit"), "tick")
+    # From the latest back: the breach seen last is the next one after the probe.
+    later = Window.partitionBy("rule_id").orderBy(F.col("at").desc(), F.col("probe").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    jump = found.unionByName(probes).withColumn("next", F.min("hit").over(later)).where("probe = 1 and next is not null")
+    jumps = [written(jump.select("rule_id", "tick", "next"), "jumps")]
+    while 2 ** len(jumps) <= last_tick + 1:
+        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
+        twice = a.join(b, (F.col("a.rule_id") == F.col("b.rule_id")) & (F.col("a.next") == F.col("b.tick")))
+        twice = written(twice.select("a.rule_id", "a.tick", "b.next"), "jumps")
+        if twice.isEmpty():
+            break
+        jumps.append(twice)
+    fired = breaches.groupBy("rule_id").agg(F.min("tick").alias("tick"))
+    for jump in reversed(jumps):
+        fired = fired.unionByName(fired.join(jump, ["rule_id", "tick"]).select("rule_id", F.col("next").alias("tick")))
+        fired = written(fired, "fired")
+    return breaches.join(fired, ["rule_id", "tick"]).select("rule_id", "app_id", "tick", "value")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -68,3 +68,10 @@ _local_dir: str | None = None
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; no two calls share one."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage and outlives executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -231,3 +231,19 @@ def test_blank_is_any_white_space(spark):
 def test_compact_numbers(spark):
     row = spark.range(1).select(*[scalars.compact_number(F.lit(n)) for n in (12345, 1_200_000, 999, 840.5)]).first()
     assert tuple(row) == ("12.3K", "1.2M", "999", "841")
+
+
+@pytest.mark.parametrize("reject", ["event", "batch"])
+def test_objects_and_lists_in_text_fields_are_refused(spark, reject):
+    """A text that looks like JSON is a text; an object, a list or a nested value in its place is not."""
+    good = {"event_id": "e", "event_type": "screen_view", "session_id": "s", "app_name": "a", "app_version": "1", "platform": "ios",
+            "timestamp": "2024-01-01T00:00:00Z", "screen_name": "Home"}
+    cases = [
+        ({}, "ok"), ({"user_id": {"a": 1}}, "unreadable"), ({"user_id": ["x"]}, "unreadable"), ({"user_id": '{"a": 1}'}, "ok"),
+        ({"user_id": "[x"}, "ok"), ({"screen_name": {}}, "unreadable"), ({"user_id": 17}, "ok"), ({"event_data": {"a": [1]}}, "ok"),
+        ({"trace_id": "{", "platform": []}, "unreadable"), ({"extra": {"a": 1}, "user_id": "{}"}, "ok"),
+    ]
+    docs = [(i, "k", "ip", None, json.dumps({"events": [{**good, **change}]})) for i, (change, _) in enumerate(cases)]
+    df = spark.createDataFrame(docs, S.DOCUMENT_SCHEMA)
+    got = {r.batch_id: r.status for r in ingest.judge(df, reject).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
