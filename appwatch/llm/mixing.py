@@ -7,14 +7,13 @@ the others. Within a source, documents are taken in a fixed pseudo-random order,
 until the target is met to the word. The integral of the schedule up to time t is the source's demand
 by then. :func:`deal` solves it for the middle of the words of each copy, counted over all passes and
 as a part of the target: that is the copy's training position, by which the copies are range-sorted.
-:func:`mix` has one row per document; its ``position`` is the document's place in one pass over its
-source put through the same curve, which is no training position where target and size differ.
+:func:`mix` has one row per document; its ``position`` is that of the document's first copy, null if it is not taken.
 
 Running sums over a source are taken over spans of its order, one digest prefix each, and then over
 the spans' totals, so a source with a third of all rows is spread over many tasks.
 
-Cases: a null text has size 0; documents without words are taken 0 times and come at their place in
-the order. A null source is a source of its own, last in order. Rows of equal id are told apart by
+Cases: a null text has size 0; documents without words are taken 0 times and have no
+position. A null source is a source of its own, last in order. Rows of equal id are told apart by
 their texts; fully equal rows share one order place at random but have equal sizes, so reruns agree.
 An empty table gives an empty result. Other columns are kept, but for those
 with the name of a new one, which are replaced.
@@ -141,13 +140,16 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``taken`` and ``position``, in order of position."""
+    """``docs`` with ``size``, ``source_size``, ``target``, ``taken`` and ``position``, in order of position.
+
+    ``position`` inverts the source's cumulative demand at the middle of the first copy's words.
+    """
     docs = common.without(docs, NEW)
     at = common.free_name(docs, "mix_at")
     out = _taken(docs, schedule, max_repeat, id_col, text_col, source_col, at)
-    whole = F.col("source_size")
-    share = F.when(whole > 0, (F.col(f"{at}.first").cast("double") + F.col("size") / F.lit(2.0)) / whole).otherwise(F.lit(0.0))
-    return out.withColumn("position", _solved(share, at)).drop(at).orderBy("position", F.col(f"`{id_col}`"))
+    middle = F.col(f"{at}.first").cast("double") + F.least("size", "taken") / F.lit(2.0)
+    position = F.when(F.col("taken") > 0, _solved(F.least(F.lit(1.0), middle / F.col("target")), at))
+    return out.withColumn("position", position).drop(at).orderBy(F.col("position").asc_nulls_last(), F.col(f"`{id_col}`"))
 
 
 def deal(

@@ -63,12 +63,15 @@ taken AS (
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id::VARCHAR, md5(coalesce(d.text, ''))
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+mixed AS (
+  SELECT *, CASE WHEN source_size > 0 THEN demand // source_size ELSE 0 END AS passes FROM taken),
+dealt AS (
+  SELECT *, (CASE WHEN size > 0 THEN least(passes * size + greatest(0, least(size, demand - passes * source_size - before)), 3 * size) ELSE 0 END)::BIGINT AS words
+  FROM mixed),
 curved AS (
-  SELECT *, CASE WHEN source_size > 0 THEN demand // source_size ELSE 0 END AS passes,
-    CASE WHEN source_size > 0 THEN (before::DOUBLE + size / 2e0) / source_size ELSE 0e0 END * (w0 + w1) / 2e0 AS area FROM taken)
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN size > 0 THEN least(passes * size + greatest(0, least(size, demand - passes * source_size - before)), 3 * size) ELSE 0 END)::BIGINT AS taken,
-  CASE WHEN area > 0 THEN 2e0 * area / (w0 + sqrt(w0 * w0 + 2e0 * (w1 - w0) * area)) ELSE 0e0 END AS position
+  SELECT *, CASE WHEN words > 0 THEN least(1e0, (before::DOUBLE + least(size, words) / 2e0) / target) * (w0 + w1) / 2e0 END AS area FROM dealt)
+SELECT doc_id, size, source_size, target, words AS taken,
+  CASE WHEN area > 0 THEN 2e0 * area / (w0 + sqrt(w0 * w0 + 2e0 * (w1 - w0) * area)) WHEN words > 0 THEN 0e0 END AS position
 FROM curved
 """
 

@@ -48,6 +48,24 @@ def test_positions_follow_the_schedule(spark):
     assert early.count("s1") / 2000 == pytest.approx(0.25, abs=0.02)
 
 
+def test_position_is_the_inverse_of_the_demand(spark):
+    """Targets below and above the size of a source: words taken by a position are the line's integral up to it, pass by pass."""
+    rows = [(i, "w " * 10, s) for s, n in (("a", 3000), ("b", 1000), ("c", 100)) for i in range(ord(s) * 10_000, ord(s) * 10_000 + n)]
+    lines = ((1.5, 0.5), (0.5, 1.5), (0.5, 1.5))
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), mixing.Schedule(lines=lines)).collect()
+    for source, (w0, w1), passes in zip("abc", lines, (0.63, 1.9, 3.0)):
+        mine = [r for r in out if r.source == source]
+        assert all((r.position is None) == (r.taken == 0) for r in mine)
+        for t in (0.1, 0.3, 0.5):
+            part = ((w1 - w0) * t * t / 2 + w0 * t) / ((w0 + w1) / 2) * passes  # in passes over the source
+            first = sum(1 for r in mine if r.position is not None and r.position <= t) / len(mine)
+            assert first == pytest.approx(min(1.0, part), abs=0.02)
+    dealt = {}
+    for r in mixing.deal(spark.createDataFrame(rows, "doc_id long, text string, source string"), mixing.Schedule(lines=lines)).collect():
+        dealt.setdefault(r.doc_id, r.position)
+    assert dealt == {r.doc_id: r.position for r in out if r.taken}
+
+
 def test_dealt_copies_follow_the_schedule(spark):
     """Targets of half a source, of one and a half, and at the limit of three: all of each source's line is dealt."""
     rows = [(f"{s}{i}", "w " * 10, s) for s, n in (("a", 3000), ("b", 1000), ("c", 100)) for i in range(n)]
