@@ -11,7 +11,7 @@ for small sets it drops no link at all, and for large ones allows five standard
 left is checked on the whole sets.
 
 Pairs are never all written. In rounds, every class offers the partners of nearest sketch that are not
-yet in its component; they are checked, links join components, and offers widen until no candidate of
+yet in its component, and of the pairs between two components a bucket offers the nearest; they are checked, links join components, and offers widen until no candidate of
 another component is left unchecked. Members of one component need no check against each other, so a
 group of n near copies costs about n checks, and still no link between components is lost.
 
@@ -27,6 +27,7 @@ empty result. Columns other than id and text are not looked at.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -247,7 +248,16 @@ def offers(rows: list[tuple], params: Params, top: int) -> tuple[list[tuple[int,
         more |= bool((place >= top).any())
         for a, b, r in zip(reps[i + left[place < top]].tolist(), reps[right[place < top]].tolist(), rank[place < top].tolist()):
             found.add((min(a, b), max(a, b), r))
-    return sorted(found), more
+    # One link joins two components: of their pairs the nearest will do, and others if it is no link.
+    component, offered, kept = dict(zip(reps.tolist(), labels.tolist())), Counter(), []
+    for a, b, r in sorted(found, key=lambda p: (p[2], p[0], p[1])):
+        between = tuple(sorted((component[a], component[b])))
+        offered[between] += 1
+        if offered[between] <= max(1, top // 8):
+            kept.append((a, b, r))
+        else:
+            more = True
+    return kept, more
 
 
 OFFERS = "a long, b long, rank long, more boolean"
