@@ -272,11 +272,12 @@ def stream_late(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for spec in S.TABLES:
         kind = F.col("event_type") if "event_type" in spec.columns else F.lit(spec.event_types[0])
-        aside = seen.read_late(spark, root, spec).groupBy(kind.alias("event_type")).agg(F.count(F.lit(1)).alias("aside"))
-        sums = [F.sum(c).alias(c) for c in ("received", "new", "duplicate", "late")]
-        part = seen.read_deliveries(spark, root, spec).groupBy("event_type").agg(*sums).join(aside, "event_type", "left").fillna(0, ["aside"])
+        balance = seen.read_deliveries(spark, root, spec).drop("batch_id").withColumn("aside", F.lit(0).cast("long"))
+        aside = seen.read_late(spark, root, spec).select(kind.alias("event_type"), F.lit(1).cast("long").alias("aside"))
+        part = balance.unionByName(aside, allowMissingColumns=True)
         out = part if out is None else out.unionByName(part)
-    return out
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("received", "new", "duplicate", "late", "aside")]
+    return out.groupBy("event_type").agg(*sums)
 
 
 @query("verify_tables", select(

@@ -14,6 +14,7 @@ and their days can be pruned. ``root/deliveries/<table>`` has the balance of eve
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,13 +86,11 @@ def admit(rows: DataFrame, spec: TableSpec, root: str, batch: str, lateness: str
         held = seen if upto is None else seen.select(F.greatest("received_at", as_instant(upto)).alias("received_at"))
         _write(held, horizons, batch)
         _write(late.withColumn("event_month", event_month(F.col("event_time"))), f"{root}/late/{spec.name}", batch, "event_month")
-    kinds = [F.col("event_type")] if "event_type" in rows.columns else [F.lit(spec.event_types[0])]
-
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(kinds[0].alias("event_type")).agg(F.count(F.lit(1)).alias(name))
-
-    balance = counted(rows, "received").join(counted(new, "new"), "event_type", "left").join(counted(late, "late"), "event_type", "left")
-    balance = balance.fillna(0, ["new", "late"]).withColumn("duplicate", F.col("received") - F.col("new") - F.col("late"))
+    kind = F.col("event_type") if "event_type" in rows.columns else F.lit(spec.event_types[0])
+    seen_as = [df.select(kind.alias("event_type"), F.lit(name).alias("as")) for df, name in ((rows, "received"), (new, "new"), (late, "late"))]
+    counts = [F.count_if(F.col("as") == name).alias(name) for name in ("received", "new", "late")]
+    balance = reduce(DataFrame.unionByName, seen_as).groupBy("event_type").agg(*counts)
+    balance = balance.withColumn("duplicate", F.col("received") - F.col("new") - F.col("late"))
     _write(balance, f"{root}/deliveries/{spec.name}", batch)
     once.unpersist()
     return new
