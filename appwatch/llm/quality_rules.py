@@ -6,9 +6,10 @@ from all documents of the corpus that pass the plain rules; a text may also be h
 language. Short documents have no reliable
 histogram, so each comparison has a least length below which it does not judge.
 
-Cases: a null or empty text has no words and fails the base rule. A document whose language is null or has no
-reference is judged by the base rule alone, as prose of another language is far from every reference; its
-distances are those to the nearest one. Without any reference (an empty table) there are no distances. Texts of any length are
+Cases: a null or empty text has no words and fails the base rule. Prose of a language that is null or has no
+reference is far from every reference by its letters and words, so such documents are judged by character classes alone,
+with all letters, of whatever script, as one class; the distances shown are those to the nearest reference. Without
+any reference (an empty table) only the base rule judges. Texts of any length are
 read whole. Repeated rows give equal rows. Null ids are kept as they are.
 """
 
@@ -55,6 +56,7 @@ _CLASS_OF = np.array(
 )
 N_CLASSES = 19
 CONTINUATION = 18  # the later bytes of a character count for nothing
+LETTERS = (2, 3, 5)
 
 
 @dataclass(frozen=True)
@@ -167,6 +169,14 @@ def candidates(references: References) -> dict[str | None, list[tuple[np.ndarray
     return found
 
 
+def any_letters(classes: np.ndarray) -> np.ndarray:
+    """Character classes with small and capital letters and those beyond ASCII as one."""
+    merged = classes.copy()
+    merged[LETTERS[0]] = classes[list(LETTERS)].sum()
+    merged[list(LETTERS[1:])] = 0
+    return merged
+
+
 def nearest(classes: np.ndarray, counts: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, float]:
     """Both distances to the candidate whose distances have the least sum."""
     pairs = [(distance(classes, c), distance(counts, w)) for c, w in near]
@@ -203,6 +213,7 @@ def apply_rules(
     def run(batches) -> Iterator[pa.RecordBatch]:
         target = common.arrow_schema(schema)
         near = candidates(references)
+        scripts = [any_letters(c) for c, _ in near[None]]
         for batch in common.slices(batches):
             rows = []
             for text, lang in zip(batch.column(at_text).to_pylist(), batch.column(at_lang).to_pylist()):
@@ -211,7 +222,11 @@ def apply_rules(
                 failed = base_failed(len(words), repeated)
                 classes, counts = histograms(raw, words)
                 by_class, by_word = nearest(classes, counts, near.get(lang, near[None])) if references else (None, None)
-                kept = not failed and not (lang in references and limits.reject(len(words), by_class, by_word))
+                if lang in references:
+                    odd = limits.reject(len(words), by_class, by_word)
+                else:
+                    odd = bool(scripts) and limits.reject(len(words), min(distance(any_letters(classes), s) for s in scripts), 0.0)
+                kept = not failed and not odd
                 rows.append((len(words), chars, symbols, lines, repeated, failed, by_class, by_word, kept))
             new = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), list(target)[len(names) :])]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, target)), *new], schema=target)
