@@ -48,6 +48,8 @@ from appwatch.session import scratch_path
 
 HASH_BITS = 40
 PLACE_BITS = 30  # a slice of documents has fewer bytes than that
+SLICE_BITS = 16  # a document's number within its slice
+SLICE_ROWS = 1 << SLICE_BITS
 
 
 @dataclass(frozen=True)
@@ -151,11 +153,11 @@ def grouped(docs: DataFrame, params: Params, id_col: str, text_col: str, carry:
 
 
 def _slices(batches) -> Iterator[tuple[int, list[list]]]:
-    """Group number and columns of rows that follow each other in one group, some hundred kB at a time."""
+    """Group number and columns of rows that follow each other in one group, some hundred kB and at most ``SLICE_ROWS`` at a time."""
     at, rows, size = None, [], 0
     for batch in common.slices(batches):
         for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and (part != at or size >= 1 << 19):
+            if rows and (part != at or size >= 1 << 19 or len(rows) >= SLICE_ROWS):
                 yield at, [list(c) for c in zip(*rows)]
                 rows, size = [], 0
             at = part
@@ -229,8 +231,8 @@ def _send_hashes(copy: DataFrame, bits: int, params: Params) -> DataFrame:
             for ids, raws in slices:
                 _, data, ends = _known(ids, raws)
                 hashes, _, _, docs, _ = anchors(data, ends, params)
-                pairs = np.unique(hashes << 20 | np.minimum(docs, (1 << 20) - 1))  # once per document
-                found.append(pairs >> 20)
+                pairs = np.unique(hashes << SLICE_BITS | docs)  # once per document
+                found.append(pairs >> SLICE_BITS)
             every, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
             cuts = np.searchsorted(every, np.arange(1 << bits) << (HASH_BITS - bits))
             for bucket, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(every)])):

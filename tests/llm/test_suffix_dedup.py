@@ -89,3 +89,12 @@ def test_cut_keeps_the_other_columns(odd, odd_rows, empty):
     assert (1, "en", "a", odd_rows[0][1][:20]) in kept and (4, "en", None, "") in kept
     assert [r.text for r in got.where("doc_id = 4").collect()] == [None]
     assert cut_repeats(empty).count() == 0
+
+
+def test_very_many_empty_texts_do_not_hide_a_repeat(spark):
+    """More than a million empty texts before two equal ones, in one task: the later one loses all its bytes."""
+    text = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(50))
+    empties = spark.range(1_048_700).selectExpr("id as doc_id", "'' as text")
+    docs = empties.union(spark.createDataFrame([(2_000_000, text), (2_000_001, text)], "doc_id long, text string")).coalesce(1)
+    found = remove_repeats(docs, outputs=("doc_id", "n_bytes", "n_removed")).where("n_bytes > 0")
+    assert sorted(tuple(r) for r in found.collect()) == [(2_000_000, len(text), 0), (2_000_001, len(text), len(text))]
