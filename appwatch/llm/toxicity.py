@@ -14,8 +14,10 @@ The machine's value of a word is a weighted sum over landmarks, each a sum over
 over the landmarks once, it is one weight per subsequence, so scoring a word costs about ten table
 look-ups per sign, whatever the number of landmarks. Values are calibrated on sentences that the
 machine was not fitted to: each range of values has a log ratio of its rates in toxic and clean
-sentences. A document's log odds are the sum over its distinct words, so one plain insult is enough,
-while a word that is only like one needs company.
+sentences. A document's log odds are the sum over its distinct words: one plain insult is enough in a text of some
+hundred words, while a word that is only like one needs company. Clean words count a little against
+toxicity each, so in a text of very many different words a single insult is outvoted. If no word passes the rule for
+first witnesses, there is nothing to fit and every document has the share of toxic sentences as its score.
 
 Cases: a null or empty text has the prior score. Rows without label, and labels other than 0 and
 1, do not train. Without both classes to learn from, all scores are the share of toxic labels, or 0
