@@ -262,13 +262,13 @@ def envelope(accepted: DataFrame, received_at: datetime | str | Column | None =
     )
 
 
-def topic_records(enveloped: DataFrame) -> DataFrame:
-    """Envelopes as topic records: topic, key, JSON value."""
+def topic_records(enveloped: DataFrame, *keep: str) -> DataFrame:
+    """Envelopes as topic records: topic, key, JSON value, and the columns in ``keep``."""
     value = F.to_json(
         F.struct("schema_version", "received_at", "source_ip", "app_id", "event"),
         {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"},
     )
-    return enveloped.select("topic", "key", value.alias("value"))
+    return enveloped.select("topic", "key", value.alias("value"), *keep)
 
 
 def decode_records(records: DataFrame) -> DataFrame:

@@ -48,9 +48,13 @@ def read_topic(spark: SparkSession, path: str, topic: str) -> DataFrame:
 
 
 def stream_topic(spark: SparkSession, path: str, topic: str, max_files: int = 1000) -> DataFrame:
-    """A topic as a stream from the start; the query's checkpoint holds the position."""
-    stream = spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
-    return decode_records(stream.filter(F.col("topic") == topic))
+    """A topic as a stream from the start; the query's checkpoint holds the position.
+
+    Only the topic's own folder is listed, so ``max_files`` counts files of this topic and none that are read for nothing.
+    The pattern lets a stream start before its topic has a folder.
+    """
+    stream = spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", max_files).option("basePath", path)
+    return decode_records(stream.parquet(f"{path}/topic={topic}/*"))
 
 
 def kafka_options(servers: str, topic: str, max_offsets: int = 1_000_000) -> dict[str, str]:

@@ -250,5 +250,20 @@ def test_consumers_report_each_micro_batch(spark, landed, tmp_path):
     assert spark.read.parquet(f"{root}/stream_batches").count() == len(rows) and log.table().count() == 0
 
 
+def test_a_trigger_counts_files_of_its_own_topic(spark, tmp_path):
+    """Files of other topics take no place in a micro-batch, and a topic without a record yet is an empty stream."""
+    topics = str(tmp_path / "topics")
+    for i in range(6):
+        record = spark.createDataFrame([("s", "junk", S.TOPIC_API if i % 3 else S.TOPIC_ERRORS, f"b-{i}")], "key string, value string, topic string, batch_id string")
+        record.coalesce(1).write.partitionBy("topic", "batch_id").mode("append").parquet(topics)
+    for topic, most, batches in ((S.TOPIC_API, 2, 2), (S.TOPIC_ERRORS, 2, 1), (S.TOPIC_EVENTS, 2, 0)):
+        got = []
+        stream = stream_topic(spark, topics, topic, max_files=most)
+        take = lambda batch, _: got.append([(r.topic, r.value, r.batch_id) for r in batch.collect()])
+        stream.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / topic)).trigger(availableNow=True).start().awaitTermination()
+        assert len(got) == batches and all(r[0] == topic for rows in got for r in rows)
+        assert len({r for rows in got for r in rows}) == {S.TOPIC_API: 4, S.TOPIC_ERRORS: 2}.get(topic, 0)
+
+
 def test_kafka_reads_are_bounded():
     assert kafka_options("host:9092", S.TOPIC_API, 500)["maxOffsetsPerTrigger"] == "500"
