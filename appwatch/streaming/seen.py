@@ -74,9 +74,9 @@ def admit(rows: DataFrame, spec: TableSpec, root: str, batch: str, lateness: str
         if upto is not None:
             too_late = F.col("event_time") < as_instant(upto) - F.expr(f"interval {lateness}")
             timely, late = rows.where(~too_late), rows.where(too_late)
-    once = deduplicate(timely, spec).withColumn("key", event_key(spec)).withColumn("event_day", event_day(F.col("event_time")))
-    once = once.persist()
-    days = once.agg(F.min("event_day"), F.max("event_day")).first()
+    day = event_day(F.col("event_time"))
+    days = timely.agg(F.min(day), F.max(day)).first()
+    once = deduplicate(timely, spec).withColumn("key", event_key(spec)).withColumn("event_day", day)
     # Plain bounds, so that the days' partitions are chosen before anything is read.
     known = _read(spark, index, INDEX).where(F.col("event_day").between(F.lit(days[0]), F.lit(days[1])) & (F.col("batch_id") != batch))
     new = once.join(known.select("key", "event_day"), ["key", "event_day"], "left_anti").persist()
@@ -92,7 +92,6 @@ def admit(rows: DataFrame, spec: TableSpec, root: str, batch: str, lateness: str
     balance = reduce(DataFrame.unionByName, seen_as).groupBy("event_type").agg(*counts)
     balance = balance.withColumn("duplicate", F.col("received") - F.col("new") - F.col("late"))
     _write(balance, f"{root}/deliveries/{spec.name}", batch)
-    once.unpersist()
     return new
 
 
