@@ -291,7 +291,8 @@ def backtest(
     are merged over the minutes that the same ticks see, and only then handed to these ticks.
 
     A firing keeps its rule quiet for two windows. Each breach points at the first one after its quiet time; which breaches fire
-    is found by doubling these pointers, in as many rounds as the number of ticks has binary digits.
+    is found by doubling these pointers, in as many rounds as the number of ticks has binary digits. Rules that watch the same
+    thing and breach at the same ticks are followed once, however many they are: a watch has no more levels than ticks.
     """
     dims = _dims(apply_release)
     k = [f"k_{d}" for d in dims]
@@ -312,15 +313,30 @@ def backtest(
     additive = _window_sums(_specs(keyed, counted, k), amounts, k, step_minutes, last_tick)
     latency = _meet(_specs(keyed, [P95_METRIC], k), _latency_slots(recent, dims, exact), k)
     p95 = _p95(_at_ticks(latency, k, step_minutes, last_tick), [*k, "window_minutes", "tick"], exact).withColumn("metric_type", F.lit(P95_METRIC))
-    values = additive.unionByName(p95)
-    breaches = _meet(keyed, values, ["metric_type", *k, "window_minutes"]).filter(F.col("value") >= F.col("threshold"))
-    breaches = breaches.select("rule_id", "app_id", "tick", "value", F.floor(F.lit(2) * F.col("window_minutes") / step_minutes).alias("quiet"))
-    fired = _firing_ticks(written(breaches, "breaches"), last_tick)
-    return fired.select(
+    watch = ["metric_type", *k, "window_minutes"]
+    values = written(additive.unionByName(p95), "values")
+    levelled = _levelled(keyed, values, watch)
+    classes = levelled.select(*watch, "level").distinct().withColumn("watched", F.to_json(F.struct(*watch, "level")))
+    breaches = _meet(classes, values, watch).filter(F.col("value") >= F.col("level"))
+    breaches = breaches.withColumn("quiet", F.floor(F.lit(2) * F.col("window_minutes") / step_minutes))
+    fired = _firing_ticks(written(breaches, "breaches"), last_tick).select(*watch, "level", "tick", "value")
+    return _meet(levelled, fired, [*watch, "level"]).select(
         "rule_id", "app_id", F.timestamp_add("MINUTE", (F.col("tick") * step_minutes).cast("int"), t0).alias("fired_at"), "value"
     )
 
 
+def _levelled(keyed: DataFrame, values: DataFrame, watch: list[str]) -> DataFrame:
+    """Rules with the smallest value of what they watch that breaches them; rules that nothing breaches are left out.
+
+    A tick breaches a rule if its value is at least that one, so thresholds between two values come to the same. A
+    watch has one list of values, one per tick at most.
+    """
+    lists = written(values.groupBy(*watch).agg(F.collect_set("value").alias("levels")), "levels")
+    met = _meet(keyed.select("rule_id", "app_id", *watch, "threshold"), lists, watch)
+    level = F.array_min(F.filter("levels", lambda v: v >= F.col("threshold")))
+    return met.withColumn("level", level).where("level is not null").drop("levels", "threshold")
+
+
 def _window_sums(specs: DataFrame, amounts: DataFrame, k: list[str], step: int, last_tick: int) -> DataFrame:
     """The value of each additive spec at each tick, from running sums at both ends of its window.
 
@@ -352,23 +368,23 @@ def _at_ticks(latency: DataFrame, k: list[str], step: int, last_tick: int) -> Da
 
 
 def _firing_ticks(breaches: DataFrame, last_tick: int) -> DataFrame:
-    """The breaches that fire: a rule's first one, then each first one more than ``quiet`` ticks after a firing."""
+    """The breaches that fire: the first one of each ``watched``, then each first one more than ``quiet`` ticks after a firing."""
     kind = F.lit(0).alias("probe")
-    found = breaches.select("rule_id", F.col("tick").alias("at"), kind, F.col("tick").alias("hit"), F.lit(None).cast("long").alias("tick"))
-    probes = breaches.select("rule_id", (F.col("tick") + F.col("quiet")).alias("at"), F.lit(1).alias("probe"), F.lit(None).cast("long").alias("hit"), "tick")
+    found = breaches.select("watched", F.col("tick").alias("at"), kind, F.col("tick").alias("hit"), F.lit(None).cast("long").alias("tick"))
+    probes = breaches.select("watched", (F.col("tick") + F.col("quiet")).alias("at"), F.lit(1).alias("probe"), F.lit(None).cast("long").alias("hit"), "tick")
     # From the latest back: the breach seen last is the next one after the probe.
-    later = Window.partitionBy("rule_id").orderBy(F.col("at").desc(), F.col("probe").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("watched").orderBy(F.col("at").desc(), F.col("probe").desc()).rowsBetween(Window.unboundedPreceding, 0)
     jump = found.unionByName(probes).withColumn("next", F.min("hit").over(later)).where("probe = 1 and next is not null")
-    jumps = [written(jump.select("rule_id", "tick", "next"), "jumps")]
+    jumps = [written(jump.select("watched", "tick", "next"), "jumps")]
     while 2 ** len(jumps) <= last_tick + 1:
         a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        twice = a.join(b, (F.col("a.rule_id") == F.col("b.rule_id")) & (F.col("a.next") == F.col("b.tick")))
-        twice = written(twice.select("a.rule_id", "a.tick", "b.next"), "jumps")
+        twice = a.join(b, (F.col("a.watched") == F.col("b.watched")) & (F.col("a.next") == F.col("b.tick")))
+        twice = written(twice.select("a.watched", "a.tick", "b.next"), "jumps")
         if twice.isEmpty():
             break
         jumps.append(twice)
-    fired = breaches.groupBy("rule_id").agg(F.min("tick").alias("tick"))
+    fired = breaches.groupBy("watched").agg(F.min("tick").alias("tick"))
     for jump in reversed(jumps):
-        fired = fired.unionByName(fired.join(jump, ["rule_id", "tick"]).select("rule_id", F.col("next").alias("tick")))
+        fired = fired.unionByName(fired.join(jump, ["watched", "tick"]).select("watched", F.col("next").alias("tick")))
         fired = written(fired, "fired")
-    return breaches.join(fired, ["rule_id", "tick"]).select("rule_id", "app_id", "tick", "value")
+    return breaches.join(fired, ["watched", "tick"])

@@ -164,6 +164,27 @@ def test_backtest_replays_the_loop(spark):
     assert sorted(got[4]) == brute_backtest(p95, 5, 1)
 
 
+def test_replay_follows_a_class_of_rules_once(spark, monkeypatch):
+    """Rules with thresholds of their own fire as one by one, and what is written does not grow with their number."""
+    start = NOW - timedelta(hours=3)
+    times = [3, 4, 31, 33, 34, 36, 70, 71, 72, 73, 74, 75, 76, 77, 120, 170]
+    calls = spark.createDataFrame([("demo-app", "prod", "v1", start + timedelta(minutes=m, seconds=20), 500, 10.0) for m in times], CALL)
+    kept, write = [], alerts.written
+    monkeypatch.setattr(alerts, "written", lambda df, label: (kept.append((label, write(df, label))), kept[-1][1])[1])
+    rules = [rule(i, "failed_requests", i / 50, 5 if i % 2 else 10) for i in range(400)]
+    out = alerts.backtest(spark.createDataFrame(rules, RULE), spark.createDataFrame([], ROLL), calls, start, NOW, 1, exact=True)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.rule_id, []).append((int((r.fired_at - start).total_seconds() // 60), r.value))
+    for i in range(400):
+        window = 5 if i % 2 else 10
+        counts = {t: sum(1 for m in times if t - window <= m < t) for t in range(181)}
+        want = brute_backtest({t: c for t, c in counts.items() if c >= i / 50}, window, 1)
+        assert sorted(got.get(i, [])) == [(t, counts[t]) for t in want]
+    levels = sum(len({sum(1 for m in times if t - w <= m < t) for t in range(181)}) for w in (5, 10))
+    assert [df.count() for label, df in kept if label == "breaches"][0] <= levels * 181 < 400 * 181 / 10
+
+
 def test_feed_has_as_many_rows_as_asked_for(spark, small):
     rules, apps, firings = V.alert_rules(spark, small), V.apps(spark, small), V.alert_firings(spark, small)
     feed = alerts.firings_feed(firings, rules, apps, datetime(2024, 1, 1), NOW, limit=700).collect()
