@@ -59,7 +59,7 @@ class Params:
     longest: int = 3  # words
     top: int = 2000
     bits: int = 27  # bitmap of frequent numbers: 16 MB
-    block: int = 1 << 20  # bytes hashed at a time
+    block: int = 1 << 18  # bytes hashed at a time
     held: int = 1 << 19  # numbers a task holds before it passes them on
     fingerprint_bits: int = 64  # fewer only in tests, to force collisions
 

@@ -59,9 +59,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+# An Arrow batch lies outside the heap twice, and once more in Python: ten thousand texts are far too many.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
+    """``df.mapInArrow`` with this package at hand in the workers, by batches of 4 MB unless the session says otherwise."""
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH_BYTES, None) is None:
+        df.sparkSession.conf.set(BATCH_BYTES, "4m")
     return df.mapInArrow(run, schema)
 
 
