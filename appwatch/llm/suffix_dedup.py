@@ -10,14 +10,14 @@ among the stretches around equal anchors alone:
 1. Documents are copied to the shared folder in groups of bounded size. Per group and range of hashes,
    the anchors' hashes are sent on in packed form; hashes that occur in two documents come back to the
    groups that have them, as files that the group's reader opens.
-2. Each group sends the distinct stretches around such anchors, with its smallest and largest id.
+2. Each group sends the distinct stretches around such anchors, with its smallest and largest id, as one compressed row for each range of hashes.
 3. Stretches of one anchor hash meet, trimmed to what may be equal. Where they still differ, a suffix
    array (Lyndon grouping) of them brings equal windows together; each window learns the smallest id that has it. That goes back by group.
 4. Each document marks the windows whose smallest id is below its own, and drops what they cover.
 
-No text is shuffled whole, copies within a group meet as one, and a common stretch is one row per
-group. An anchor hash with more than ``most`` different stretches is split by window: its windows are
-aggregated by content with Spark, which no single task needs to hold.
+No text is shuffled whole, copies within a group meet as one, and a common stretch is sent once per
+group. An anchor hash that occurs more than ``most`` times is split by window: each of its windows is a stretch of its own,
+under a hash of its content, so that no single task needs to hold them all.
 
 Cases: null texts are empty; texts shorter than ``length`` lose nothing. Rows without an id lose nothing
 and count for nothing. Rows of equal id do not remove each other's bytes, as neither id is smaller. An
@@ -27,6 +27,7 @@ empty table gives an empty result. Other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -219,11 +220,25 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(steps)
 
 
-SENT = "bucket int, part long, hashes binary, twice binary"
+def squeezed(*columns: np.ndarray, tail: bytes = b"") -> bytes:
+    """Whole numbers in columns of equal length and a string, as one compressed string."""
+    planes = [c.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]  # bytes of one place together
+    raw = b"".join([*planes, tail])
+    return np.array([len(columns), len(columns[0]), len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(packed: bytes) -> tuple[list[np.ndarray], bytes]:
+    k, n, size = np.frombuffer(packed[:24], "<i8").tolist()
+    raw = pa.decompress(packed[24:], size, codec="zstd", asbytes=True)
+    planes = np.frombuffer(raw, np.uint8, count=8 * k * n).reshape(k, 8, n)
+    return [np.ascontiguousarray(x.T).view("<i8").reshape(n) for x in planes], raw[8 * k * n :]
+
+
+SENT = "bucket int, part long, hashes binary, twice binary, counts binary"
 
 
 def _send_hashes(copy: DataFrame, bits: int, params: Params) -> DataFrame:
-    """Per group and range: ascending anchor hashes, and marks for those in two documents of the group."""
+    """Per group and range: ascending anchor hashes, marks for those in two documents of the group, and how often each occurs."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for part, slices in _by_group(_slices(batches)):
@@ -231,37 +246,49 @@ def _send_hashes(copy: DataFrame, bits: int, params: Params) -> DataFrame:
             for ids, raws in slices:
                 _, data, ends = _known(ids, raws)
                 hashes, _, _, docs, _ = anchors(data, ends, params)
-                pairs = np.unique(hashes << SLICE_BITS | docs)  # once per document
-                found.append(pairs >> SLICE_BITS)
-            every, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+                pairs, times = np.unique(hashes << SLICE_BITS | docs, return_counts=True)  # once per document
+                found.append((pairs >> SLICE_BITS, times))
+            hashes, occurs = (np.concatenate(x) for x in zip(*found))
+            if not len(hashes):
+                continue
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            first = np.flatnonzero(np.diff(hashes, prepend=-1))
+            every, times, occurs = hashes[first], np.diff(first, append=len(hashes)), np.add.reduceat(occurs[order], first)
             cuts = np.searchsorted(every, np.arange(1 << bits) << (HASH_BITS - bits))
             for bucket, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(every)])):
                 if b > a:
                     rest = every[a:b] - (bucket << (HASH_BITS - bits))
                     packed = pack(rest)
-                    yield common.to_batch(
-                        {"bucket": [bucket], "part": [part], "hashes": [packed], "twice": [np.packbits(times[a:b] > 1).tobytes()]}, SENT
-                    )
+                    twice, counts = np.packbits(times[a:b] > 1).tobytes(), squeezed(occurs[a:b])
+                    yield common.to_batch({"bucket": [bucket], "part": [part], "hashes": [packed], "twice": [twice], "counts": [counts]}, SENT)
 
     return common.map_arrow(copy.select("part", "doc_id", "raw"), run, SENT)
 
 
-SHARED = "part long, hashes binary"
+SHARED = "part long, hashes binary, hot binary"
 
 
-def _shared_hashes(sent: DataFrame, bits: int) -> DataFrame:
-    """Per group: the hashes it has that occur in two documents anywhere."""
+def _shared_hashes(sent: DataFrame, bits: int, params: Params) -> DataFrame:
+    """Per group: the hashes it has that occur in two documents anywhere, and those of them that occur more than ``most`` times."""
 
     def close(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        arrays = [unpack(h) for _, h, _ in rows]
-        marked = [a[np.unpackbits(np.frombuffer(t, np.uint8), count=len(a)).astype(bool)] for a, (_, _, t) in zip(arrays, rows)]
+        arrays = [unpack(h) for _, h, _, _ in rows]
+        marked = [a[np.unpackbits(np.frombuffer(t, np.uint8), count=len(a)).astype(bool)] for a, (_, _, t, _) in zip(arrays, rows)]
         every, times = np.unique(np.concatenate([*arrays, *marked]), return_counts=True)
         shared = every[times > 1]
-        for (part, _, _), own in zip(rows, arrays):
-            hit = own[np.isin(own, shared, assume_unique=True)]
+        occurs = np.zeros(len(shared), np.int64)
+        hits = []
+        for own, (_, _, _, counts) in zip(arrays, rows):
+            hit = np.isin(own, shared, assume_unique=True)
+            hits.append(own[hit])
+            occurs[np.searchsorted(shared, hits[-1])] += unsqueezed(counts)[0][0][hit]
+        hot = shared[occurs > params.most]
+        start = bucket << (HASH_BITS - bits)
+        for (part, *_), hit in zip(rows, hits):
             if len(hit):
-                hashes = hit + (bucket << (HASH_BITS - bits))
-                yield common.to_batch({"part": [part], "hashes": [hashes.tobytes()]}, SHARED)
+                own = hit[np.isin(hit, hot, assume_unique=True)]
+                yield common.to_batch({"part": [part], "hashes": [(hit + start).tobytes()], "hot": [(own + start).tobytes()]}, SHARED)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -276,53 +303,99 @@ def _shared_hashes(sent: DataFrame, bits: int) -> DataFrame:
             yield from close(at, rows)
 
     ordered = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return common.map_arrow(ordered.select("bucket", "part", "hashes", "twice"), run, SHARED)
+    return common.map_arrow(ordered.select("bucket", "part", "hashes", "twice", "counts"), run, SHARED)
 
 
-STRETCHES = "hash long, place int, stretch binary, part long, low long, high long"
+def _wanted(shared_path: str, part: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The shared and the hot hashes of a group, ascending."""
+    table = _side_table(shared_path, part)
+    if table is None:
+        return None
+    return tuple(np.sort(np.concatenate([np.frombuffer(h, np.int64) for h in table.column(c).to_pylist()])) for c in ("hashes", "hot"))
 
 
-def _stretches(copy: DataFrame, shared_path: str, params: Params) -> DataFrame:
-    """Distinct stretches around shared anchors in each group, with the group's smallest and largest id."""
+def code_of(stretch: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(stretch) - (1 << 63)
+
+
+def _occurrences(data: bytes, ends: np.ndarray, wanted: tuple[np.ndarray, np.ndarray], params: Params) -> tuple[np.ndarray, ...]:
+    """Hash, start, end, document number and anchor's place in it of each stretch around a shared anchor.
+
+    Around a hot anchor each window is a stretch, with a hash and a place that its content gives: equal windows stay together.
+    """
+    hashes, first, last, docs, place = anchors(data, ends, params)
+    hit = _places(hashes, wanted[0])
+    hashes, first, last, docs, place = (x[hit] for x in (hashes, first, last, docs, place))
+    cold = (hashes, first, last + params.length, docs, place - first)
+    if not len(wanted[1]):
+        return cold
+    at = _places(hashes, wanted[1])
+    of = np.repeat(at, last[at] - first[at] + 1)
+    starts = first[of] + np.arange(len(of)) - np.searchsorted(of, of)
+    mask = (1 << HASH_BITS) - 1
+    keys = np.array([code_of(data[x : x + params.length]) & mask for x in starts.tolist()], np.int64)
+    windows = (keys, starts, starts + params.length, docs[of], np.zeros(len(of), np.int64))
+    return tuple(np.concatenate([np.delete(x, at), y]) for x, y in zip(cold, windows))
+
+
+def _numbers() -> defaultdict:
+    """Numbers strings in the order in which they are first looked up."""
+    found: defaultdict[bytes, int] = defaultdict()
+    found.default_factory = found.__len__
+    return found
+
+
+STRETCHES = "bucket int, part long, packed binary"
+
+
+def _stretches(copy: DataFrame, shared_path: str, bits: int, params: Params) -> DataFrame:
+    """Distinct stretches around shared anchors in each group, with the group's smallest and largest id, by ranges of hashes.
+
+    The bytes of a stretch give its anchor, and so its hash and place.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for part, slices in _by_group(_slices(batches)):
-            table = _side_table(shared_path, part)
-            if table is None:
+            wanted = _wanted(shared_path, part)
+            if wanted is None:
                 for _ in slices:
                     pass
                 continue
-            shared = np.sort(np.concatenate([np.frombuffer(h, np.int64) for h in table.column("hashes").to_pylist()]))
-            found: dict[tuple[int, int, bytes], list[int]] = {}
+            number, new, seen = _numbers(), [], []
             for ids, raws in slices:
                 ids, data, ends = _known(ids, raws)
-                hashes, first, last, docs, place = anchors(data, ends, params)
-                hit = _places(hashes, shared)
-                columns = hashes[hit], first[hit], last[hit] + params.length, docs[hit], place[hit] - first[hit]
-                for h, a, b, d, at in zip(*(c.tolist() for c in columns)):
-                    doc_id, key = ids[d], (h, at, data[a:b])
-                    own = found.get(key)
-                    if own is None:
-                        found[key] = [doc_id, doc_id]
-                    elif doc_id < own[0]:
-                        own[0] = doc_id
-                    elif doc_id > own[1]:
-                        own[1] = doc_id
-            keys = list(found)
-            for i in range(0, len(keys), 20_000):
-                own = keys[i : i + 20_000]
-                out = {"hash": [k[0] for k in own], "place": [k[1] for k in own], "stretch": [k[2] for k in own], "part": [part] * len(own)}
-                out |= {"low": [found[k][0] for k in own], "high": [found[k][1] for k in own]}
-                yield common.to_batch(out, STRETCHES)
+                hashes, first, stop, docs, place = _occurrences(data, ends, wanted, params)
+                before = len(number)
+                which = np.array([number[data[a:b]] for a, b in zip(first.tolist(), stop.tolist())], np.int64)
+                each, at = np.unique(which, return_index=True)
+                at = at[each >= before]
+                new.append((hashes[at], place[at], stop[at] - first[at]))
+                seen.append((which, np.array(ids, np.int64)[docs]))
+            if not number:
+                continue
+            hashes, place, sizes = (np.concatenate(x) for x in zip(*new))
+            which, owners = (np.concatenate(x) for x in zip(*seen))
+            low, high = _extremes(which, owners, len(number))
+            texts = list(number)
+            order = np.argsort(hashes)
+            cuts = np.searchsorted(hashes[order], np.arange((1 << bits) + 1) << (HASH_BITS - bits))
+            for bucket, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if b > a:
+                    own = order[a:b]
+                    tail = b"".join([texts[i] for i in own.tolist()])
+                    packed = squeezed(np.diff(hashes[own], prepend=0), place[own], sizes[own], low[own], high[own] - low[own], tail=tail)
+                    yield common.to_batch({"bucket": [bucket], "part": [part], "packed": [packed]}, STRETCHES)
 
     return common.map_arrow(copy.select("part", "doc_id", "raw"), run, STRETCHES)
 
 
-FOUND = "part long, hash long, code long, first int, windows int, low long"
-
-
-def code_of(stretch: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(stretch) - (1 << 63)
+def _extremes(which: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest value of each of ``n`` numbers, all of which occur."""
+    limits = np.iinfo(np.int64)
+    low, high = np.full(n, limits.max), np.full(n, limits.min)
+    np.minimum.at(low, which, values)
+    np.maximum.at(high, which, values)
+    return low, high
 
 
 def least_ids(stretches: list[bytes], lows: list[int], length: int) -> list[np.ndarray]:
@@ -377,104 +450,119 @@ def trimmed(stretches: list[tuple[int, bytes]], length: int) -> list[tuple[int,
     return [(a, b) if b - a >= length else (a, a) for a, b in spans]
 
 
-def _resolve(stretches: DataFrame, params: Params) -> DataFrame:
-    """Runs of windows with the smallest id that has them, for each group that has a larger id with them.
+Run = tuple[int, int, int, int]
 
-    Stretches of one anchor hash are trimmed to what may repeat, which makes most of them equal. Those
-    that still differ go into a suffix array together with those of other anchors.
+
+def _runs(stretches: list[tuple[int, bytes]], lows: list[int], groups: list[list[int]], params: Params) -> Iterator[Run]:
+    """Runs of windows of stretches (place, bytes): number of the stretch, first window, windows, smallest id that has them.
+
+    ``groups`` are the stretches of one anchor hash each. They are trimmed to what may repeat, which makes most of
+    them equal. Those that still differ go into a suffix array together with those of other anchors.
     """
+    differ: dict[tuple[int, bytes], int] = {}
+    waiting: list[tuple[int, int, tuple[int, bytes]]] = []
+
+    def settle() -> Iterator[Run]:
+        found = dict(zip(differ, least_ids([k[1] for k in differ], list(differ.values()), params.length))) if differ else {}
+        for i, start, key in waiting:
+            values = found[key]
+            cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+            yield from ((i, start + x, y - x, int(values[x])) for x, y in zip(cuts, cuts[1:]))
+
+    size = 0
+    for no, group in enumerate(groups):
+        spans = trimmed([stretches[i] for i in group], params.length)
+        texts = {stretches[i][1][a:b] for i, (a, b) in zip(group, spans) if a < b}
+        shared = min((lows[i] for i, (a, b) in zip(group, spans) if a < b), default=0)
+        for i, (a, b) in zip(group, spans):
+            stretch, low = stretches[i][1], lows[i]
+            n = len(stretch) - params.length + 1
+            if a == b:
+                yield i, 0, n, low
+                continue
+            m = b - a - params.length + 1
+            yield i, 0, a, low
+            yield i, a + m, n - a - m, low
+            if len(texts) == 1:
+                yield i, a, m, shared
+            else:
+                key = (no, stretch[a:b])
+                size += 0 if key in differ else b - a
+                differ[key] = min(differ.get(key, low), low)
+                waiting.append((i, a, key))
+        if size >= params.array_bytes or len(waiting) >= 20_000:
+            yield from settle()
+            differ.clear()
+            waiting.clear()
+            size = 0
+    yield from settle()
+
+
+FOUND = "part long, packed binary"
 
-    def settle(held: list[dict], texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        """``held``: per anchor hash, (place, stretch) -> [smallest id, [(group, largest id)], start, end]."""
-        differ: dict[tuple[int, bytes], int] = {}
-        for i, own in enumerate(held):
-            if len(texts[i]) > 1:
-                for (_, stretch), (low, _, a, b) in own.items():
-                    if a < b:
-                        key = (i, stretch[a:b])
-                        differ[key] = min(differ.get(key, low), low)
-        keys = list(differ)
-        found = dict(zip(keys, least_ids([k[1] for k in keys], [differ[k] for k in keys], params.length))) if keys else {}
-        rows: list[tuple] = []
-        for i, own in enumerate(held):
-            shared = min((v[0] for v in own.values() if v[2] < v[3]), default=0)
-            for (_, stretch), (low, parts, a, b) in own.items():
-                n = len(stretch) - params.length + 1
-                runs = [(0, n, low)]
-                if a < b:
-                    m = b - a - params.length + 1
-                    if len(texts[i]) > 1:
-                        values = found[(i, stretch[a:b])]
-                        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), m]
-                        inner = [(x, y - x, int(values[x])) for x, y in zip(cuts, cuts[1:])]
-                    else:
-                        inner = [(0, m, shared)]
-                    runs = [(0, a, low), *((a + x, size, v) for x, size, v in inner), (a + m, n - a - m, low)]
-                code = code_of(stretch)
-                for part, high, h in parts:
-                    rows += [(part, h, code, x, size, v) for x, size, v in runs if size and v < high]
-        names = [f.split()[0] for f in FOUND.split(",")]
-        for i in range(0, len(rows), 50_000):
-            yield common.to_batch(dict(zip(names, map(list, zip(*rows[i : i + 50_000])))), FOUND)
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        texts: list[list[bytes]] = []
-        at, size, count = None, 0, 0
-
-        def close() -> None:
-            """Trim the stretches of the hash that is complete."""
-            nonlocal size, count
-            own = held[-1]
-            keys = list(own)
-            spans = trimmed(keys, params.length) if len(keys) > 1 else [(0, 0)]
-            for key, span in zip(keys, spans):
-                own[key] += span
-            texts.append(list({k[1][a:b] for k, (a, b) in zip(keys, spans) if a < b}))
-            if len(texts[-1]) > 1:
-                size += sum(map(len, texts[-1]))
-            count += len(keys)
-
-        for batch in common.slices(batches, 4096):
-            for h, place, stretch, part, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-                if h != at:
-                    if held:
-                        close()
-                        if size >= params.array_bytes or count >= 20_000:
-                            yield from settle(held, texts)
-                            held, texts, size, count = [], [], 0, 0
-                    held.append({})
-                    at = h
-                entry = held[-1].get((place, stretch))
-                if entry is None:
-                    held[-1][(place, stretch)] = [low, [(part, high, h)]]
-                else:
-                    entry[0] = min(entry[0], low)
-                    entry[1].append((part, high, h))
-        if held:
-            close()
-            yield from settle(held, texts)
-
-    ordered = stretches.repartition("hash").sortWithinPartitions("hash")
-    return common.map_arrow(ordered.select("hash", "place", "stretch", "part", "low", "high"), run, FOUND)
-
-
-def _resolve_hot(stretches: DataFrame, params: Params) -> DataFrame:
-    """The same for anchors with very many stretches: Spark aggregates their windows by content."""
-    n = F.octet_length("stretch") - params.length + 1
-    windows = stretches.select(
-        "hash", "stretch", "part", "low", "high", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("first")
-    ).withColumn("window", F.col("stretch").substr(F.col("first") + 1, F.lit(params.length)))
-    least = windows.groupBy("hash", "window").agg(F.min("low").alias("least"))
+def _resolve(stretches: DataFrame, params: Params) -> DataFrame:
+    """Runs of windows with the smallest id that has them, for each group that has a larger id with them."""
+
+    def close(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        number, columns, which = _numbers(), [], []
+        for _, packed in rows:
+            (steps, place, sizes, low, above), tail = unsqueezed(packed)
+            ends = np.cumsum(sizes).tolist()
+            which.append(np.array([number[tail[a:b]] for a, b in zip([0, *ends], ends)], np.int64))
+            columns.append((np.cumsum(steps), place, sizes, low, low + above))
+        parts = np.repeat(np.arange(len(rows)), [len(w) for w in which])
+        which = np.concatenate(which)
+        hashes, place, sizes, low, high = (np.concatenate(x) for x in zip(*columns))
+        each, at = np.unique(which, return_index=True)  # all numbers, so each is its own place
+        hashes, place, sizes = hashes[at], place[at], sizes[at]
+        lows, _ = _extremes(which, low, len(each))
+        # Stretches that are the only one of their hash have one id for all windows. The others go on by hash.
+        order = np.argsort(hashes, kind="stable")
+        first = np.flatnonzero(np.diff(hashes[order], prepend=-1))
+        ends = np.append(first[1:], len(order))
+        alone = order[first[ends - first == 1]]
+        groups = [order[a:b].tolist() for a, b in zip(first.tolist(), ends.tolist()) if b - a > 1]
+        texts = list(number)
+        made = list(_runs(list(zip(place.tolist(), texts)), lows.tolist(), groups, params))
+        runs = np.array(made, np.int64).reshape(-1, 4)
+        runs = np.concatenate([np.stack([alone, np.zeros_like(alone), sizes[alone] - params.length + 1, lows[alone]], axis=1), runs])
+        runs = runs[runs[:, 2] > 0]
+        of, start, windows, least = runs[np.argsort(runs[:, 0], kind="stable")].T
+        hit, run = _matches(which, of)
+        keep = least[run] < high[hit]
+        hit, run = hit[keep], run[keep]
+        used = np.unique(of[run])
+        codes = np.zeros(len(texts), np.int64)
+        codes[used] = [code_of(texts[i]) for i in used.tolist()]
+        cuts = np.searchsorted(parts[hit], np.arange(len(rows) + 1))
+        for (part, _), a, b in zip(rows, cuts, cuts[1:]):
+            if b > a:
+                own = run[a:b]
+                yield common.to_batch({"part": [part], "packed": [squeezed(codes[of[own]], start[own], windows[own], least[own])]}, FOUND)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, 4096):
-            part, h, stretch, first, low = (c.to_pylist() for c in batch.columns)
-            out = {"part": part, "hash": h, "code": [code_of(s) for s in stretch], "first": first, "windows": [1] * len(h), "low": low}
-            yield common.to_batch(out, FOUND)
+        at, rows = None, []
+        for batch in common.slices(batches, 16):
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at and rows:
+                    yield from close(rows)
+                    rows = []
+                at = bucket
+                rows.append(tuple(row))
+        if rows:
+            yield from close(rows)
+
+    ordered = stretches.repartition("bucket").sortWithinPartitions("bucket")
+    return common.map_arrow(ordered.select("bucket", "part", "packed"), run, FOUND)
+
 
-    met = windows.join(least, ["hash", "window"]).where("least < high")
-    return common.map_arrow(met.select("part", "hash", "stretch", "first", "least"), run, FOUND)
+def _matches(left: np.ndarray, ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places that have equal values, in the order of the left side."""
+    start = np.searchsorted(ascending, left, "left")
+    n = np.searchsorted(ascending, left, "right") - start
+    at = np.repeat(np.arange(len(left)), n)
+    return at, start[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
 
 
 KINDS = {
@@ -489,7 +577,7 @@ KINDS = {
 }
 
 
-def _remove(copy: DataFrame, found_path: str, params: Params, outputs: list[str]) -> DataFrame:
+def _remove(copy: DataFrame, shared_path: str, found_path: str, params: Params, outputs: list[str]) -> DataFrame:
     """The result row of each document: which runs of bytes go, and what is left."""
     fields = [T.StructField(o, KINDS[o]) for o in outputs if o != "rest"]
     schema = T.StructType([*fields, *(copy.schema[o] for o in outputs if o == "rest")])
@@ -497,24 +585,24 @@ def _remove(copy: DataFrame, found_path: str, params: Params, outputs: list[str]
     def run(batches) -> Iterator[pa.RecordBatch]:
         for part, slices in _by_group(_slices(batches)):
             table = _side_table(found_path, part)
-            runs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-            if table is not None:
-                columns = (table.column(c).to_pylist() for c in ("hash", "code", "first", "windows", "low"))
-                for h, code, first, n, low in zip(*columns):
-                    runs.setdefault((h, code), []).append((first, n, low))
-            hashes_hit = np.unique(np.array([h for h, _ in runs], np.int64))
+            wanted = _wanted(shared_path, part) if table is not None else None
+            if wanted is not None:
+                columns = [unsqueezed(p)[0] for p in table.column("packed").to_pylist()]
+                codes, start, windows, low = (np.concatenate(x) for x in zip(*columns))
+                order = np.argsort(codes)
+                codes, start, windows, low = codes[order], start[order], windows[order], low[order]
             for ids, raws, *rest in slices:
                 known, data, ends = _known(ids, raws)
                 gone = np.zeros(len(data) + 1, np.int32)
-                if len(hashes_hit):
-                    hashes, first, last, docs, _ = anchors(data, ends, params)
-                    hit = _places(hashes, hashes_hit)
-                    rows = zip(hashes[hit].tolist(), first[hit].tolist(), (last[hit] + params.length).tolist(), docs[hit].tolist())
-                    for h, a, b, d in rows:
-                        for off, n, low in runs.get((h, code_of(data[a:b])), ()):
-                            if low < known[d]:
-                                gone[a + off] += 1
-                                gone[a + off + n - 1 + params.length] -= 1
+                if wanted is not None:
+                    _, first, stop, docs, _ = _occurrences(data, ends, wanted, params)
+                    own = np.array([code_of(data[a:b]) for a, b in zip(first.tolist(), stop.tolist())], np.int64)
+                    hit, found = _matches(own, codes)
+                    keep = low[found] < np.array(known, np.int64)[docs[hit]]
+                    hit, found = hit[keep], found[keep]
+                    begin = first[hit] + start[found]
+                    np.add.at(gone, begin, 1)
+                    np.add.at(gone, begin + windows[found] - 1 + params.length, -1)
                 covered = np.cumsum(gone)[:-1] > 0
                 columns = _rows(ids, raws, covered, [f.name for f in fields])
                 if rest:
@@ -544,22 +632,13 @@ def _rows(ids: list, raws: list[bytes], covered: np.ndarray, outputs: list[str])
     return out
 
 
-def _found(copy: DataFrame, params: Params) -> str:
-    """Where the runs of repeated windows are written, by group."""
+def _found(copy: DataFrame, params: Params) -> tuple[str, str]:
+    """Where the shared hashes and the runs of repeated windows are written, by group."""
     total = copy.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     per_range = params.range_anchors * (params.length - params.gram + 2) / 2
     bits = min(24, max(0, int(np.ceil(np.log2(max(total / per_range, 1))))))
-    shared = _store_by_group(_shared_hashes(_send_hashes(copy, bits, params), bits), "shared")
-    stretches = stored(_stretches(copy, shared, params), "stretches")
-    # Anchors with very many different stretches; what is counted is combined before the shuffle.
-    hot = stretches.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > params.most).select("hash")
-    hot = stored(hot, "hot")
-    if hot.isEmpty():
-        found = _resolve(stretches, params)
-    else:
-        found = _resolve(stretches.join(hot, "hash", "left_anti"), params)
-        found = found.unionByName(_resolve_hot(stretches.join(hot, "hash", "left_semi"), params))
-    return _store_by_group(found, "found")
+    shared = _store_by_group(_shared_hashes(_send_hashes(copy, bits, params), bits, params), "shared")
+    return shared, _store_by_group(_resolve(_stretches(copy, shared, bits, params), params), "found")
 
 
 def remove_repeats(
@@ -571,7 +650,7 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per document with the chosen columns of ``KINDS``; ``starts`` and ``ends`` are byte spans."""
     copy = grouped(docs, params, id_col, text_col)
-    return _remove(copy, _found(copy, params), params, list(outputs))
+    return _remove(copy, *_found(copy, params), params, list(outputs))
 
 
 def cut_repeats(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -580,7 +659,7 @@ def cut_repeats(docs: DataFrame, params: Params = Params(), id_col: str = "doc_i
     Where a cut splits a character, its other bytes go too. Null and empty texts stay as they are.
     """
     copy = grouped(docs, params, id_col, text_col, carry=True)
-    cut = _remove(copy, _found(copy, params), params, ["n_removed", "kept", "rest"])
+    cut = _remove(copy, *_found(copy, params), params, ["n_removed", "kept", "rest"])
     cut = cut.where((F.col("n_removed") == 0) | (F.col("kept") != ""))
     text = F.when(~F.col("rest.text_is_null"), F.col("kept"))
     return cut.select(*[(text.alias(c) if c == text_col else F.col("rest").getField(c).alias(c)) for c in docs.columns])

@@ -7,6 +7,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
+from appwatch.llm import suffix_dedup as S
 from appwatch.llm.suffix_dedup import Params, cut_repeats, remove_repeats
 from appwatch.llm.suffixes import suffix_array
 
@@ -98,3 +99,40 @@ def test_very_many_empty_texts_do_not_hide_a_repeat(spark):
     docs = empties.union(spark.createDataFrame([(2_000_000, text), (2_000_001, text)], "doc_id long, text string")).coalesce(1)
     found = remove_repeats(docs, outputs=("doc_id", "n_bytes", "n_removed")).where("n_bytes > 0")
     assert sorted(tuple(r) for r in found.collect()) == [(2_000_000, len(text), 0), (2_000_001, len(text), len(text))]
+
+
+def test_packed_columns_come_back():
+    ends = np.array([-(1 << 63), (1 << 63) - 1, 0, -1, 1 << 40])
+    columns, tail = S.unsqueezed(S.squeezed(ends, np.arange(5), tail=b"tail"))
+    assert [c.tolist() for c in columns] == [ends.tolist(), [0, 1, 2, 3, 4]] and tail == b"tail"
+    assert S.unsqueezed(S.squeezed(ends[:0]))[0][0].tolist() == []
+
+
+def test_stretches_travel_as_one_row_for_a_group_and_range(spark):
+    """Before, each stretch was a row, which was written, counted and shuffled."""
+    df = spark.createDataFrame(corpus(4), "doc_id long, text string").repartition(2)
+    params, bits = replace(SMALL, group_bytes=5000), 2
+    copy = S.grouped(df, params, "doc_id", "text")
+    shared = S._store_by_group(S._shared_hashes(S._send_hashes(copy, bits, params), bits, params), "shared")
+    sent = S._stretches(copy, shared, bits, params).collect()
+    assert len({(r.bucket, r.part) for r in sent}) == len(sent)
+    stretches = [len(S.unsqueezed(r.packed)[0][0]) for r in sent]
+    assert sum(stretches) > 10 * len(sent) > 0
+
+
+def test_ids_at_the_ends_of_their_range(spark):
+    text = " ".join(str(i * i) for i in range(60))
+    rows = [((1 << 63) - 1, text), (-(1 << 63), "x" + text), (0, text + "y")]
+    assert result(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == spans(rows)
+
+
+def test_hot_windows_beside_cold_stretches(spark):
+    """One line in every text with other words around it is hot; passages that few texts have are not."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line, passage = "one very common line of forty odd signs", " ".join(word() for _ in range(20))
+    rows = [(i, " ".join([word(), word(), rng.choice([line, line + " and more of it, twice as long"]), word(), word(), passage if i % 9 == 0 else word()])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = spans(rows)
+    assert sum(w[2] > 0 for w in want) > 20
+    assert result(remove_repeats(df, replace(SMALL, most=12))) == want
