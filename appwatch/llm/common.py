@@ -140,6 +140,27 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], parts: int = 1
     return spread.unionByName(marked.where("_hot is null").drop("_hot").join(right, on, "left"))
 
 
+def marked(df: DataFrame, key: list[Column], keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name``: false where ``key`` is certainly no row of ``keys``, which has columns of the same kinds.
+
+    The keys are a broadcast bitmap of at most 16 MB, with 32 bits for each key as long as that lasts. Rows with wide columns
+    that the bitmap rules out need not be shuffled for a join with ``keys``; what it lets pass by chance has to be joined.
+    """
+    bits = min(27, max(15, (32 * keys.count()).bit_length()))
+    place, bucket, bitmap = (free_name(df, n) for n in ("key_place", "key_bucket", "key_bitmap"))
+
+    def placed(columns: list[Column]) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(*columns), 64 - bits) + 1
+
+    held = keys.select(placed([F.col(c) for c in keys.columns]).alias(place)).withColumn(bucket, F.bitmap_bucket_number(place))
+    held = held.repartition(bucket).groupBy(bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(bitmap))
+    joined = df.withColumn(place, placed(key)).join(F.broadcast(held), F.bitmap_bucket_number(place) == F.col(bucket), "left")
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return joined.withColumn(name, hit).drop(place, bucket, bitmap)
+
+
 def side_table(path: str, columns: list[str]) -> pa.Table:
     """A small table that Spark wrote to shared storage, read inside a task. Its size must have a bound of its own."""
     store, inner = fs.FileSystem.from_uri(path)

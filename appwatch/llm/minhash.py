@@ -344,8 +344,9 @@ def grouped(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id",
     marked = stored(classes.join(near, "node", "left_semi").select("node", "n_shingles", "sketch", "fine"), "members")
     text = common.field(docs, text_col, "string")
     texts = docs.select(common.field(docs, id_col, "long").alias("rep"), text.alias("text"), text_key(text).alias("text_key"))
-    wanted = classes.join(near, "node", "left_semi").select("node", "rep", "text_key")
-    # Repeated rows give their text once.
+    wanted = stored(classes.join(near, "node", "left_semi").select("node", "rep", "text_key"), "wanted")
+    # Texts that meet no other stay where they are. Repeated rows give their text once.
+    texts = common.marked(texts, [F.col("rep"), F.col("text_key")], wanted.select("rep", "text_key"), "maybe").where("maybe").drop("maybe")
     texts = stored(texts.join(wanted, ["rep", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     labels = marked.select("node", F.col("node").alias("component"))

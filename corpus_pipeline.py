@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by id and text, so a unique text stays whatever other rows repeat its id. Of rows that repeat an id
     within a group, and of rows that repeat id and text, one stays: that of the smallest text key, and the least
-    of the whole rows. Only the keys that go meet the documents, so texts are shuffled only if these are many.
+    of the whole rows. Only documents whose key may go, by a bitmap of the keys, are shuffled to meet the keys.
     """
     found = stored(minhash.grouped(docs), "pipeline-groups")
     linked = found.where("linkable")
@@ -39,13 +39,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("group_id"), F.col("text_key").alias("group_key")).agg(F.count(F.lit(1)).alias("n"))
     again = again.where("n > 1").drop("n").join(gone, ["group_id", "group_key"], "left_anti")
 
-    def same(side: DataFrame):
-        return (docs["doc_id"] == side["group_id"]) & (minhash.text_key(docs["text"]) == side["group_key"])
-
     gone, again = stored(gone, "pipeline-gone"), stored(again, "pipeline-again")
     touched = gone.unionByName(again)
-    single = docs.join(touched, same(touched), "left_anti")
-    once = docs.join(again, same(again)).groupBy("group_id", "group_key").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    maybe = common.free_name(docs, "maybe")
+    parted = common.marked(docs, [F.col("doc_id").cast("long"), minhash.text_key(F.col("text"))], touched, maybe)
+    few = parted.where(F.col(maybe)).drop(maybe)
+
+    def same(side: DataFrame):
+        return (few["doc_id"] == side["group_id"]) & (minhash.text_key(few["text"]) == side["group_key"])
+
+    single = parted.where(~F.col(maybe)).drop(maybe).unionByName(few.join(touched, same(touched), "left_anti"))
+    once = few.join(again, same(again)).groupBy("group_id", "group_key").agg(F.min(F.struct(*[few[c] for c in docs.columns])).alias("row"))
     return single.unionByName(once.select("row.*"))
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from appwatch.llm import common
 
@@ -25,3 +26,13 @@ def test_a_batch_size_set_by_the_user_stays(spark):
         assert spark.conf.get(common.BATCH_BYTES) == "1m"
     finally:
         spark.conf.unset(common.BATCH_BYTES) if before is None else spark.conf.set(common.BATCH_BYTES, before)
+
+
+def test_marks_miss_no_key_and_few_others(spark):
+    rows = spark.range(20_000).selectExpr("id as a", "if(id % 3 = 0, null, id * 7) as b", "id as key_place")
+    keys = rows.where("a % 50 = 0").select("a", "b")
+    found = {r.a for r in common.marked(rows, [F.col("a"), F.col("b")], keys, "maybe").where("maybe").collect()}
+    assert found >= set(range(0, 20_000, 50)) and len(found) < 400 + 1500
+    left = common.marked(rows, [F.col("a"), F.col("b")], keys, "maybe")
+    assert left.columns == [*rows.columns, "maybe"] and left.count() == 20_000
+    assert not common.marked(rows, [F.col("a"), F.col("b")], keys.where("false"), "maybe").where("maybe").count()

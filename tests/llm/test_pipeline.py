@@ -87,6 +87,32 @@ def test_repeated_ids_lose_no_unique_text(spark):
     assert [g for g in got if g[0] != 6] == sorted([(1, base, "a"), (5, unique, "a"), (7, twice, "a"), (8, None, "a"), (None, base, "a")], key=str)
 
 
+def test_documents_that_stay_are_not_shuffled(spark, stages):
+    """Where the keys that go are too many to be broadcast, the texts of all others stay in their tasks."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.near_duplicates(spark, stages[1], "unused")
+        assert sorted(rows(kept)) == sorted(rows(stages[2]))
+        shuffled = []
+        plan = kept._jdf.queryExecution().executedPlan()
+        plan.execute().count()
+        todo = [plan.finalPhysicalPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "Exchange" and "text" in [a.name() for a in _each(node.output())]:
+                shuffled.append(node.metrics().apply("shuffleRecordsWritten").value())
+            todo += [node.plan()] if "QueryStage" in node.nodeName() else list(_each(node.children()))
+        before, after = stages[1].count(), kept.count()
+        assert shuffled and max(shuffled) <= before - after + before // 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def _each(of):
+    return [of.apply(i) for i in range(of.size())]
+
+
 def test_run_equals_the_stages(spark, small):
     """The whole pipeline over whole texts, long ones included, against the stages' brute force."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
