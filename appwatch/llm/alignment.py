@@ -12,7 +12,8 @@ encoded by different tasks and composed in a tree, ``fan_in`` at a time, by shuf
 
 Tokens do not cross a single space between two other characters, whichever tokenizer: the range's
 tokens come from a window that reaches to such spaces on both sides. Within a range, and for texts that are
-one range, the words between such spaces are themselves fragments without open ends; each process keeps those of the words it saw.
+one range, the words between such spaces are themselves fragments without open ends; each process keeps those of the words it saw,
+and when they are too many, of those it saw again. New words are encoded many to a text.
 
 1. One pass encodes short texts and cuts long ones into windows; windows are dealt over the cluster, encoded and composed.
 2. Links are counted by task and summed by Spark. Linked tokens end together, so one's bytes are an end of
@@ -33,7 +34,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import chain, compress, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from appwatch.llm.common import stored
 from appwatch.session import scratch_path
 
 #: A space that no token crosses from the left: it begins a token of both.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+SAFE = re.compile(r" (?<=\S )(?=\S)")  # the space first, which the search then looks for
 
 
 @dataclass(frozen=True)
@@ -134,7 +135,10 @@ class Tokenizers:
         self.links = np.dtype("<i4" if size_a * size_b < 1 << 31 else "<i8")
         # How an id is written inside a group and at the end of its side of it.
         self.written = [f"{i}{e}" for i in range(size_a) for e in ",|"] + [f"{i}{e}" for i in range(size_b) for e in ",;"]
+        self.letters = np.array([len(w) for w in self.written])
         self.words: dict[str, tuple] = {}
+        self.again: set[str] = set()  # those asked for by more than one call
+        self.long: list[str] = []  # those to go at the next call
 
     def most_pairs(self) -> int:
         """More pairs than this cannot be linked: the bytes of one token end with those of the other, and
@@ -149,8 +153,8 @@ class Tokenizers:
     def _spelt(self, a, b, data: bytes) -> bool:
         return b"".join(map(self.a_bytes.__getitem__, a)) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
 
-    def _aligned(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, cuts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Tokens that end at or before the last cut, as written in order; where groups end in that list; links."""
+    def _aligned(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens that end at or before the last cut, as places in ``written``, in order; where groups end there; links."""
         in_a, in_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         codes = np.empty(len(a) + len(b), np.int64)
         # Before a token come those of its own side, and the other side's of earlier groups (for B: of its own too).
@@ -158,64 +162,83 @@ class Tokenizers:
         codes[np.arange(len(b)) + np.searchsorted(in_a, in_b, "right")] = 2 * (self.size_a + b) + (ends_b == cuts[in_b])
         last_a, last_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
         links = a[last_a] * self.size_b + b[last_b]
-        return list(map(self.written.__getitem__, codes.tolist())), last_a + last_b + 2, links.astype(self.links)
-
-    def learn(self, words: list[str]) -> dict[str, tuple]:
-        """Words to (tokens of A, of B, groups, groups as text, links, spelt byte for byte)."""
-        a, b = self._arrays(words)
-        data = [(" " + w).encode() for w in words]
-        sizes = np.array([len(d) for d in data])
-
-        def totals(ids: list[list[int]], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            counts = np.array([len(x) for x in ids])
-            flat = np.fromiter((i for x in ids for i in x), np.int64, counts.sum())
-            sums = np.concatenate([[0], np.cumsum(lengths[flat])])
-            at = np.cumsum(counts)
-            return flat, counts, sums[at] - sums[at - counts]
-
-        flat_a, count_a, long_a = totals(a, self.a_len)
-        flat_b, count_b, long_b = totals(b, self.b_len)
-        good = (long_a == sizes) & (long_b == sizes)
-        if not self._spelt(flat_a, flat_b, b"".join(data)):
-            good &= np.array([self._spelt(x, y, d) for x, y, d in zip(a, b, data)])
-        found = {w: (0, 0, 0, "", b"", False) for w, g in zip(words, good) if not g}
-        if good.all():
-            pass
-        elif good.any():
-            return found | self.learn([w for w, g in zip(words, good) if g])
-        else:
+        return codes, last_a + last_b + 2, links.astype(self.links)
+
+    def _text(self, codes: np.ndarray) -> str:
+        return "".join(map(self.written.__getitem__, codes.tolist()))
+
+    def learn(self, words: list[str], together: int = 64) -> dict[str, tuple]:
+        """Words to (groups as text, links, tokens of A, of B); None for a text that is not spelt byte for byte.
+
+        ``together`` words are encoded as one text with single spaces between them, which no token crosses. A word for which
+        that does not hold, with white space at an end, is encoded alone; so are all of a text that is not spelt.
+        """
+        alone = [w for w in words if w.strip() != w or len(w) > self.params.cached_chars] if together > 1 else []
+        found = self.learn(alone, 1) if alone else {}
+        words = [w for w in words if w not in found] if alone else words
+        runs = [words[i : i + together] for i in range(0, len(words), together)]
+        if not runs:
+            return found
+        texts = [" ".join(run) for run in runs]
+        a, b = self._arrays(texts)
+        data = [(" " + t).encode() for t in texts]
+        good = [self._spelt(x, y, d) for x, y, d in zip(a, b, data)]
+        if not all(good):
+            rest = [w for run, g in zip(runs, good) if not g for w in run]
+            found |= self.learn(rest, 1) if together > 1 else dict.fromkeys(rest, (None, b"", 0, 0))
+            a, b, runs = list(compress(a, good)), list(compress(b, good)), list(compress(runs, good))
+            words = [w for run in runs for w in run]
+        if not words:
             return found
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids))) for ids in (a, b))
         # All words in a row: every word's end is a cut.
         ends_a, ends_b = np.cumsum(self.a_len[flat_a]), np.cumsum(self.b_len[flat_b])
-        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        written, _, links = self._aligned(flat_a, flat_b, ends_a, ends_b, cuts)
-        upto = np.searchsorted(cuts, np.cumsum(sizes)) + 1
-        packed, width = links.tobytes(), self.links.itemsize
-        at = group = 0
-        for w, n_a, n_b, end in zip(words, count_a.tolist(), count_b.tolist(), upto.tolist()):
-            text = "".join(written[at : at + n_a + n_b])
-            found[w] = (n_a, n_b, end - group, text, packed[group * width : end * width], True)
-            at, group = at + n_a + n_b, end
+        cuts = ends_a[np.isin(ends_a, ends_b, assume_unique=True, kind="table")]
+        upto = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1)
+        upto_a, upto_b = np.searchsorted(ends_a, upto) + 1, np.searchsorted(ends_b, upto) + 1
+        codes, _, links = self._aligned(flat_a, flat_b, ends_a, ends_b, cuts)
+        letters = np.cumsum(self.letters[codes])
+        width = self.links.itemsize
+
+        def between(whole, ends: np.ndarray) -> list:
+            ends = ends.tolist()
+            return [whole[low:high] for low, high in zip([0, *ends], ends)]
+
+        groups = between(self._text(codes), letters[upto_a + upto_b - 1])
+        packed = between(links.tobytes(), (np.searchsorted(cuts, upto) + 1) * width)
+        counts = (np.diff(upto_a, prepend=0).tolist(), np.diff(upto_b, prepend=0).tolist())
+        found.update(zip(words, zip(groups, packed, *counts)))
         return found
 
+    def _seen(self, wanted: set[str]) -> None:
+        """Put the entries of ``wanted`` among the words seen. When these are too many, those asked for once only go."""
+        for w in self.long:
+            del self.words[w]
+        new = wanted.difference(self.words)
+        held = wanted - new
+        self.long = [w for w in new if len(w) > self.params.cached_chars]
+        self.again |= held
+        if len(self.words) + len(new) > self.params.cached:
+            kept = self.again if len(self.again) <= self.params.cached // 2 else held
+            self.words = {w: self.words[w] for w in kept}
+            self.again = set()
+        self.words.update(self.learn(list(new)))
+
     def documents(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, bytes]]:
         """Tokens of A and of B, groups, groups as text and links of whole texts."""
         split = [SAFE.split(t) if t else [] for t in texts]
-        new = [w for w in {w for words in split for w in words} if w not in self.words]
-        long = [w for w in new if len(w) > self.params.cached_chars]
-        if len(self.words) + len(new) > self.params.cached:
-            self.words.clear()
-            new = list({w for words in split for w in words if len(w) <= self.params.cached_chars}) + long
-        known = self.learn(new) if new else {}
-        for w, entry in known.items():
-            if len(w) <= self.params.cached_chars:
-                self.words[w] = entry
+        wanted = set().union(*split)
+        self._seen(wanted)
+        known = self.words.__getitem__
         for words in split:
-            if not words:
+            entries = list(map(known, words))
+            written = [e[0] for e in entries]
+            if not words or None in written:
                 yield 0, 0, 0, "", b""
                 continue
-            a, b, groups, text, links, good = zip(*[self.words.get(w) or known[w] for w in words])
-            yield (sum(a), sum(b), sum(groups), "".join(text), b"".join(links)) if all(good) else (0, 0, 0, "", b"")
+            links = b"".join([e[1] for e in entries])
+            groups = len(links) // self.links.itemsize
+            yield sum([e[2] for e in entries]), sum([e[3] for e in entries]), groups, "".join(written), links
 
     def fragment(self, window: str, low: int, high: int) -> Fragment:
         """The fragment of the bytes from ``low`` to ``high`` of a window that begins with a space."""
@@ -229,10 +252,10 @@ class Tokenizers:
         if not len(cuts) or not faithful:
             return Fragment(len(a), len(b), 0, faithful, False, a.tolist(), b.tolist())
         kept_a, kept_b = ends_a <= cuts[-1], ends_b <= cuts[-1]
-        written, ends, links = self._aligned(a[kept_a], b[kept_b], ends_a[kept_a], ends_b[kept_b], cuts)
+        codes, ends, links = self._aligned(a[kept_a], b[kept_b], ends_a[kept_a], ends_b[kept_b], cuts)
         return Fragment(
             len(a), len(b), len(cuts), True, True,
-            a[ends_a <= cuts[0]].tolist(), b[ends_b <= cuts[0]].tolist(), "".join(written[ends[0] :]),
+            a[ends_a <= cuts[0]].tolist(), b[ends_b <= cuts[0]].tolist(), self._text(codes[ends[0] :]),
             a[~kept_a].tolist(), b[~kept_b].tolist(), links.tobytes(),
         )
 

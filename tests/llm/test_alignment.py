@@ -124,6 +124,32 @@ def test_fragments_compose_in_any_order_of_work(both):
     assert open_ends > 5  # some ranges end inside a group
 
 
+def test_words_encoded_together_are_the_same(both, monkeypatch):
+    plain = [f"{x}{y}{z}" for x in ("th", "ré", "日", "O'") for y in ("ing", "ea", "9") for z in ("", ",", ".\nAn", "😀", "  b")]
+    odd = sorted({w for t in TEXTS if t for w in A.SAFE.split(t)})
+    encoded, arrays = [], both._arrays
+    monkeypatch.setattr(both, "_arrays", lambda texts: encoded.append(len(texts)) or arrays(texts))
+    found = both.learn(plain)
+    assert sum(encoded) == 1 and None not in (e[0] for e in found.values())
+    assert found == both.learn(plain, 1)
+    mixed = [w for pair in zip(odd * 3, plain) for w in pair]
+    assert both.learn(mixed) == both.learn(mixed, 1)
+    assert not [w for w, e in both.learn(mixed).items() if (e[0] is None) != ("▁" in w)]
+
+
+def test_words_asked_for_again_stay_when_others_go():
+    both = A.Tokenizers(*PATHS, A.Params(cached=60))
+    fresh, learned, learn = A.Tokenizers(*PATHS), Counter(), both.learn
+    both.learn = lambda words, *rest: learned.update(words) or learn(words, *rest)
+    often = [f"often{i}" for i in range(10)]
+    for i in range(20):
+        texts = [" ".join([*often, *(f"once{i}x{j}" for j in range(12)), "y" * 60, "z" * (50 + i)]), ""]
+        got = [row for _, row in zip(texts, both.documents(texts))]
+        assert got == list(fresh.documents(texts))
+        assert len(both.words) <= 60 and sum(len(w) > both.params.cached_chars for w in both.words) == 2
+    assert all(learned[w] == 1 for w in often)
+
+
 def test_ranges_cover_the_bytes_once():
     for text in (t for t in TEXTS if t):
         ranges = A.windows(text, 7)
